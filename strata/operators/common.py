@@ -24,6 +24,13 @@ def materialize_small(df: DataFrame, limit: int = SMALL_STATE_ROWS) -> DataFrame
     return df.sparkSession.createDataFrame(rows, schema=df.schema)
 
 
+def broadcast_bounded(df: DataFrame, limit: int = SMALL_STATE_ROWS) -> DataFrame:
+    """Broadcast a join side only behind a checked row count; a larger side stays a
+    normal (shuffle) join input."""
+    n = df.limit(limit + 1).count()
+    return F.broadcast(df) if n <= limit else df
+
+
 def numeric_columns(df: DataFrame, exclude: Iterable[str] = ()) -> list[str]:
     ex = set(exclude)
     return [f.name for f in df.schema.fields

@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.operators.common import materialize_small
+from strata.operators.common import broadcast_bounded, materialize_small
 
 _V = "_v"
 
@@ -82,7 +82,7 @@ def _candidates(data: DataFrame, state: DataFrame, key: list[str]) -> DataFrame:
     (group, target) so it is small and of known size: broadcast it."""
     iv = state.select(*key, "lo", "hi").distinct()
     cond = [data[k].eqNullSafe(iv[k]) for k in key] + [data[_V] >= iv["lo"], data[_V] <= iv["hi"]]
-    j = data.join(F.broadcast(iv), cond, "inner")
+    j = data.join(broadcast_bounded(iv), cond, "inner")
     return j.select(*[data[k] for k in key], data[_V], iv["lo"], iv["hi"])
 
 
@@ -116,7 +116,7 @@ def _finish(data: DataFrame, state: DataFrame, key: list[str]) -> DataFrame:
     """Rank the (at most ``finish_below``) candidates of each target exactly."""
     s = state.select(*key, "tid", "k", "lo", "hi", "below")
     cond = [data[k].eqNullSafe(s[k]) for k in key] + [data[_V] >= s["lo"], data[_V] <= s["hi"]]
-    cand = data.join(F.broadcast(s), cond, "inner").select(
+    cand = data.join(broadcast_bounded(s), cond, "inner").select(
         *[s[k] for k in key], s["tid"], s["k"], s["below"], data[_V])
     w = Window.partitionBy(*key, "tid").orderBy(_V)
     ranked = cand.withColumn("rn", F.row_number().over(w))
