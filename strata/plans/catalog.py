@@ -1,6 +1,6 @@
 """Importing this module registers every plan."""
 
-from strata.plans import cleaning, profiling  # noqa: F401
+from strata.plans import cleaning, distributions, profiling  # noqa: F401
 from strata.plans.registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
