@@ -125,11 +125,19 @@ def hash_column(key: str, seed: int, method: str = "xxhash64") -> Column:
     return F.pmod(row_hash([key], seed), F.lit(HASH_52))
 
 
+def _tiebreak(df: DataFrame, key: str, seed: int) -> Column:
+    """Second sort key among equal hashes: the key itself when numeric (exact below 2^53),
+    else an independent 52-bit hash of it."""
+    if isinstance(df.schema[key].dataType, T.NumericType):
+        return F.col(key).cast("double")
+    return F.pmod(row_hash([key], seed + 1_000_003), F.lit(HASH_52)).cast("double")
+
+
 def _threshold(df: DataFrame, key: str, m: int, seed: int, method: str) -> tuple[float, float] | None:
     """The m-th smallest (hash, key) pair, m >= 1, found with two exact distributed
     selections: the m-th hash, then among rows carrying that hash the needed key."""
     h = hash_column(key, seed, method).cast("double")
-    data = df.select(h.alias("_v"), F.col(key).cast("double").alias("_key"))
+    data = df.select(h.alias("_v"), _tiebreak(df, key, seed).alias("_key"))
     st = data.agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).first()
     if st["n"] == 0 or m <= 0:
         return None
@@ -157,7 +165,7 @@ def flag_first_m(df: DataFrame, key: str, m: int, seed: int = 42, method: str =
         return df.withColumn(flag, F.lit(False))
     t, kt = th
     h = hash_column(key, seed, method).cast("double")
-    k = F.col(key).cast("double")
+    k = _tiebreak(df, key, seed)
     return df.withColumn(flag, (h < F.lit(t)) | ((h == F.lit(t)) & (k <= F.lit(kt))))
 
 

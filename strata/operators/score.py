@@ -29,18 +29,19 @@ class Scorer:
     band_edges: Sequence[float] = (0, 25, 50, 75, 100)
     band_names: Sequence[str] | None = None
     risk_rules: Sequence[tuple[str, str, float]] = ()
+    scale_logistic: bool = True  # False: the classifier was trained on unscaled features
 
     def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        feats = self.logistic.features
-        d = require_columns(df, feats, missing="zero")  # an absent feature scores as 0
-        scaled = self.scaler.transform(d, "__s") if self.scaler else d
+        feats = list(self.logistic.features)
+        need = feats + [f for f in (self.kmeans.features if self.kmeans else []) if f not in feats]
+        d = require_columns(df, need, missing="zero")  # an absent feature scores as 0
+        out = self.scaler.transform(d, "__s") if self.scaler else d
         sfx = "__s" if self.scaler else ""
-        sf = [f"{f}{sfx}" for f in feats]
-        out = scaled
         if self.kmeans is not None:
             km = KMeansModel([f"{f}{sfx}" for f in self.kmeans.features], self.kmeans.centres)
             out = km.transform(out, "cluster")
-        lm = LogisticModel(sf, self.logistic.coef, self.logistic.intercept)
+        lsfx = sfx if self.scale_logistic else ""
+        lm = LogisticModel([f"{f}{lsfx}" for f in feats], self.logistic.coef, self.logistic.intercept)
         out = out.withColumn("probability", lm.probability())
         out = out.withColumn("prediction", threshold_label("probability", self.threshold, self.inclusive,
                                                            self.positive, self.negative))
