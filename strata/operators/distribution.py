@@ -116,11 +116,13 @@ def density_curve(df: DataFrame, column: str, gridsize: int = 200, cut: float =
     pts = [g0 + i * step for i in range(gridsize)]
     pts[-1] = g1
     coef = 1.0 / (n * bw * math.sqrt(2.0 * math.pi))
-    sums = df.where(x.isNotNull()).agg(*[
-        F.sum(F.exp(-0.5 * F.pow((F.lit(p) - x) / F.lit(bw), 2))).alias(f"_d{i}") for i, p in enumerate(pts)])
-    arr = F.array(*[F.struct(F.lit(i).alias("point"), F.lit(p).alias("x"),
-                             (F.col(f"_d{i}") * F.lit(coef)).alias("density")) for i, p in enumerate(pts)])
-    return sums.select(F.explode(arr).alias("r")).select("r.*")
+    # each row meets every grid point through a generator feeding a partial aggregate:
+    # per task at most `gridsize` running sums, the shuffle carries gridsize rows per task
+    grid = F.array(*[F.lit(p) for p in pts])
+    g = df.where(x.isNotNull()).select(x.alias("_x"), F.posexplode(grid).alias("point", "x"))
+    k = F.exp(-0.5 * F.pow((F.col("x") - F.col("_x")) / F.lit(bw), 2))
+    return (g.groupBy("point", "x").agg(F.sum(k).alias("_s"))
+            .select(F.col("point").cast("int").alias("point"), "x", (F.col("_s") * F.lit(coef)).alias("density")))
 
 
 # --------------------------------------------------------------------------- AG16 box

@@ -18,12 +18,14 @@ The driver only sees the per-(group, target) state between passes.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strata.operators.common import broadcast_bounded, materialize_small
+from strata.operators.common import SMALL_STATE_ROWS, broadcast_bounded, materialize_small
 
 _V = "_v"
 
@@ -77,17 +79,63 @@ def kth_smallest(data: DataFrame, targets: DataFrame, by: Sequence[str] = (),
     return out
 
 
-def _candidates(data: DataFrame, state: DataFrame, key: list[str]) -> DataFrame:
+def _side(df: DataFrame, known_small: bool) -> DataFrame:
+    return F.broadcast(df) if known_small else broadcast_bounded(df)
+
+
+def kth_smallest_local(data: DataFrame, targets: list[dict], key: list[str], buckets: int = 4096,
+                       finish_below: int = 200_000, max_passes: int = 40) -> dict:
+    """Same algorithm with the per-(group, target) state held on the driver (it is at most
+    ``SMALL_STATE_ROWS`` rows): no jobs to size or test the state, and the state tables
+    are broadcast with a known size.  ``targets``: dicts with ``key`` values, tid, k, n,
+    lo, hi.  Returns ``{(key values..., tid): kth}``."""
+    spark = data.sparkSession
+    fields = [data.schema[k] for k in key]
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields] + [
+        T.StructField("tid", T.LongType()), T.StructField("k", T.LongType()), T.StructField("lo", T.DoubleType()),
+        T.StructField("hi", T.DoubleType()), T.StructField("below", T.LongType()), T.StructField("cnt", T.LongType())])
+    cols = [*key, "tid", "k", "lo", "hi", "below", "cnt"]
+    state = [tuple([t[k] for k in key] + [int(t["tid"]), int(t["k"]), float(t["lo"]), float(t["hi"]), 0, int(t["n"])])
+             for t in targets]
+    out: dict = {}
+    nk = len(key)
+    for _ in range(max_passes):
+        active = []
+        small = []
+        for r in state:
+            if r[nk + 2] == r[nk + 3]:
+                out[tuple(r[:nk + 1])] = r[nk + 2]
+            elif r[nk + 5] <= finish_below:
+                small.append(r)
+            else:
+                active.append(r)
+        if small:
+            fin = _finish(data, spark.createDataFrame(small, schema), key, known_small=True).collect()
+            for r in fin:
+                out[tuple([r[k] for k in key] + [r["tid"]])] = r["kth"]
+        if not active:
+            return out
+        nxt = _refine(data, spark.createDataFrame(active, schema), key, buckets, known_small=True).collect()
+        state = [tuple(r[c] for c in cols) for r in nxt]
+    if state:
+        fin = _finish(data, spark.createDataFrame(state, schema), key, known_small=True).collect()
+        for r in fin:
+            out[tuple([r[k] for k in key] + [r["tid"]])] = r["kth"]
+    return out
+
+
+def _candidates(data: DataFrame, state: DataFrame, key: list[str], known_small: bool = False) -> DataFrame:
     """Rows of each group inside an active interval.  The state has one row per
-    (group, target) so it is small and of known size: broadcast it."""
+    (group, target): broadcast it when its size is known to be small, else after a count."""
     iv = state.select(*key, "lo", "hi").distinct()
     cond = [data[k].eqNullSafe(iv[k]) for k in key] + [data[_V] >= iv["lo"], data[_V] <= iv["hi"]]
-    j = data.join(broadcast_bounded(iv), cond, "inner")
+    j = data.join(_side(iv, known_small), cond, "inner")
     return j.select(*[data[k] for k in key], data[_V], iv["lo"], iv["hi"])
 
 
-def _refine(data: DataFrame, state: DataFrame, key: list[str], buckets: int) -> DataFrame:
-    cand = _candidates(data, state, key)
+def _refine(data: DataFrame, state: DataFrame, key: list[str], buckets: int, known_small: bool = False
+            ) -> DataFrame:
+    cand = _candidates(data, state, key, known_small)
     # halves keep the difference finite for any pair of finite doubles
     span = F.col("hi") * 0.5 - F.col("lo") * 0.5
     pos = (F.col(_V) * 0.5 - F.col("lo") * 0.5) / F.nullif(span, F.lit(0.0))
@@ -112,16 +160,20 @@ def _refine(data: DataFrame, state: DataFrame, key: list[str], buckets: int) ->
                        (F.col("below") + F.col("cum") - F.col("c")).alias("below"), F.col("c").alias("cnt"))
 
 
-def _finish(data: DataFrame, state: DataFrame, key: list[str]) -> DataFrame:
-    """Rank the (at most ``finish_below``) candidates of each target exactly."""
-    s = state.select(*key, "tid", "k", "lo", "hi", "below")
-    cond = [data[k].eqNullSafe(s[k]) for k in key] + [data[_V] >= s["lo"], data[_V] <= s["hi"]]
-    cand = data.join(broadcast_bounded(s), cond, "inner").select(
-        *[s[k] for k in key], s["tid"], s["k"], s["below"], data[_V])
-    w = Window.partitionBy(*key, "tid").orderBy(_V)
-    ranked = cand.withColumn("rn", F.row_number().over(w))
-    return ranked.where(F.col("rn") == F.col("k") - F.col("below") + 1) \
-        .select(*key, "tid", F.col(_V).alias("kth"))
+def _finish(data: DataFrame, state: DataFrame, key: list[str], known_small: bool = False) -> DataFrame:
+    """Rank the (at most ``finish_below``) candidates of each interval once, then let every
+    target sharing that interval pick its rank (no per-target copies of the rows)."""
+    iv = state.select(*key, "lo", "hi").distinct()
+    cond = [data[k].eqNullSafe(iv[k]) for k in key] + [data[_V] >= iv["lo"], data[_V] <= iv["hi"]]
+    cand = data.join(_side(iv, known_small), cond, "inner").select(
+        *[iv[k] for k in key], iv["lo"], iv["hi"], data[_V])
+    w = Window.partitionBy(*key, "lo", "hi").orderBy(_V)
+    ranked = cand.withColumn("rn", F.row_number().over(w)).alias("r")
+    s = state.select(*key, "tid", "lo", "hi", (F.col("k") - F.col("below") + 1).alias("want")).alias("s")
+    jc = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in key] + \
+         [F.col("r.lo") == F.col("s.lo"), F.col("r.hi") == F.col("s.hi"), F.col("r.rn") == F.col("s.want")]
+    return ranked.join(_side(s, known_small), jc, "inner").select(
+        *[F.col(f"s.{k}").alias(k) for k in key], F.col("s.tid").alias("tid"), F.col(f"r.{_V}").alias("kth"))
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
@@ -153,6 +205,10 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by:
 
     stats = long.groupBy(*gkey).agg(F.count(F.lit(1)).alias("n"), F.min(_V).alias("lo"),
                                     F.max(_V).alias("hi"))
+    srows = stats.limit(SMALL_STATE_ROWS // max(1, 2 * len(probs)) + 1).collect()
+    if len(srows) * 2 * len(probs) <= SMALL_STATE_ROWS:
+        return _quantiles_local(long.select(*gkey, _V), srows, gkey, probs, df.sparkSession,
+                                long.schema)
     stats = materialize_small(stats)
     parr = F.array(*[F.lit(p) for p in probs])
     t = stats.select(*gkey, "n", "lo", "hi", F.posexplode(parr).alias("pi", "prob"))
@@ -193,3 +249,36 @@ def median_of(df: DataFrame, columns: Sequence[str], exact: bool = True) -> dict
     for r in q:
         out[r["column_name"]] = r["value"]
     return out
+
+
+def _quantiles_local(data: DataFrame, srows, gkey: list[str], probs: list[float], spark, schema) -> DataFrame:
+    """Quantiles when (groups x probabilities) is small: order statistics found with the
+    driver-held state, interpolation on the handful of collected values."""
+    targets, plan = [], []
+    for r in srows:
+        n = r["n"]
+        ks = set()
+        for p in probs:
+            pos = p * (n - 1)
+            k1 = int(math.floor(pos))
+            k2 = min(k1 + 1, n - 1)
+            plan.append((r, p, k1, k2, pos - k1))
+            ks.update((k1, k2))
+        for k in ks:
+            targets.append({**{g: r[g] for g in gkey}, "tid": k, "k": k, "n": n, "lo": r["lo"], "hi": r["hi"]})
+    kth = kth_smallest_local(data, targets, gkey)
+    rows = []
+    for r, p, k1, k2, frac in plan:
+        kv = tuple(r[g] for g in gkey)
+        v1, v2 = kth.get(kv + (k1,)), kth.get(kv + (k2,))
+        val = v1 if frac == 0 or v1 is None or v2 is None else v1 + (v2 - v1) * frac
+        rows.append((*kv, p, val))
+    out_schema = T.StructType([T.StructField(g, schema[g].dataType, True) for g in gkey] +
+                              [T.StructField("prob", T.DoubleType()), T.StructField("value", T.DoubleType())])
+    return spark.createDataFrame(rows, out_schema)
+
+
+def kth_value(data: DataFrame, k: int, n: int, lo: float, hi: float) -> float:
+    """The exact k-th smallest (0-based) of the single double column ``_v`` of ``data``."""
+    d = data.select(F.lit(0).alias("_g"), _V)
+    return kth_smallest_local(d, [{"_g": 0, "tid": 0, "k": k, "n": n, "lo": lo, "hi": hi}], ["_g"])[(0, 0)]

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from strata.functions.expr import arith_hash, row_hash
 from strata.operators.common import materialize_small
-from strata.operators.quantiles import kth_smallest
+from strata.operators.quantiles import kth_value
 
 # --------------------------------------------------------------------------- RS1 melt
 
@@ -142,16 +142,14 @@ def _threshold(df: DataFrame, key: str, m: int, seed: int, method: str) -> tuple
     if st["n"] == 0 or m <= 0:
         return None
     m = min(m, st["n"])
-    spark = df.sparkSession
-    tgt = spark.createDataFrame([(0, m - 1, st["n"], st["lo"], st["hi"])], "tid int, k long, n long, lo double, hi double")
-    t = kth_smallest(data.select("_v"), tgt).first()["kth"]
-    below = data.where(F.col("_v") < t).count()
-    ties = data.where(F.col("_v") == t).select(F.col("_key").alias("_v"))
-    st2 = ties.agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).first()
-    need = m - below  # 1..n_ties
-    tgt2 = spark.createDataFrame([(0, need - 1, st2["n"], st2["lo"], st2["hi"])],
-                                 "tid int, k long, n long, lo double, hi double")
-    kt = kth_smallest(ties, tgt2).first()["kth"]
+    t = kth_value(data.select("_v"), m - 1, st["n"], st["lo"], st["hi"])
+    ties = data.where(F.col("_v") <= t).agg(F.count_if(F.col("_v") < t).alias("below"),
+                                            F.count_if(F.col("_v") == t).alias("n"),
+                                            F.min(F.when(F.col("_v") == t, F.col("_key"))).alias("lo"),
+                                            F.max(F.when(F.col("_v") == t, F.col("_key"))).alias("hi")).first()
+    need = m - ties["below"]  # 1..n_ties
+    tie_rows = data.where(F.col("_v") == t).select(F.col("_key").alias("_v"))
+    kt = kth_value(tie_rows, need - 1, ties["n"], ties["lo"], ties["hi"])
     return t, kt
 
 
