@@ -217,3 +217,24 @@ def status_agreement(spark, sf_dir):
     o = table(spark, sf_dir, "orders").withColumn(
         "rule_status", F.when(F.col("o_totalprice") > 150000, "F").otherwise("O"))
     return rounded(profile.agreement_pct(o, "o_orderstatus", "rule_status"))
+
+
+# ---------------------------------------------------------------- SC6 / PR3 / PR2
+@register("shape_report", "SELECT count(*) AS n_rows, 6 AS n_cols FROM orders")
+def shape_report(spark, sf_dir):
+    """SC6: ``(n_rows, n_cols)`` in one count job."""
+    from strata.sources.readers import shape
+    return shape(table(spark, sf_dir, "orders"))
+
+
+@register("select_numeric", "SELECT o_orderkey, o_custkey, round(o_totalprice, 6) AS o_totalprice FROM orders")
+def select_numeric(spark, sf_dir):
+    """PR3 (+PR2): the projection by dtype; only the numeric columns reach the scan."""
+    return rounded(common.select_by_type(table(spark, sf_dir, "orders"), "number"))
+
+
+@register("drop_columns", "SELECT o_orderkey, o_orderstatus FROM orders")
+def drop_columns(spark, sf_dir):
+    """PR2: dropping names, including one that does not exist (ignored)."""
+    o = table(spark, sf_dir, "orders")
+    return o.drop("o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority", "no_such_column")
