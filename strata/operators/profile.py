@@ -76,12 +76,13 @@ def describe(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataF
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"_c{i}"), F.avg(x).alias(f"_a{i}"),
                  F.stddev_samp(x).alias(f"_s{i}"), F.min(x).alias(f"_lo{i}"), F.max(x).alias(f"_hi{i}")]
-    wide = df.agg(*aggs)
+    w = df.agg(*aggs).first()  # one row of 5 x columns scalars
     n = range(len(cols))
-    mom = _stack(wide, cols, {"count": [f"_c{i}" for i in n], "mean": [f"_a{i}" for i in n],
-                              "std": [f"_s{i}" for i in n], "min": [f"_lo{i}" for i in n],
-                              "max": [f"_hi{i}" for i in n]})
-    q = quantiles(df, cols, [0.25, 0.5, 0.75], exact=exact)
+    rows = [(c, i, w[f"_c{i}"], w[f"_a{i}"], w[f"_s{i}"], w[f"_lo{i}"], w[f"_hi{i}"]) for i, c in enumerate(cols)]
+    mom = df.sparkSession.createDataFrame(rows, "column_name string, position int, count long, mean double, "
+                                                "std double, min double, max double")
+    stats = [{"column_name": c, "n": w[f"_c{i}"], "lo": w[f"_lo{i}"], "hi": w[f"_hi{i}"]} for i, c in enumerate(cols)]
+    q = quantiles(df, cols, [0.25, 0.5, 0.75], exact=exact, stats=stats if exact else None)
     qw = q.groupBy("column_name").agg(*[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(nm)
                                    for p, nm in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
     return (mom.join(qw, "column_name", "left")

@@ -177,7 +177,8 @@ def _finish(data: DataFrame, state: DataFrame, key: list[str], known_small: bool
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
-              exact: bool = True, accuracy: int = 100_000, drop_null_keys: bool = True) -> DataFrame:
+              exact: bool = True, accuracy: int = 100_000, drop_null_keys: bool = True,
+              stats: list[dict] | None = None) -> DataFrame:
     """Linear-interpolated quantiles (position ``q * (n - 1)``, the rule of pandas
     ``quantile``, Spark ``percentile`` and SQL ``quantile_cont``).
 
@@ -203,6 +204,9 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by:
         pr = F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1)
         return r.select(*gkey, pr.alias("prob"), "value")
 
+    if stats is not None:  # per-(group, column) n / lo / hi already known to the caller
+        srows = [r for r in stats if r["n"]]
+        return _quantiles_local(long.select(*gkey, _V), srows, gkey, probs, df.sparkSession, long.schema)
     stats = long.groupBy(*gkey).agg(F.count(F.lit(1)).alias("n"), F.min(_V).alias("lo"),
                                     F.max(_V).alias("hi"))
     srows = stats.limit(SMALL_STATE_ROWS // max(1, 2 * len(probs)) + 1).collect()
