@@ -147,7 +147,7 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min("_x").alias("min"), F.max("_x").alias("max"),
         F.min(F.when(inside, F.col("_x"))).alias("whisker_lo"), F.max(F.when(inside, F.col("_x"))).alias("whisker_hi"),
         F.count_if(~inside).alias("n_outliers"))
-    return agg.join(qw, by, "inner").select(*by, "n", "min", "q1", "median", "q3", "max",
+    return agg.join(broadcast_bounded(qw), by, "inner").select(*by, "n", "min", "q1", "median", "q3", "max",
                                             "whisker_lo", "whisker_hi", "n_outliers")
 
 
