@@ -142,3 +142,14 @@ def test_normalize_missing_nan(spark):
     df = spark.createDataFrame([(float("nan"), "NA"), (1.0, "x")], "a double, s string")
     r = normalize_missing(df, ["NA"]).collect()
     assert r[0].a is None and r[0].s is None and r[1].s == "x"
+
+
+def test_recode_join_and_unmapped_report(spark):
+    from strata.operators.encode import recode_join, unmapped_report
+
+    df = spark.createDataFrame([("Stage I",), ("Stage V",), (None,)], "s string")
+    m = spark.createDataFrame([("Stage I", 1), ("Stage II", 2)], "k string, v int")
+    out = recode_join(df, "s", m, "k", "v", "code", broadcast_limit=1)  # 2 rows > limit: shuffle join path
+    assert sorted((r.s or "", r.code) for r in out.collect()) == [("", None), ("Stage I", 1), ("Stage V", None)]
+    rep = unmapped_report(df, {"code": ("s", {"Stage I": 1})}).collect()
+    assert [(r.column_name, r.n_unmapped) for r in rep] == [("code", 1)]
