@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import decontaminate, mixing, quality
+from strata.llm import decontaminate, minhash, mixing, quality
 from strata.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,9 @@ def with_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     slim = with_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return mixing.mix(slim, seed=MIX_SEED).select("doc_id", "size", "source_size", "target", "taken")
+
+
+# --- 8: near-duplicate documents ----------------------------------------------------------------
+@_register("op8_minhash_near_dedup")
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
