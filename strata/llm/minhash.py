@@ -5,12 +5,13 @@ exact confirmation on full shingle sets, and components by alternating stars.
    of ``bands * rows`` universal hash functions.
 2. Texts with equal sets form a class; only the class's first document goes on, so a group of
    copies costs one row each.
-3. Representatives are grouped by band.  In every bucket each member is paired with the
-   bucket's first and last member, which is one row per member, not all pairs.
-4. Pairs whose signatures agree enough are confirmed on their full sets.
-5. A bucket is done when its members have become one component, or when it has no pair left
-   to test.  In the others every remaining pair across components is tested too, so a pair
-   that shares a band is either tested or already connected.
+3. Representatives are grouped by band.  First each is paired with the smallest document of its
+   buckets: one pair a document.  Pairs whose signatures agree enough are confirmed on their
+   full sets, and links become components.
+4. A bucket whose members are one component is done.  In the others members are paired with the
+   bucket's ends where those are in another component, and confirmed likewise.
+5. In buckets still open after that every remaining pair across components is tested, so a pair
+   that shares a band is either tested or already connected.  No bucket emits all its pairs.
 
 With 40 bands of 6, a pair at similarity 0.8 shares no band with probability 5e-6; signatures
 of 240 bytes reject a pair at 0.8 with probability under 1e-7.
@@ -145,20 +146,53 @@ def confirming(percent: int):
     return keep
 
 
-def _linked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _open(members: DataFrame, same: DataFrame) -> DataFrame:
+    """The members of buckets that hold two components or more, with their component ``c`` and
+    those of the bucket's ends."""
+    at = (members.join(same.hint("merge"), members.doc_id == same.node, "left")
+          .select("key", "doc_id", "n", "first", "last", F.coalesce("component", "doc_id").alias("c")))
+    mixed = at.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min_by("c", "doc_id").alias("c_first"),
+                                  F.max_by("c", "doc_id").alias("c_last")).where("c0 < c1").drop("c0", "c1")
+    return written(at.join(mixed.hint("merge"), "key"), "open")
+
+
+def _least_partner(members: DataFrame) -> DataFrame:
+    """Each member with the smallest document of all its buckets."""
+    return members.groupBy(F.col("doc_id").alias("x")).agg(F.min("first").alias("y")).where("x != y")
+
+
+def _end_partners(members: DataFrame) -> DataFrame:
+    """Each member with the ends of its buckets that are in other components."""
+    ends = F.array(F.struct(F.col("first").alias("y"), F.col("c_first").alias("cy")),
+                   F.struct(F.col("last").alias("y"), F.col("c_last").alias("cy")))
+    ends = F.filter(ends, lambda e: e["cy"] != F.col("c"))
+    return members.select(F.col("doc_id").alias("x"), F.explode(ends).alias("e")).select("x", "e.y")
+
+
+def _all_partners(members: DataFrame) -> DataFrame:
+    """Pairs across components that neither end was part of: all outside a bucket's main
+    component against the rest."""
+    inner = members.where((F.col("n") > 3) & (F.col("doc_id") != F.col("first")) & (F.col("doc_id") != F.col("last")))
+    most = inner.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", "count").alias("main"))
+    inner = inner.join(most, "key").select("key", "doc_id", "c", "main")
+    others = inner.where("c != main").select("key", F.col("doc_id").alias("x"), F.col("c").alias("cx"))
+    both = others.join(inner, "key").where("cx != c").where((F.col("c") == F.col("main")) | (F.col("x") < F.col("doc_id")))
+    return both.select("x", F.col("doc_id").alias("y"))
+
+
+def _linked(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Those of ``x, y`` that pass the signature and the exact test."""
-    kind = reps.schema["doc_id"].dataType.simpleString()
-    sigs = reps.select("doc_id", "sig")
+    kind = sigs.schema["doc_id"].dataType.simpleString()
     x = sigs.withColumnsRenamed({"doc_id": "x", "sig": "sig_x"})
     y = sigs.withColumnsRenamed({"doc_id": "y", "sig": "sig_y"})
-    near = written(pairs.join(x, "x").join(y, "y").select("x", "y", "sig_x", "sig_y")
+    near = written(pairs.hint("merge").join(x.hint("merge"), "x").join(y.hint("merge"), "y").select("x", "y", "sig_x", "sig_y")
                    .mapInArrow(agreeing(SIGNATURE_LEAST), f"x {kind}, y {kind}"), "near")
     needed = near.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
-    sets = docs.join(needed, "doc_id", "left_semi").mapInArrow(set_maker(shingle), f"doc_id {kind}, set binary")
+    sets = docs.join(needed.hint("merge"), "doc_id", "left_semi").mapInArrow(set_maker(shingle), f"doc_id {kind}, set binary")
     sets = written(sets, "sets")
     x = sets.withColumnsRenamed({"doc_id": "x", "set": "set_x"})
     y = sets.withColumnsRenamed({"doc_id": "y", "set": "set_y"})
-    both = near.join(x, "x").join(y, "y").select("x", "y", "set_x", "set_y")
+    both = near.join(x.hint("merge"), "x").join(y.hint("merge"), "y").select("x", "y", "set_x", "set_y")
     return written(both.mapInArrow(confirming(percent), f"x {kind}, y {kind}").distinct(), "links")
 
 
@@ -180,28 +214,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     buckets = reps.select("doc_id", F.explode("band").alias("key"))
     ends = (buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"),
                                        F.max("doc_id").alias("last")).where(F.col("first") < F.col("last")))
-    members = written(buckets.join(ends, "key"), "members")
-    tested = members.select(F.col("doc_id").alias("x"), F.explode(F.array("first", "last")).alias("y"))
-    tested = tested.where("x != y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    one_set = reps.select("doc_id", "sig").groupBy("doc_id").agg(F.first("sig").alias("sig"))
-    links = _linked(tested, one_set, docs, shingle, percent)
-    same = written(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "same")
-
-    # buckets that still hold two components and a pair that neither end was part of
-    at = (members.where("n > 3").join(same, members.doc_id == same.node, "left")
-          .select("key", "doc_id", "first", "last", F.coalesce("component", "doc_id").alias("c")))
-    open_ = at.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-    left = written(at.join(open_, "key", "left_semi"), "open")
-    inner = left.where((F.col("doc_id") != F.col("first")) & (F.col("doc_id") != F.col("last")))
-    if not inner.isEmpty():
-        most = inner.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", "count").alias("main"))
-        inner = inner.join(most, "key").select("key", "doc_id", "c", "main")
-        others = inner.where("c != main").select("key", F.col("doc_id").alias("x"), F.col("c").alias("cx"))
-        rest = others.join(inner, "key").where("cx != c").where((F.col("c") == F.col("main")) | (F.col("x") < F.col("doc_id")))
-        rest = rest.select(F.least("x", "doc_id").alias("x"), F.greatest("x", "doc_id").alias("y")).distinct()
-        more = _linked(rest, one_set, docs, shingle, percent).select(F.col("x").alias("a"), F.col("y").alias("b"))
-        star = same.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        same = written(components(star.unionByName(more)), "same")
+    members = written(buckets.join(ends.hint("merge"), "key"), "members")
+    sigs = reps.groupBy("doc_id").agg(F.first("sig").alias("sig"))
+    same = None
+    for step in (_least_partner, _end_partners, _all_partners):
+        open_ = members if same is None else _open(members, same)
+        pairs = step(open_).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        links = _linked(pairs, sigs, docs, shingle, percent).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        if same is not None:
+            links = links.unionByName(same.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        same = components(links)
 
     classes = (reps.select("set_key", F.col("doc_id").alias("rep")).join(same, F.col("rep") == F.col("node"), "left")
                .select("set_key", F.coalesce("component", "rep").alias("component")))
