@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import chat, decontaminate, minhash, mixing, quality, toxicity
+from strata.llm import chat, decontaminate, minhash, mixing, pii, quality, toxicity
 from strata.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +159,19 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train([t for t, _ in rows], [y for _, y in rows])
     return toxicity.score(docs, model).select("doc_id", F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
                                               "score", "predicted")
+
+
+# --- 9: personal data -------------------------------------------------------------------------------
+@_register("op9_personal_data")
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    place = F.array(*[F.lit(k) for k in pii.KINDS])
+
+    def listed(spans):
+        order = F.array_sort(F.transform(spans, lambda s: F.struct(
+            s["start"].alias("start"), F.array_position(place, s["kind"]).alias("k"), s["end"].alias("end"), s["kind"].alias("kind"))))
+        return F.array_join(F.transform(order, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    count = {f"n_{k}": F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long") for k in pii.KINDS[:4]}
+    return found.select("doc_id", *[c.alias(n) for n, c in count.items()], F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
+                        listed(F.concat("base", "added")).alias("spans"))

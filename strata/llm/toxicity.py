@@ -198,7 +198,8 @@ def train(texts: Sequence[str | None], labels: Sequence[int], steps: int = 60, r
             bags += [ids[i][at[j]:to[j]] for j in chosen]
             y += [y_all[i]] * len(chosen)
         fit(bags, np.array(y), steps)
-    return Model((emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
+    odds = y_all.mean() / (1 - y_all.mean())  # training weighs both classes alike
+    return Model((emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0] + np.log(odds)))
 
 
 def held_out(doc_id: Column) -> Column:
