@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import chat, decontaminate, minhash, mixing, pii, quality, toxicity
+from strata.llm import chat, decontaminate, line_dedup, minhash, mixing, pii, quality, toxicity, warc
 from strata.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,3 +175,50 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = {f"n_{k}": F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long") for k in pii.KINDS[:4]}
     return found.select("doc_id", *[c.alias(n) for n, c in count.items()], F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
                         listed(F.concat("base", "added")).alias("spans"))
+
+
+# --- 6: web archives ----------------------------------------------------------------------------------
+_BITS = "array_to_string([lpad(bin(('0x' || d)::INT), 4, '0') for d in string_split(sha1(html), '') if d <> ''], '')"
+_OP6_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+b AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS s, {_BITS} AS bits FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY s) AS first FROM b)
+SELECT page_id, payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', list_sum([CASE WHEN substr(bits, 5 * g + k, 1) = '1' THEN (1 << (5 - k)) ELSE 0 END
+    for k in [1, 2, 3, 4, 5]])::INT + 1, 1) for g in range(32)], '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to FROM f
+"""
+
+
+@_register("op6_warc", _OP6_SQL)
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    kind = pages.schema["page_id"].dataType
+    return warc.read_archives(warc.write_archives(pages)).select(
+        F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast(kind).alias("refers_to"))
+
+
+# --- 4: line dedup ------------------------------------------------------------------------------------
+_OP4_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT r, doc_id, unnest(range(1, len(ls) + 1)) AS i, ls FROM (SELECT r, doc_id, string_split(text, chr(10)) AS ls FROM d)),
+w AS (SELECT r, doc_id, i, ls[i] AS s, list_filter(string_split_regex(lower(ls[i]), '[\x20\x09\x0B-\x0D]+'), lambda x: x <> '') AS ws FROM l),
+t AS (SELECT r, doc_id, i, unnest(CASE WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE
+    [array_to_string(ws[j:j + 4], ' ') for j in range(1, len(ws) - 3)] END) AS t FROM w WHERE len(ws) > 0),
+u AS (SELECT DISTINCT r, doc_id, i, t FROM t), n AS (SELECT r, doc_id, i, count(*) AS n FROM u GROUP BY ALL),
+c AS (SELECT x.r, x.i, y.r AS yr, y.i AS yi, count(*) AS k FROM u x JOIN u y ON x.t = y.t AND (y.doc_id, y.i) < (x.doc_id, x.i) GROUP BY ALL),
+gone AS (SELECT DISTINCT c.r, c.i FROM c JOIN n a ON a.r = c.r AND a.i = c.i JOIN n b ON b.r = c.yr AND b.i = c.yi
+  WHERE 100 * k >= 80 * (a.n + b.n - k)),
+o AS (SELECT w.r, w.i, w.s, len(ws) > 0 AS worded, gone.r IS NOT NULL AS gone FROM w LEFT JOIN gone USING (r, i))
+SELECT any_value(doc_id) AS doc_id, count(*) FILTER (worded)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_removed,
+  sha256(coalesce(string_agg(s, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS text_sha256
+FROM o JOIN d USING (r) GROUP BY r
+"""
+
+
+@_register("op4_line_dedup", _OP4_SQL)
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
