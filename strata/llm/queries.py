@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import chat, decontaminate, line_dedup, minhash, mixing, pii, quality, toxicity, warc
+from strata.llm import chat, decontaminate, licenses, line_dedup, minhash, mixing, pii, quality, toxicity, warc
 from strata.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -222,3 +222,30 @@ FROM o JOIN d USING (r) GROUP BY r
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+# --- 5: license scans -----------------------------------------------------------------------------------
+_SQL_TEMPLATES = ", ".join("('%s', ['%s'])" % (k, "', '".join(licenses.template_pairs(licenses.template_words(v))))
+                           for k, v in sorted(licenses.TEMPLATES.items()))
+_OP5_SQL = rf"""
+WITH t(license, pairs) AS (VALUES {_SQL_TEMPLATES}),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+u AS (SELECT r, unnest(list_distinct(string_split(text, chr(10)) || string_split_regex(text, '\n[\x20\x09\r]*\n') || [text])) AS u FROM d),
+w AS (SELECT r, u, list_filter(string_split_regex(lower(u), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS ws FROM u),
+b AS (SELECT r, u, CASE WHEN len(ws) < 2 THEN ws ELSE list_distinct([ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))]) END AS b FROM w),
+m AS (SELECT r, license, 2.0::DOUBLE * len(list_intersect(b, pairs)) / (len(b) + len(pairs)) AS dice FROM b JOIN t
+  ON 120 * len(b) >= 80 * len(pairs) AND 80 * len(b) <= 120 * len(pairs)),
+k AS (SELECT r, count(*)::BIGINT AS n, max(dice) AS dice, first(license ORDER BY dice DESC, license) AS best,
+  array_to_string(list_sort(list(DISTINCT license)), ',') AS licenses FROM m WHERE 100 * dice >= 80 GROUP BY r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_matches, best AS license, round(dice, 6) AS dice, coalesce(licenses, '') AS licenses
+FROM d LEFT JOIN k USING (r)
+"""
+
+
+@_register("op5_license_scan", _OP5_SQL)
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    best = F.get("licenses", F.lit(0))
+    names = F.array_sort(F.array_distinct(F.col("licenses.license")))
+    return out.select("doc_id", F.size("licenses").cast("long").alias("n_matches"), best["license"].alias("license"),
+                      F.round(best["dice"], 6).alias("dice"), F.array_join(names, ",").alias("licenses"))
