@@ -1,15 +1,30 @@
 """The corpus pipeline: quality rules, line dedup, near-duplicate documents, benchmark
-decontamination, mixing.  ``run`` applies the stages to ``documents``; each stage's rows are
-written to the shared folder and read again by the next.
+decontamination and mixing.
+
+``run`` applies the stages to ``documents``; each stage's rows are written to the shared folder
+and read again by the next.  All stages but the last return the columns that they were given.
+
+Defined results, stage by stage, for odd rows: documents without text fail the quality rules; a
+null id is never matched with another null id; rows that repeat an id and a text are copies, of
+which the near-duplicate stage keeps one; rows of one id with different texts are different
+documents; an empty table stays empty; further columns pass through to the mixing stage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import decontaminate, quality
+from strata.llm import decontaminate, line_dedup, minhash, mixing, quality
 from strata.llm.common import table, written
+from strata.llm.queries import label_weight
+
+SHINGLE = 5  # words; the similarity is minhash.PERCENT
+
+
+def key() -> Column:
+    """Tells texts of one id apart."""
+    return F.struct(F.col("doc_id"), F.xxhash64("text").alias("h"))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,8 +32,57 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
-STAGES = [("quality_rules", quality_stage)]
-ORACLE_SQL = None
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that an earlier line matches, and ``n_chars`` to suit; a document
+    whose lines were all removed goes, as nothing of it is new."""
+    given = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    # columns of the same name as a count are put aside, so that they come back as they were
+    out = line_dedup.dedup(docs.select("doc_id", "text", F.struct("*").alias("row")))
+    stays = out.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    if "n_chars" in given:
+        kind = docs.schema["n_chars"].dataType
+        given["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(given["n_chars"])
+    given["text"] = F.col("text")
+    return stays.select(*[c.alias(name) for name, c in given.items()])
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    found = written(minhash.near_duplicates(docs, shingle=SHINGLE), "near")
+    gone = found.where(~F.col("kept")).select("doc_id")
+    stay = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = found.where("kept").groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
+    if repeated.isEmpty():
+        return stay
+    once = stay.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return stay.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by a benchmark item."""
+    found = decontaminate.contamination(docs.select(key().alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    bad = found.where("contaminated").select(F.col("doc_id").alias("bad")).distinct()
+    return docs.join(bad, key().eqNullSafe(F.col("bad")), "left_anti")
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with ``size``, ``source_size``, ``target`` and ``taken``
+    (words, repeats counted).  Copies of a row share what the mix takes of them."""
+    known = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("label"))
+    slim = docs.select(key().alias("key"), "doc_id", "source", mixing.size_of(F.col("text")).alias("size"))
+    slim = slim.join(known, "doc_id", "left").select(F.col("key").alias("doc_id"), "source", "size", label_weight().alias("quality"))
+    plan = (mixing.mix(slim).groupBy(F.col("doc_id").alias("key")).agg(
+        F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"),
+        F.floor(F.sum("taken") / F.count(F.lit(1))).cast("long").alias("taken")).where("taken > 0"))
+    rows = docs.select(F.struct("*").alias("row"), key().alias("id"))
+    clash = {"size", "source_size", "target", "taken"}
+    return rows.join(plan, F.col("id").eqNullSafe(F.col("key"))).select(
+        *[F.col(f"row.`{c}`") for c in docs.columns if c not in clash], "size", "source_size", "target", "taken")
+
+
+STAGES = [("quality_rules", quality_stage), ("line_dedup", line_stage), ("near_duplicates", near_duplicate_stage),
+          ("decontamination", decontamination_stage), ("mixing", mixing_stage)]
+ORACLE_SQL = None  # SQL has no near-duplicate stage; tests hold each stage against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,7 +81,9 @@ def _repeat_words(w: Column) -> Column:
 
 def measures(text: Column) -> Column:
     """One struct of counts per text."""
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(NOT_SPACE))
+    text = F.coalesce(text, F.lit(""))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_SPACE))
+    n_symbols = F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))
 
     def counts(w: Column) -> Column:
         return F.struct(
@@ -89,6 +91,7 @@ def measures(text: Column) -> Column:
             F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
             F.size(F.filter(w, lambda x: F.lower(x).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
             _repeat_words(w).cast("long").alias("n_repeat_words"),
+            n_symbols.cast("long").alias("n_symbols"),
             let(lines, lambda s: F.struct(
                 F.size(s).cast("long").alias("n_lines"),
                 (F.size(s) - F.size(F.array_distinct(s))).cast("long").alias("n_dup_lines"))).alias("lines"))
@@ -96,23 +99,30 @@ def measures(text: Column) -> Column:
     return let(words(text), counts)
 
 
+def verdict(text: Column, rules: Sequence[Rule] = RULES) -> Column:
+    """The counts, ``base_failed``, ``failed_rules`` (names) and ``kept`` as one struct."""
+    def judged(m: Column) -> Column:
+        value = {c: m[c] for c in ("n_words", "word_chars", "n_stop_words", "n_repeat_words")}
+        value |= {c: m["lines"][c] for c in ("n_lines", "n_dup_lines")} | {"n_symbols": m["n_symbols"]}
+        base = (value["n_words"] < BASE_MIN_WORDS) | (100 * value["n_repeat_words"] > BASE_MAX_REPEAT_PERCENT * value["n_words"])
+        broken = [F.when(COMPARE[r.compare](value[r.count], F.lit(r.limit) * value[r.per]), F.lit(r.name)) for r in rules]
+        failed = F.array_compact(F.array(*broken)) if broken else F.array().cast("array<string>")
+        return F.struct(*[v.alias(c) for c, v in value.items()], base.alias("base_failed"), failed.alias("failed_rules"),
+                        (~base & (F.size(failed) == 0)).alias("kept"))
+
+    return let(measures(text), judged)
+
+
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words", "base_failed",
+           "failed_rules", "kept")
+
+
 def annotate(df: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """Add the counts, ``base_failed``, ``failed_rules`` (names) and ``kept`` to every row."""
-    t = F.col(f"`{text}`")
-    m = "__measures"
-    out = df.withColumn(m, measures(t))
-    names = ["n_words", "word_chars", "n_stop_words", "n_repeat_words"]
-    symbols = (F.length(F.coalesce(t, F.lit(""))) - F.length(F.regexp_replace(F.coalesce(t, F.lit("")), SYMBOLS, "")))
-    value = {c: F.col(f"{m}.{c}") for c in names} | {c: F.col(f"{m}.lines.{c}") for c in ("n_lines", "n_dup_lines")}
-    value["n_symbols"] = symbols.cast("long")
-    base = (value["n_words"] < BASE_MIN_WORDS) | (100 * value["n_repeat_words"] > BASE_MAX_REPEAT_PERCENT * value["n_words"])
-    broken = [F.when(COMPARE[r.compare](value[r.count], F.lit(r.limit) * value[r.per]), F.lit(r.name)) for r in rules]
-    failed = F.array_compact(F.array(*broken)) if broken else F.array().cast("array<string>")
-    return (out.withColumns(value | {"base_failed": base, "failed_rules": failed})
-            .withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop(m))
+    out = df.select(F.struct("*").alias("row"), verdict(F.col(f"`{text}`"), rules).alias("v"))
+    return out.select(*[F.col(f"row.`{c}`") for c in df.columns if c not in RESULTS], *[F.col(f"v.{c}") for c in RESULTS])
 
 
 def keep_good(df: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
-    """The rows whose text passes every rule, with their own columns only."""
-    probe = annotate(df.select(F.struct("*").alias("row"), F.col(f"`{text}`").alias("t")), "t", rules)
-    return probe.where("kept").select("row.*")
+    """The rows whose text passes every rule."""
+    return df.where(verdict(F.col(f"`{text}`"), rules)["kept"])

@@ -110,12 +110,15 @@ SELECT doc_id, size, source_size, target,
 """
 
 
+def label_weight():
+    return F.when(F.col("label") == 1, GOOD).when(F.col("label") == 0, BAD).otherwise(UNKNOWN)
+
+
 def with_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, source, size, quality`` with the sampling weights of the labelled documents."""
     known = labels.groupBy("doc_id").agg(F.max("quality").alias("label"))
     slim = docs.select("doc_id", "source", mixing.size_of(F.col("text")).alias("size"))
-    weight = F.when(F.col("label") == 1, GOOD).when(F.col("label") == 0, BAD).otherwise(UNKNOWN)
-    return slim.join(known, "doc_id", "left").select("doc_id", "source", "size", weight.alias("quality"))
+    return slim.join(known, "doc_id", "left").select("doc_id", "source", "size", label_weight().alias("quality"))
 
 
 @_register("op10_mix_sources", _OP10_SQL)
