@@ -14,7 +14,7 @@ similarity of at least ``percent``, whether or not that one is removed itself.
 4. Lines without a match so far are joined with all earlier lines of their tokens under the
    same bounds and verified, so that no match is lost.  No token emits all its pairs.
 
-Tokens are 64-bit hashes up to verification; lines are equal if a 128-bit hash of their words is.
+Tokens are 57-bit hashes up to verification; lines are equal if a 128-bit hash of their words is.
 
 Defined results: a null text has no lines and stays null; lines without words are neither
 compared nor removed; repeated rows of one id and text lose the same lines; rows of one id with
@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from strata.llm.common import NOT_SPACE, bounded, indexes, let, written
 
 SHINGLE, PERCENT = 5, 80
-BUCKETS = 1 << 16
+BUCKETS = 1 << 16  # a power of 2
+HASH_BITS = 57
 BROADCAST_ROWS = 1_000_000
 ID = ["doc_id", "h", "line"]
 
@@ -48,8 +49,8 @@ def shingle_texts(w: Column, k: int) -> Column:
 
 
 def shingle_hashes(w: Column, k: int) -> Column:
-    return F.when(F.size(w) < k, F.array(F.xxhash64(w))).otherwise(F.array_distinct(
-        F.transform(indexes(F.size(w) - (k - 1)), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)]))))
+    return F.when(F.size(w) < k, F.array(F.xxhash64(w))).otherwise(
+        F.transform(indexes(F.size(w) - (k - 1)), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)])))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -61,8 +62,8 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def rarity(lines: DataFrame, shingle: int) -> Column:
     """An array of the binary logarithms of the bucketed token counts."""
-    tokens = lines.select(F.explode(shingle_hashes(F.col("words"), shingle)).alias("t"))
-    counts = tokens.groupBy(F.pmod("t", F.lit(BUCKETS)).cast("int").alias("b")).count()
+    tokens = lines.select(F.explode(let(F.col("words"), lambda w: shingle_hashes(w, shingle))).alias("t"))
+    counts = tokens.groupBy(F.col("t").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).count()
     of = {r["b"]: r["r"] for r in counts.select("b", F.floor(F.log2("count")).cast("int").alias("r")).collect()}
     return F.split(F.lit(",".join(str(of.get(b, 0)) for b in range(BUCKETS))), ",").cast("array<int>")  # folded to a constant
 
@@ -73,14 +74,17 @@ def first_lines(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     order = rarity(lines, shingle)
 
     def prefix(tokens: Column) -> Column:
+        # one long per token: its rarity in the high bits, its hash in the low ones
+        ranked = F.sort_array(F.transform(tokens, lambda t: F.shiftleft(
+            F.get(order, t.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), HASH_BITS)
+            .bitwiseOR(t.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))))
         s = F.size(tokens)
-        ranked = F.array_sort(F.transform(tokens, lambda t: F.struct(
-            F.get(order, F.pmod(t, F.lit(BUCKETS)).cast("int")).alias("r"), t.alias("t"))))
         keep = s - F.floor((percent * s + 99) / 100).cast("int") + 1
-        return F.struct(s.alias("size"), F.transform(F.slice(ranked, F.lit(1), keep), lambda x: x["t"]).alias("prefix"))
+        return F.struct(s.alias("size"), F.slice(ranked, F.lit(1), keep).alias("prefix"))
 
     key = F.unhex(F.md5(F.array_join("words", " ")))
-    rows = lines.select(key.alias("key"), *ID, let(shingle_hashes(F.col("words"), shingle), prefix).alias("p"))
+    rows = lines.select(key.alias("key"), *ID, let(
+        let(F.col("words"), lambda w: F.array_distinct(shingle_hashes(w, shingle))), prefix).alias("p"))
     firsts = rows.groupBy("key").agg(F.min(F.struct(*ID, "p.size", "p.prefix")).alias("f"))
     return written(firsts.select("f.*"), "first-lines")
 
@@ -125,8 +129,9 @@ def kept_lines(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     docs = docs.select("doc_id", "text")
     firsts = first_lines(docs, shingle, percent)
     rows = firsts.select(*ID, "size", F.posexplode("prefix").alias("pos", "token"))
-    first = (rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*ID, "size", "pos")).alias("f"))
-             .where("n > 1"))
+    several = rows.groupBy("token").count().where("count > 1").select("token")
+    rows = written(rows.join(several, "token"), "prefix-tokens")
+    first = rows.groupBy("token").agg(F.min(F.struct(*ID, "size", "pos")).alias("f"))
     shared = written(rows.join(first, "token").select("token", *ID, "size", "pos", "f"), "shared-tokens")
     leads = shared.select("token", "f.*").distinct()
     matched = _similar(_pairs(shared, leads, percent), docs, shingle, percent)
