@@ -175,8 +175,10 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
             s["start"].alias("start"), F.array_position(place, s["kind"]).alias("k"), s["end"].alias("end"), s["kind"].alias("kind"))))
         return F.array_join(F.transform(order, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
-    count = {f"n_{k}": F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long") for k in pii.KINDS[:4]}
-    return found.select("doc_id", *[c.alias(n) for n, c in count.items()], F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
+    def counted(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *[counted(k) for k in pii.KINDS[:4]], F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
                         listed(F.concat("base", "added")).alias("spans"))
 
 
