@@ -10,8 +10,9 @@ exact confirmation on full shingle sets, and components by alternating stars.
    full sets, and links become components.
 4. A bucket whose members are one component is done.  In the others members are paired with the
    bucket's ends where those are in another component, and confirmed likewise.
-5. In buckets still open after that every remaining pair across components is tested, so a pair
-   that shares a band is either tested or already connected.  No bucket emits all its pairs.
+5. In buckets still open after that every remaining pair across components is compared, in
+   blocks of bounded size, so a pair that shares a band is either tested or already connected.
+   No bucket emits its pairs: what is passed on are members and links.
 
 With 40 bands of 6, a pair at similarity 0.8 shares no band with probability 5e-6; signatures
 of 240 bytes reject a pair at 0.8 with probability under 1e-7.
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +44,7 @@ SHINGLE, PERCENT = 4, 80
 SIGNATURE_LEAST = 0.65
 CHUNK = 2048
 CACHE = 400_000
+BLOCK_ROWS, BLOCK_SHINGLES = 1000, 2_000_000  # a block has no more of either, or is one document
 
 
 def shingle_hashes(words: list[bytes], k: int, ids: dict[bytes, int]) -> np.ndarray:
@@ -169,15 +171,52 @@ def _end_partners(members: DataFrame) -> DataFrame:
     return members.select(F.col("doc_id").alias("x"), F.explode(ends).alias("e")).select("x", "e.y")
 
 
-def _all_partners(members: DataFrame) -> DataFrame:
-    """Pairs across components that neither end was part of: all outside a bucket's main
-    component against the rest."""
+def comparing(percent: int):
+    """Links across components among the documents of one pair of blocks (or within one block):
+    intersections are counted by products of the incidence matrix of shared shingles."""
+    def compare(rows: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(z.as_buffer(), np.uint64) for z in rows["set"]]
+        size = np.array([len(z) for z in sets])
+        _, column, held_by = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = held_by > 1
+        place = np.cumsum(shared) - 1
+        row, column = np.repeat(np.arange(len(sets)), size)[shared[column]], place[column[shared[column]]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for at in range(0, int(shared.sum()), CHUNK):
+            part = slice(*np.searchsorted(column, [at, at + CHUNK]))
+            dense = np.zeros((len(sets), CHUNK), np.float32)
+            dense[row[part], column[part] - at] = 1
+            both += dense @ dense.T
+        c = np.unique(np.array(rows["c"].to_pylist()), return_inverse=True)[1]
+        block, across = np.array(rows["block"].to_pylist()), rows["i"][0].as_py() != rows["j"][0].as_py()
+        ok = (c[:, None] != c) & (100 * both >= percent * (size[:, None] + size - both))
+        ok &= (block[:, None] != block) if across else True
+        x, y = np.nonzero(np.triu(ok, 1))
+        ids = rows["doc_id"].combine_chunks()
+        return pa.table({"x": ids.take(pa.array(x)), "y": ids.take(pa.array(y))})
+    return compare
+
+
+def _remaining(members: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links among the members that neither end of their bucket was tested for, across
+    components.  A bucket is cut into blocks of bounded size; each pair of blocks is compared in
+    one go, so that what is passed on are members and links, never pairs."""
+    kind = members.schema["doc_id"].dataType.simpleString()
     inner = members.where((F.col("n") > 3) & (F.col("doc_id") != F.col("first")) & (F.col("doc_id") != F.col("last")))
-    most = inner.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", "count").alias("main"))
-    inner = inner.join(most, "key").select("key", "doc_id", "c", "main")
-    others = inner.where("c != main").select("key", F.col("doc_id").alias("x"), F.col("c").alias("cx"))
-    both = others.join(inner, "key").where("cx != c").where((F.col("c") == F.col("main")) | (F.col("x") < F.col("doc_id")))
-    return both.select("x", F.col("doc_id").alias("y"))
+    mixed = inner.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
+    inner = written(inner.join(mixed.hint("merge"), "key").select("key", "doc_id", "c"), "inner")
+    needed = inner.select("doc_id").distinct()
+    sets = docs.join(needed.hint("merge"), "doc_id", "left_semi").mapInArrow(set_maker(shingle), f"doc_id {kind}, set binary")
+    rows = inner.join(written(sets, "sets").hint("merge"), "doc_id")
+    order = Window.partitionBy("key").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    weight = F.octet_length("set") / 8 + BLOCK_SHINGLES // BLOCK_ROWS
+    rows = rows.withColumn("block", F.floor(F.coalesce(F.sum(weight).over(order), F.lit(0)) / BLOCK_SHINGLES).cast("int"))
+    rows = rows.withColumn("blocks", F.max("block").over(Window.partitionBy("key")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), "blocks")))
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "c", "set")
+    return rows.groupBy("key", "i", "j").applyInArrow(comparing(percent), f"x {kind}, y {kind}").distinct()
 
 
 def _linked(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -216,14 +255,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                                        F.max("doc_id").alias("last")).where(F.col("first") < F.col("last")))
     members = written(buckets.join(ends.hint("merge"), "key"), "members")
     sigs = reps.groupBy("doc_id").agg(F.first("sig").alias("sig"))
-    same = None
-    for step in (_least_partner, _end_partners, _all_partners):
-        open_ = members if same is None else _open(members, same)
-        pairs = step(open_).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-        links = _linked(pairs, sigs, docs, shingle, percent).select(F.col("x").alias("a"), F.col("y").alias("b"))
-        if same is not None:
-            links = links.unionByName(same.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        same = components(links)
+    tested = lambda pairs: _linked(pairs.select(
+        F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), sigs, docs, shingle, percent)
+    same = components(tested(_least_partner(members)).toDF("a", "b"))
+    for step in (lambda m: tested(_end_partners(m)), lambda m: _remaining(m, docs, shingle, percent)):
+        known = same.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        same = components(step(_open(members, same)).toDF("a", "b").unionByName(known))
 
     classes = (reps.select("set_key", F.col("doc_id").alias("rep")).join(same, F.col("rep") == F.col("node"), "left")
                .select("set_key", F.coalesce("component", "rep").alias("component")))
