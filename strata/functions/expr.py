@@ -75,7 +75,7 @@ def threshold_label(p, threshold: float = 0.5, inclusive: bool = False,
                     positive: str = "Survived", negative: str = "Deceased") -> Column:
     p = col_(p)
     cond = (p >= threshold) if inclusive else (p > threshold)
-    return F.when(cond, F.lit(positive)).otherwise(F.lit(negative))
+    return F.when(cond, F.lit(positive)).when(p.isNotNull(), F.lit(negative))  # no score, no label
 
 
 def flip_binary(c) -> Column:

@@ -32,9 +32,13 @@ def sq_dist(features: Sequence[str], centre: Sequence[float]) -> Column:
 
 
 def nearest_centre(features: Sequence[str], centres: Sequence[Sequence[float]]) -> Column:
-    """ML2: index of the nearest centre (ties -> lowest index) as one expression."""
+    """ML2: index of the nearest centre (ties -> lowest index) as one expression; NULL if
+    any feature is."""
     pairs = [F.struct(sq_dist(features, c).alias("d"), F.lit(j).alias("j")) for j, c in enumerate(centres)]
-    return F.array_min(F.array(*pairs))["j"]
+    known = F.lit(True)
+    for f in features:
+        known = known & F.col(f).isNotNull()
+    return F.when(known, F.array_min(F.array(*pairs))["j"])
 
 
 @dataclass

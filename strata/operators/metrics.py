@@ -26,12 +26,14 @@ BUCKET_ROWS = 500_000
 # --------------------------------------------------------------------------- ME5 / ME1-ME3
 
 
-def confusion(df: DataFrame, actual: str, predicted: str, labels: Sequence = (0, 1)) -> DataFrame:
-    """ME5: completed ``(actual, predicted, count)`` grid over the sorted labels."""
+def confusion(df: DataFrame, actual: str, predicted: str, labels: Sequence | None = None) -> DataFrame:
+    """ME5: completed ``(actual, predicted, count)`` grid over the sorted classes: the given
+    ``labels`` and every class that occurs, so that no row is left out (NULLs count nowhere)."""
     counts = df.groupBy(F.col(actual).alias("actual"), F.col(predicted).alias("predicted")) \
         .agg(F.count(F.lit(1)).alias("count"))
     spark = df.sparkSession
-    lab = sorted(labels)
+    seen = counts.select(F.explode(F.array("actual", "predicted")).alias("c")).where("c IS NOT NULL").distinct()
+    lab = sorted({*(labels or ()), *(r["c"] for r in seen.collect())})
     t = df.schema[actual].dataType.simpleString()
     grid = spark.createDataFrame([(a, p) for a in lab for p in lab], f"actual {t}, predicted {t}")
     return grid.join(counts, ["actual", "predicted"], "left").fillna(0, ["count"]).orderBy("actual", "predicted")

@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strata.operators.common import is_float_column, numeric_columns, string_columns
 from strata.operators.quantiles import quantiles
@@ -68,7 +69,10 @@ def _apply(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
         if v is None:
             continue
         src = F.nanvl(F.col(c), F.lit(None).cast("double")) if is_float_column(df, c) else F.col(c)
-        exprs[c] = F.coalesce(src, F.lit(v).cast(df.schema[c].dataType))
+        kind = df.schema[c].dataType
+        if isinstance(kind, T.IntegralType) and isinstance(v, float) and not v.is_integer():
+            kind = T.DoubleType()  # a mean or median between integers keeps its fraction
+        exprs[c] = F.coalesce(src.cast(kind), F.lit(v).cast(kind))
     return df.withColumns(exprs) if exprs else df
 
 

@@ -129,10 +129,11 @@ def n_distinct(df: DataFrame, columns: Sequence[str], approx: bool = False, rsd:
 
 
 def agreement_pct(df: DataFrame, a: str, b: str | None, name: str = "agreement_pct") -> DataFrame:
-    """AG9 / ML8: percentage of rows where ``a == b`` (100 when there is nothing stored)."""
+    """AG9 / ML8: percentage of rows where ``a == b`` (100 when there is nothing stored);
+    a missing value agrees with nothing."""
     if b is None or b not in df.columns:
         return df.sparkSession.range(1).select(F.lit(100.0).alias(name))
-    return df.agg((F.avg(F.col(a).eqNullSafe(F.col(b)).cast("double")) * 100).alias(name))
+    return df.agg((F.avg(F.coalesce(F.col(a) == F.col(b), F.lit(False)).cast("double")) * 100).alias(name))
 
 
 def crosstab(df: DataFrame, row: str, col: str, col_values: Sequence | None = None) -> DataFrame:

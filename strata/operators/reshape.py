@@ -164,7 +164,8 @@ def flag_first_m(df: DataFrame, key: str, m: int, seed: int = 42, method: str =
     t, kt = th
     h = hash_column(key, seed, method).cast("double")
     k = _tiebreak(df, key, seed)
-    return df.withColumn(flag, (h < F.lit(t)) | ((h == F.lit(t)) & (k <= F.lit(kt))))
+    inside = (h < F.lit(t)) | ((h == F.lit(t)) & (k <= F.lit(kt)))
+    return df.withColumn(flag, F.coalesce(inside, F.lit(False)))  # a row without a key is never drawn
 
 
 def sample_exact(df: DataFrame, key: str, fraction: float, seed: int = 42, method: str = "xxhash64") -> DataFrame:

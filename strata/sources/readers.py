@@ -60,7 +60,9 @@ def read_first_existing(spark: SparkSession, paths: Sequence[str], fmt: str = "p
     for p in paths:
         try:
             return spark.read.format(fmt).options(**options).load(p)
-        except AnalysisException as e:  # path does not exist
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             last = e
     raise FileNotFoundError(f"none of {list(paths)} exists") from last
 

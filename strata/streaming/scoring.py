@@ -20,6 +20,13 @@ from strata.operators.score import Scorer
 from strata.session import checkpoint_dir
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    """Asks the path's own file system, which the driver's disk knows nothing of."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(p) and fs.getFileStatus(p).isFile()
+
+
 def read_parquet_stream(spark: SparkSession, path: str, schema: T.StructType | str,
                         max_files_per_trigger: int | None = None) -> DataFrame:
     """A file-source stream over a parquet folder (new files are new micro-batches).  A
@@ -27,7 +34,7 @@ def read_parquet_stream(spark: SparkSession, path: str, schema: T.StructType | s
     r = spark.readStream.schema(schema).format("parquet")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    if path.endswith(".parquet") and not os.path.isdir(path):
+    if is_file(spark, path):
         r = r.option("pathGlobFilter", os.path.basename(path))
         path = os.path.dirname(path)
     return r.load(path)
