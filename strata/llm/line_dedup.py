@@ -8,13 +8,14 @@ similarity of at least ``percent``, whether or not that one is removed itself.
    order of all tokens by rarity, of fixed size whatever the vocabulary.
 2. Equal lines are collapsed by an aggregate: all but the first are later matches.  Each first
    line keeps its prefix, the s - ceil(t s) + 1 rarest of its s tokens: similar lines share one.
-3. Prefix tokens of a single line are dropped.  Every other token pairs its lines with its
+3. Prefix tokens of a single line are dropped, most of them by a table of marks of fixed size
+   before anything but the tokens is shuffled.  Every other token pairs its lines with its
    first line, one row per line, under length and positional bounds; pairs are verified on
-   their shingles as text.
+   their whole sets of shingles, as 64-bit hashes.
 4. Lines without a match so far are joined with all earlier lines of their tokens under the
    same bounds and verified, so that no match is lost.  No token emits all its pairs.
 
-Tokens are 57-bit hashes up to verification; lines are equal if a 128-bit hash of their words is.
+Prefix tokens are 57-bit hashes; lines are equal if a 128-bit hash of their words is.
 
 Defined results: a null text has no lines and stays null; lines without words are neither
 compared nor removed; repeated rows of one id and text lose the same lines; rows of one id with
@@ -24,6 +25,9 @@ gives an empty result; other columns pass through ``dedup`` unchanged.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +35,7 @@ from strata.llm.common import NOT_SPACE, bounded, indexes, let, written
 
 SHINGLE, PERCENT = 5, 80
 BUCKETS = 1 << 16  # a power of 2
+FILTER_WORDS = 1 << 18  # a power of 2; 64 marks each
 HASH_BITS = 57
 BROADCAST_ROWS = 1_000_000
 ID = ["doc_id", "h", "line"]
@@ -39,15 +44,11 @@ ID = ["doc_id", "h", "line"]
 def line_words(line: Column) -> Column:
     """Lower-cased words of a line; other white space than the blank is rare, so it is only
     replaced where there is some."""
-    blanks = F.when(line.rlike(r"[\x09\x0B-\x0D]"), F.regexp_replace(line, r"[\x09\x0B-\x0D]", " ")).otherwise(line)
+    other = reduce(or_, [F.contains(line, F.lit(c)) for c in "\t\v\f\r"])
+    blanks = F.when(other, F.translate(line, "\t\v\f\r", "    ")).otherwise(line)
     return F.array_remove(F.split(F.lower(blanks), " "), "")
 
 
-def shingle_texts(w: Column, k: int) -> Column:
-    return F.when(F.size(w) < k, F.array(F.array_join(w, " "))).otherwise(
-        F.transform(indexes(F.size(w) - (k - 1)), lambda i: F.concat_ws(" ", *[F.get(w, i + j) for j in range(k)])))
-
-
 def shingle_hashes(w: Column, k: int) -> Column:
     return F.when(F.size(w) < k, F.array(F.xxhash64(w))).otherwise(
         F.transform(indexes(F.size(w) - (k - 1)), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)])))
@@ -62,7 +63,10 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def rarity(lines: DataFrame, shingle: int) -> Column:
     """An array of the binary logarithms of the bucketed token counts."""
-    tokens = lines.select(F.explode(let(F.col("words"), lambda w: shingle_hashes(w, shingle))).alias("t"))
+    w, last = F.col("words"), F.greatest(F.size("words") - shingle, F.lit(0))
+    at = lines.select("words", F.explode(F.sequence(F.lit(0), last)).alias("i"))  # places, so that hashing is compiled
+    hashed = F.xxhash64(*[F.get(w, F.col("i") + j) for j in range(shingle)])
+    tokens = at.select(F.when(F.size(w) < shingle, F.xxhash64(w)).otherwise(hashed).alias("t"))
     counts = tokens.groupBy(F.col("t").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).count()
     of = {r["b"]: r["r"] for r in counts.select("b", F.floor(F.log2("count")).cast("int").alias("r")).collect()}
     return F.split(F.lit(",".join(str(of.get(b, 0)) for b in range(BUCKETS))), ",").cast("array<int>")  # folded to a constant
@@ -89,6 +93,19 @@ def first_lines(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     return written(firsts.select("f.*"), "first-lines")
 
 
+def _perhaps_repeated(rows: DataFrame) -> DataFrame:
+    """``rows`` less most of those whose token no other row has: repeated tokens are marked in a
+    table of ``FILTER_WORDS`` times 64 bits, whatever the input, and unmarked rows go.  What a
+    chance mark lets through is left to the exact join."""
+    word = F.col("token").bitwiseAND(F.lit(FILTER_WORDS - 1))
+    bit = F.expr(f"shiftleft(1L, cast(shiftright(token, {FILTER_WORDS.bit_length() - 1}) & 63 as int))")
+    repeated = rows.groupBy("token").count().where("count > 1")
+    marks = repeated.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("marks"))
+    marks = rows.sparkSession.range(FILTER_WORDS).toDF("word").join(marks, "word", "left").fillna(0, ["marks"])
+    marks = written(marks, "marks")
+    return rows.withColumn("word", word).join(F.broadcast(marks), "word").where(F.col("marks").bitwiseAND(bit) != 0).drop("word", "marks")
+
+
 def _pairs(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
     """Rows of one token, ``x`` later than ``y``, that lengths and places allow to be similar."""
     x = x.select("token", *[F.col(c).alias(f"x_{c}") for c in (*ID, "size", "pos")])
@@ -101,7 +118,7 @@ def _pairs(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Ids of the later lines of those pairs that are similar by their shingles as text."""
+    """Ids of the later lines of those pairs that are similar by their whole sets of shingles (64-bit hashes)."""
     pairs = written(pairs, "line-pairs")
     needed = pairs.select(F.explode(F.array(*[F.struct(*[F.col(f"{s}_{c}").alias(c) for c in ID]) for s in "xy"])).alias("id"))
     needed = needed.select("id.*").distinct()
@@ -110,10 +127,11 @@ def _similar(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> D
     d = docs.select("doc_id", F.hash("text").alias("h"), "text").alias("d")
     per_doc = per_doc.alias("n")
     same = F.col("d.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("d.h") == F.col("n.h"))
-    texts = d.join(per_doc, same).select("d.doc_id", "d.h", F.explode("wanted").alias("line"), "text")
-    sets = written(texts.select(*ID, let(line_words(F.get(F.split("text", "\n"), F.col("line"))),
-                                         lambda w: F.array_distinct(shingle_texts(w, shingle))).alias("set"))
-                   .dropDuplicates(ID), "line-sets")
+    wanted = let(F.split("text", "\n"), lambda lines: F.transform(
+        "wanted", lambda i: F.struct(i.alias("line"), F.get(lines, i).alias("s"))))
+    texts = d.join(per_doc, same).select("d.doc_id", "d.h", F.inline(wanted)).dropDuplicates(ID)
+    sets = written(texts.select(*ID, let(line_words(F.col("s")), lambda w: F.array_distinct(shingle_hashes(w, shingle))).alias("set")),
+                   "line-sets")
     both = pairs
     for s in "xy":
         named = sets.select(*[F.col(c).alias(f"{s}__{c}") for c in ID], F.col("set").alias(f"{s}_set"))
@@ -129,9 +147,8 @@ def kept_lines(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     docs = docs.select("doc_id", "text")
     firsts = first_lines(docs, shingle, percent)
     rows = firsts.select(*ID, "size", F.posexplode("prefix").alias("pos", "token"))
-    several = rows.groupBy("token").count().where("count > 1").select("token")
-    rows = written(rows.join(several, "token"), "prefix-tokens")
-    first = rows.groupBy("token").agg(F.min(F.struct(*ID, "size", "pos")).alias("f"))
+    rows = written(_perhaps_repeated(rows), "prefix-tokens")
+    first = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*ID, "size", "pos")).alias("f")).where("n > 1")
     shared = written(rows.join(first, "token").select("token", *ID, "size", "pos", "f"), "shared-tokens")
     leads = shared.select("token", "f.*").distinct()
     matched = _similar(_pairs(shared, leads, percent), docs, shingle, percent)
