@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strata.functions.expr import nan_to_null
 from strata.session import cut_lineage
 
 # Per-group / per-feature state collected between passes of an iterative operator.  It is
@@ -43,6 +44,11 @@ def string_columns(df: DataFrame, exclude: Iterable[str] = ()) -> list[str]:
             if isinstance(f.dataType, T.StringType) and f.name not in ex]
 
 
+def number(c: str) -> Column:
+    """A column as double with NaN as NULL: what every statistic counts, sums and orders."""
+    return nan_to_null(F.col(c).cast("double"))
+
+
 def is_float_column(df: DataFrame, c: str) -> bool:
     return isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))
 

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.operators.common import broadcast_bounded, drop_null_keys, materialize_small
+from strata.operators.common import broadcast_bounded, drop_null_keys, materialize_small, number
 from strata.operators.quantiles import quantiles
 
 # --------------------------------------------------------------------------- bin layout
@@ -36,7 +36,7 @@ def auto_bin_count(n: int, lo: float, hi: float, q25: float | None, q75: float |
 
 def bin_layout(df: DataFrame, column: str, bins: int | str = "auto") -> dict:
     """``{n, lo, hi, bins}`` from one moments pass (+ exact quartiles for 'auto')."""
-    x = F.col(column).cast("double")
+    x = number(column)
     st = df.agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"),
                 F.stddev_samp(x).alias("sd")).first()
     n, lo, hi = st["n"], st["lo"], st["hi"]
@@ -86,7 +86,7 @@ def histogram(df: DataFrame, column: str, bins: int | str = "auto", by: str | No
         return spark.createDataFrame([], "bin int, bin_lo double, bin_hi double, count long")
     lo, hi, nb = lay["lo"], lay["hi"], lay["bins"]
     keys = [by] if by else []
-    base = drop_null_keys(df.where(F.col(column).isNotNull()), keys)
+    base = drop_null_keys(df.where(number(column).isNotNull()), keys)
     counts = (base.select(*keys, _bin_index(column, lo, hi, nb).alias("bin"))
               .groupBy("bin", *keys).agg(F.count(F.lit(1)).alias("count")))
     if by:
@@ -103,7 +103,7 @@ def density_curve(df: DataFrame, column: str, gridsize: int = 200, cut: float =
     """Gaussian kernel density, Scott bandwidth ``sd * n^(-1/5)``, on ``gridsize`` points
     from ``min - cut*bw`` to ``max + cut*bw``.  Exact: one aggregate holding ``gridsize``
     running sums per task (no row explosion, no grid x rows join)."""
-    x = F.col(column).cast("double")
+    x = number(column)
     st = df.agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"),
                 F.stddev_samp(x).alias("sd")).first()
     spark = df.sparkSession
@@ -133,7 +133,7 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     ``[q1 - 1.5 iqr, q3 + 1.5 iqr]``) and the outlier count.  Quartiles are exact
     (linear interpolation); the whisker pass joins the rows to the per-group fences."""
     by = list(by)
-    base = drop_null_keys(df.where(F.col(value).isNotNull()), by)
+    base = drop_null_keys(df.where(number(value).isNotNull()), by)
     q = quantiles(base, [value], [0.25, 0.5, 0.75], by=by)
     qw = q.groupBy(*by).agg(*[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(nm)
                               for p, nm in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
@@ -161,6 +161,6 @@ def group_mean_grid(df: DataFrame, bin_col: str, bins: int, group: str, target:
     categories).  The grid is bins x distinct groups, both small aggregates."""
     name = name or target
     base = drop_null_keys(df, [bin_col, group])
-    agg = base.groupBy(bin_col, group).agg(F.avg(F.col(target).cast("double")).alias(name))
+    agg = base.groupBy(bin_col, group).agg(F.avg(number(target)).alias(name))
     grid = base.select(group).distinct().withColumn(bin_col, F.explode(F.sequence(F.lit(1), F.lit(bins))))
     return grid.join(agg, [bin_col, group], "left").select(bin_col, group, name)

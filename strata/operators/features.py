@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.operators.common import number
+
 
 @dataclass
 class ScalerModel:
@@ -37,8 +39,8 @@ class ScalerModel:
 def fit_scaler(df: DataFrame, features: Sequence[str]) -> ScalerModel:
     """FT1 / FT2: mean and POPULATION standard deviation per feature in one aggregate; a
     constant feature gets scale 1 (so it standardises to 0)."""
-    r = df.agg(*[F.avg(F.col(f).cast("double")).alias(f"m{i}") for i, f in enumerate(features)],
-               *[F.stddev_pop(F.col(f).cast("double")).alias(f"s{i}") for i, f in enumerate(features)]).first()
+    r = df.agg(*[F.avg(number(f)).alias(f"m{i}") for i, f in enumerate(features)],
+               *[F.stddev_pop(number(f)).alias(f"s{i}") for i, f in enumerate(features)]).first()
     means = [r[f"m{i}"] for i in range(len(features))]
     scales = [(r[f"s{i}"] if r[f"s{i}"] not in (None, 0.0) else 1.0) for i in range(len(features))]
     return ScalerModel(list(features), means, scales)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions.expr import safe_div
-from strata.operators.common import broadcast_bounded, materialize_small
+from strata.operators.common import broadcast_bounded, materialize_small, number
 from strata.operators.quantiles import kth_smallest
 
 BUCKET_ROWS = 500_000
@@ -105,9 +105,9 @@ def running_totals(d: DataFrame, order: str, cols: Sequence[str], bucket_rows: i
 
 
 def score_counts(df: DataFrame, actual: str, score: str, positive=1) -> DataFrame:
-    """One row per distinct score: ``(score, pos, neg)``."""
+    """One row per distinct score: ``(score, pos, neg)``; rows without a score, or with NaN, have no place."""
     y = F.col(actual)
-    return df.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("score")).agg(
+    return df.where(number(score).isNotNull()).groupBy(F.col(score).cast("double").alias("score")).agg(
         F.count_if(y == positive).alias("pos"), F.count_if(y != positive).alias("neg"))
 
 
@@ -129,7 +129,7 @@ def roc_curve(df: DataFrame, actual: str, score: str, positive=1, drop_intermedi
     (a point stays when the second difference of fps or tps is non-zero)."""
     sc = score_counts(df, actual, score, positive).withColumns({"_neg_order": -F.col("score"), "_one": F.lit(1)})
     cum = running_totals(sc, "_neg_order", ["pos", "neg", "_one"])
-    tot = df.where(F.col(score).isNotNull()).agg(
+    tot = df.where(number(score).isNotNull()).agg(
         F.count_if(F.col(actual) == positive).alias("P"), F.count_if(F.col(actual) != positive).alias("N")).first()
     spark = df.sparkSession
     # point i along the curve: 0 is the (0, 0) start, then one per distinct score, descending

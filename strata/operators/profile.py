@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions.expr import safe_div
-from strata.operators.common import drop_null_keys, is_float_column
+from strata.operators.common import drop_null_keys, is_float_column, number
 from strata.operators.quantiles import quantiles
 
 
@@ -28,9 +28,10 @@ def _stack(row_df: DataFrame, names: Sequence[str], fields: dict[str, list]) ->
 
 
 def info(df: DataFrame) -> DataFrame:
-    """PF1: ``(column, position, non_null, dtype)``, one count job for all columns."""
+    """PF1: ``(column, position, non_null, dtype)``, one count job for all columns; NaN is missing."""
     cols = df.columns
-    wide = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"_n{i}") for i, c in enumerate(cols)])
+    present = [number(f"`{c}`") if is_float_column(df, c) else F.col(f"`{c}`") for c in cols]
+    wide = df.agg(*[F.count(x).alias(f"_n{i}") for i, x in enumerate(present)])
     out = _stack(wide, cols, {"non_null": [f"_n{i}" for i in range(len(cols))]})
     types = {c: t for c, t in df.dtypes}
     dtype = F.create_map(*[F.lit(x) for c in cols for x in (c, types[c])])[F.col("column_name")]
@@ -73,7 +74,7 @@ def describe(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataF
     cols = list(columns)
     aggs = []
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
+        x = number(c)
         aggs += [F.count(x).alias(f"_c{i}"), F.avg(x).alias(f"_a{i}"),
                  F.stddev_samp(x).alias(f"_s{i}"), F.min(x).alias(f"_lo{i}"), F.max(x).alias(f"_hi{i}")]
     w = df.agg(*aggs).first()  # one row of 5 x columns scalars
@@ -95,7 +96,7 @@ def group_means(df: DataFrame, keys: Sequence[str], columns: Sequence[str], suff
     keys = list(keys)
     cols = [c for c in columns if c in df.columns]
     return (drop_null_keys(df, keys).groupBy(*keys)
-            .agg(*[F.avg(F.col(c).cast("double")).alias(f"{c}{suffix}") for c in cols])
+            .agg(*[F.avg(number(c)).alias(f"{c}{suffix}") for c in cols])
             .orderBy(*keys))
 
 
@@ -107,7 +108,7 @@ def group_size(df: DataFrame, keys: Sequence[str], name: str = "count") -> DataF
 def group_rate(df: DataFrame, keys: Sequence[str], target: str, name: str | None = None) -> DataFrame:
     """AG4: mean of one (0/1) target per key."""
     return (drop_null_keys(df, keys).groupBy(*keys)
-            .agg(F.avg(F.col(target).cast("double")).alias(name or f"{target}_rate")).orderBy(*keys))
+            .agg(F.avg(number(target)).alias(name or f"{target}_rate")).orderBy(*keys))
 
 
 def value_counts(df: DataFrame, column: str, name: str = "count") -> DataFrame:
@@ -162,7 +163,7 @@ def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         for j, b in enumerate(cols):
             if j < i:
                 continue
-            x, y = F.col(a).cast("double"), F.col(b).cast("double")
+            x, y = number(a), number(b)
             both = x.isNotNull() & y.isNotNull()
             xa, ya = F.when(both, x), F.when(both, y)
             aggs.append(safe_div(F.covar_pop(xa, ya), F.stddev_pop(xa) * F.stddev_pop(ya)).alias(f"_r{i}_{j}"))

@@ -19,6 +19,7 @@ The driver only sees the per-(group, target) state between passes.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -136,9 +137,11 @@ def _candidates(data: DataFrame, state: DataFrame, key: list[str], known_small:
 def _refine(data: DataFrame, state: DataFrame, key: list[str], buckets: int, known_small: bool = False
             ) -> DataFrame:
     cand = _candidates(data, state, key, known_small)
+    # infinities take the place of the largest doubles, so that they fall in the end buckets;
     # halves keep the difference finite for any pair of finite doubles
-    span = F.col("hi") * 0.5 - F.col("lo") * 0.5
-    pos = (F.col(_V) * 0.5 - F.col("lo") * 0.5) / F.nullif(span, F.lit(0.0))
+    most = F.lit(sys.float_info.max)
+    half = lambda c: F.greatest(F.least(F.col(c), most), -most) * 0.5
+    pos = (half(_V) - half("lo")) / F.nullif(half("hi") - half("lo"), F.lit(0.0))
     bucket = F.least(F.lit(buckets - 1), F.floor(pos * buckets).cast("long"))
     hist = (cand.withColumn("b", F.coalesce(bucket, F.lit(0).cast("long")))
             .groupBy(*key, "lo", "hi", "b")
@@ -231,7 +234,7 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by:
     jb = [F.col(f"t.{k}").eqNullSafe(F.col(f"b.{k}")) for k in gkey] + [F.col("t.k2") == F.col("b.tid")]
     r = tt.join(a, ja, "left").join(b, jb, "left")
     v1, v2 = F.col("a.kth"), F.col("b.kth")
-    val = F.when(F.col("t.frac") == 0, v1).otherwise(v1 + (v2 - v1) * F.col("t.frac"))
+    val = F.when((F.col("t.frac") == 0) | (v1 == v2), v1).otherwise(v1 + (v2 - v1) * F.col("t.frac"))
     return r.select(*[F.col(f"t.{k}").alias(k) for k in gkey], F.col("t.prob").alias("prob"), val.alias("value"))
 
 
@@ -275,7 +278,7 @@ def _quantiles_local(data: DataFrame, srows, gkey: list[str], probs: list[float]
     for r, p, k1, k2, frac in plan:
         kv = tuple(r[g] for g in gkey)
         v1, v2 = kth.get(kv + (k1,)), kth.get(kv + (k2,))
-        val = v1 if frac == 0 or v1 is None or v2 is None else v1 + (v2 - v1) * frac
+        val = v1 if frac == 0 or v1 is None or v2 is None or v1 == v2 else v1 + (v2 - v1) * frac
         rows.append((*kv, p, val))
     out_schema = T.StructType([T.StructField(g, schema[g].dataType, True) for g in gkey] +
                               [T.StructField("prob", T.DoubleType()), T.StructField("value", T.DoubleType())])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.functions.expr import arith_hash, row_hash
-from strata.operators.common import materialize_small
+from strata.operators.common import materialize_small, number
 from strata.operators.quantiles import kth_value
 
 # --------------------------------------------------------------------------- RS1 melt
@@ -29,8 +29,8 @@ def equal_width_edges(df: DataFrame, column: str, bins: int = 10) -> tuple[float
     """``(lo, width, first_edge)`` of ``bins`` right-closed equal-width bins over
     ``[min, max]``; the lowest edge is widened by 0.1 % of the range so the minimum falls
     in bin 1.  A constant column is widened by 0.1 % of its value on both sides."""
-    r = df.agg(F.min(F.col(column).cast("double")).alias("mn"),
-               F.max(F.col(column).cast("double")).alias("mx")).first()
+    x = number(column)
+    r = df.agg(F.min(x).alias("mn"), F.max(x).alias("mx")).first()
     mn, mx = r["mn"], r["mx"]
     if mn is None:
         return None
@@ -43,9 +43,10 @@ def equal_width_edges(df: DataFrame, column: str, bins: int = 10) -> tuple[float
 
 
 def bin_expr(column: str, lo: float, width: float, bins: int) -> Column:
-    """Bin number 1..bins of right-closed bins ``(lo + (i-1) w, lo + i w]``."""
-    x = F.col(column).cast("double")
-    return F.greatest(F.lit(1), F.least(F.lit(bins), F.ceil((x - F.lit(lo)) / F.lit(width)).cast("int")))
+    """Bin number 1..bins of right-closed bins ``(lo + (i-1) w, lo + i w]``; no bin for NaN."""
+    x = number(column)
+    b = F.greatest(F.lit(1), F.least(F.lit(bins), F.ceil((x - F.lit(lo)) / F.lit(width)).cast("int")))
+    return F.when(x.isNotNull(), b)
 
 
 def bin_equal_width(df: DataFrame, column: str, bins: int = 10, out: str | None = None,
@@ -71,8 +72,8 @@ def adaptive_key(df: DataFrame, column: str, bins: int = 10, max_distinct: int =
     """RS3: bin a numeric column with more than ``max_distinct`` values, else use it raw.
     Returns ``(df, key_column, edges or None)``; one aggregate decides and sizes the bins."""
     if isinstance(df.schema[column].dataType, T.NumericType):
-        x = F.col(column).cast("double")
-        r = df.agg(F.count_distinct(column).alias("nd"), F.min(x).alias("mn"), F.max(x).alias("mx")).first()
+        x = number(column)
+        r = df.agg(F.count_distinct(x).alias("nd"), F.min(x).alias("mn"), F.max(x).alias("mx")).first()
         if r["nd"] > max_distinct:
             mn, mx = r["mn"], r["mx"]
             w = (mx - mn) / bins

@@ -6,8 +6,11 @@ from strata.functions.expr import threshold_label
 from strata.operators.cluster import nearest_centre
 from strata.operators.metrics import confusion
 from strata.operators.missing import fill_by_rules, fill_mean
-from strata.operators.profile import agreement_pct
-from strata.operators.reshape import split_train_test
+from strata.operators.distribution import box_stats, histogram
+from strata.operators.features import fit_scaler
+from strata.operators.profile import agreement_pct, corr_matrix, describe, info
+from strata.operators.quantiles import kth_smallest_local
+from strata.operators.reshape import bin_equal_width, split_train_test
 from strata.streaming.scoring import read_parquet_stream
 
 
@@ -50,3 +53,25 @@ def test_stream_reads_a_folder_by_uri(spark, tmp_path):
         "checkpointLocation", str(tmp_path / "ck")).start()
     q.awaitTermination()
     assert spark.table("by_uri").count() == 100
+
+
+def test_nan_is_missing_in_every_statistic(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1.0, 2.0, "a"), (2.0, 4.0, "a"), (3.0, 6.0, "a"), (nan, 1.0, "a")], "x double, y double, g string")
+    r = describe(df, ["x"]).first()
+    assert (r["count"], r["mean"], r["std"], r["min"], r["q25"], r["q50"], r["q75"], r["max"]) == (3, 2.0, 1.0, 1.0, 1.5, 2.0, 2.5, 3.0)
+    assert {r.column_name: r.non_null for r in info(df).collect()} == {"x": 3, "y": 4, "g": 4}
+    assert abs(corr_matrix(df, ["x", "y"]).where("col_x = 'x' AND col_y = 'y'").first()["corr"] - 1) < 1e-12
+    assert fit_scaler(df, ["x"]).means == [2.0]
+    assert sum(r["count"] for r in histogram(df, "x", 2).collect()) == 3
+    box = box_stats(df, "x", ["g"]).first()
+    assert (box["n"], box["max"], box["n_outliers"]) == (3, 3.0, 0)
+    assert [r.x_bin for r in bin_equal_width(df, "x", 2).orderBy("y").select("y", "x_bin").collect()] == [None, 1, 1, 2]
+
+
+def test_order_statistics_with_infinities_take_few_passes(spark):
+    inf = float("inf")
+    data = spark.createDataFrame([(0, float(i)) for i in range(100)] + [(0, inf), (0, -inf)], "_g int, _v double")
+    targets = [{"_g": 0, "tid": k, "k": k, "n": 102, "lo": -inf, "hi": inf} for k in (0, 1, 50, 101)]
+    got = kth_smallest_local(data, targets, ["_g"], buckets=8, finish_below=1, max_passes=6)
+    assert got == {(0, 0): -inf, (0, 1): 0.0, (0, 50): 49.0, (0, 101): inf}
