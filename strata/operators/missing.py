@@ -39,7 +39,7 @@ def column_means(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
 
 
 def column_modes(df: DataFrame, cols: Sequence[str]) -> dict[str, object]:
-    """Most frequent non-null value per column, ties -> smallest value.  Distributed:
+    """Most frequent non-null value per column, ties -> smallest value (numbers as numbers).  Distributed:
     unpivot to ``(column, value)``, count with map-side combine, then pick per column with
     ``min(struct(-count, value))`` (no value map held in one task)."""
     if not cols:
@@ -47,7 +47,10 @@ def column_modes(df: DataFrame, cols: Sequence[str]) -> dict[str, object]:
     long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]) \
         .unpivot([], list(cols), "column_name", "value").where(F.col("value").isNotNull())
     counts = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy("column_name").agg(F.min(F.struct((-F.col("n")).alias("neg"), F.col("value"))).alias("b"))
+    numbers = [c for c in cols if isinstance(df.schema[c].dataType, T.NumericType)]
+    rank = F.when(F.col("column_name").isin(numbers), F.col("value").try_cast("double")) if numbers else F.lit(None)
+    best = counts.groupBy("column_name").agg(
+        F.min(F.struct((-F.col("n")).alias("neg"), rank.alias("rank"), F.col("value"))).alias("b"))
     out = {c: None for c in cols}
     for r in best.collect():
         out[r["column_name"]] = r["b"]["value"]

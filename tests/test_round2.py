@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from strata.functions.expr import threshold_label
 from strata.operators.cluster import nearest_centre
 from strata.operators.metrics import confusion
-from strata.operators.missing import fill_by_rules, fill_mean
+from strata.operators.missing import column_modes, fill_by_rules, fill_mean
 from strata.operators.distribution import box_stats, histogram
 from strata.operators.features import fit_scaler
 from strata.operators.profile import agreement_pct, corr_matrix, describe, info
@@ -75,3 +75,8 @@ def test_order_statistics_with_infinities_take_few_passes(spark):
     targets = [{"_g": 0, "tid": k, "k": k, "n": 102, "lo": -inf, "hi": inf} for k in (0, 1, 50, 101)]
     got = kth_smallest_local(data, targets, ["_g"], buckets=8, finish_below=1, max_passes=6)
     assert got == {(0, 0): -inf, (0, 1): 0.0, (0, 50): 49.0, (0, 101): inf}
+
+
+def test_mode_ties_take_the_smaller_number(spark):
+    df = spark.createDataFrame([(9, "b"), (10, "a")], "n int, s string")
+    assert column_modes(df, ["n", "s"]) == {"n": "9", "s": "a"}
