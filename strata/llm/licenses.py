@@ -6,10 +6,19 @@ bounds |A| by t/(2-t) |B| from below and (2-t)/t |B| from above, which prunes th
 a unit is compared with at all; and it needs that share of the template's pairs, so each template
 has a few long words of which a matching text must hold one, and a text without any is done.
 
+A notice may also be part of a line, or wrapped over lines of a longer paragraph.  In what the
+reported units leave (for a template: those of itself and of templates that hold it), runs of
+words are compared too.  Adding a shared pair at an end never lowers a run's coefficient, and
+dropping an unshared one raises it, so the best run starts where a stretch of shared pairs starts
+and ends at the first place of a shared pair: only these are scored, if enough shared pairs
+follow.  Of runs that overlap the best is kept, the first of equal ones.
+
 All of it is one projection: no shuffle, no user function, and templates are constants.
 
 Defined results: a null or empty text has no units; a unit of one word is the set of that word;
-equal units of a text count once; repeated rows get equal results; other columns pass through.
+equal units of a text count once; a run is given as its lower-cased words, and has at most twice
+the pairs that the bound on distinct pairs allows; repeated rows get equal results; other columns
+pass through.
 """
 
 from __future__ import annotations
@@ -26,6 +35,7 @@ from strata.llm.quality import STOP_WORDS
 
 PERCENT = 80
 SEPARATORS = r"[^\p{L}\p{N}]+"
+CUT = "\uFFFF"  # no character
 
 COMMON = frozenset(STOP_WORDS) | frozenset("under any use work free public general version following above".split())
 
@@ -96,6 +106,11 @@ def pairs(w: Column) -> Column:
         F.transform(indexes(F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))))
 
 
+def run_pairs(w: Column) -> Column:
+    """All adjacent pairs in order, repeats included."""
+    return F.transform(indexes(F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))
+
+
 def units(text: Column) -> Column:
     return F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, r"\n[\x20\x09\r]*\n"), F.array(text)))
 
@@ -103,12 +118,17 @@ def units(text: Column) -> Column:
 def scan(docs: DataFrame, text: str = "text", percent: int = PERCENT, templates: Mapping[str, str] = TEMPLATES) -> DataFrame:
     """``docs`` plus ``licenses``: an array of ``license, dice, unit`` (the unit's text), best first."""
     rows, cues = [], set()
-    for name, body in sorted(templates.items()):
-        own = template_words(body)
-        p = template_pairs(own)
-        cues |= cue_words(own, percent)
-        rows.append(F.struct(F.lit(name).alias("license"), F.lit(len(p)).alias("n"), F.array(*map(F.lit, p)).alias("pairs")))
+    words_of = {name: template_words(body) for name, body in sorted(templates.items())}
+    pairs_of = {name: template_pairs(own) for name, own in words_of.items()}
+    for name, p in pairs_of.items():
+        cues |= cue_words(words_of[name], percent)
+        least = -(-len(p) * percent // (200 - percent))  # shared pairs that a match has at least
+        held_by = [m for m, q in pairs_of.items() if len(set(p) & set(q)) >= least]
+        rows.append(F.struct(F.lit(name).alias("license"), F.lit(len(p)).alias("n"), F.array(*map(F.lit, p)).alias("pairs"),
+                             F.lit(least).alias("least"), F.lit(2 * (len(p) * (200 - percent) // percent)).alias("most"),
+                             F.lit(len(words_of[name]) < 2).alias("single"), F.array(*map(F.lit, held_by)).alias("held_by")))
     known, cue = F.array(*rows), F.array(*map(F.lit, sorted(cues)))
+    all_pairs = F.array(*map(F.lit, sorted({x for p in pairs_of.values() for x in p})))
     column = F.coalesce(F.col(f"`{text}`"), F.lit(""))
 
     def matches(unit: Column) -> Column:
@@ -126,6 +146,55 @@ def scan(docs: DataFrame, text: str = "text", percent: int = PERCENT, templates:
             (-m["dice"]).alias("o"), m["license"].alias("license"), m["unit"].alias("unit"), m["dice"].alias("dice"))))
         return F.transform(order, lambda m: F.struct(m["license"].alias("license"), m["dice"].alias("dice"), m["unit"].alias("unit")))
 
-    found = ranked(F.flatten(F.transform(units(column), matches)))
+    def best_end(t: Column, seq: Column, start: Column) -> Column:
+        """The best run from ``start``: the distinct pairs of a run are a prefix of those that follow."""
+        def scored(ahead: Column) -> Column:
+            def ends(d: Column) -> Column:
+                places = F.transform(F.array_intersect(d, t["pairs"]), lambda g: F.array_position(d, g).cast("int"))
+                dice = F.transform(places, lambda p, r: F.struct((2.0 * (r + 1) / (p + t["n"])).alias("dice"), (-p).alias("p")))
+                return let(F.array_max(dice), lambda m: F.struct(
+                    m["dice"].alias("dice"), start.alias("a"),
+                    (start + F.array_position(ahead, F.get(d, -m["p"] - 1)).cast("int")).alias("b")))
+            return let(F.array_distinct(ahead), ends)
+        return let(F.slice(seq, start + 1, t["most"]), scored)
+
+    def apart(found: Column) -> Column:
+        """Of runs in order of their starts, those that no better one overlaps."""
+        def add(kept: Column, r: Column) -> Column:
+            return (F.when((F.size(kept) == 0) | (r["a"] >= F.try_element_at(kept, F.lit(-1))["b"]), F.concat(kept, F.array(r)))
+                    .when(r["dice"] > F.try_element_at(kept, F.lit(-1))["dice"],
+                          F.concat(F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))), F.array(r))).otherwise(kept))
+        return F.aggregate(found, F.filter(found, lambda r: F.lit(False)), add)
+
+    def runs(t: Column, w: Column) -> Column:
+        """The runs of ``w`` that match ``t``."""
+        def among(seq: Column) -> Column:
+            def started(hits: Column) -> Column:
+                fresh = F.filter(indexes(F.size(hits)), lambda k: (
+                    F.coalesce(F.get(hits, k - 1) != F.get(hits, k) - 1, F.lit(True))
+                    & F.coalesce(F.get(hits, k + t["least"] - 1) - F.get(hits, k) < t["most"], F.lit(False))))
+                scored = F.transform(fresh, lambda k: best_end(t, seq, F.get(hits, k)))
+                return let(F.filter(scored, lambda r: 100 * r["dice"] >= percent), apart)
+            return let(F.filter(indexes(F.size(seq)), lambda i: F.array_contains(t["pairs"], F.get(seq, i))), started)
+        return F.transform(let(F.when(t["single"], w).otherwise(run_pairs(w)), among), lambda r: F.struct(
+            r["dice"].alias("dice"), t["license"].alias("license"),
+            F.array_join(F.slice(w, r["a"] + 1, r["b"] - r["a"] + F.when(t["single"], 0).otherwise(1)), " ").alias("unit")))
+
+    def left(t: Column, reported: Column) -> Column:
+        """The words of each part of the text that no reported unit of ``t``, or of a template that holds it, covers."""
+        known_units = F.filter(reported, lambda m: F.array_contains(t["held_by"], m["license"]))
+        longest = F.array_sort(F.transform(known_units, lambda m: F.struct((-F.length(m["unit"])).alias("o"), m["unit"].alias("unit"))))
+        cut = F.aggregate(longest, column, lambda text, m: F.replace(text, m["unit"], F.lit(CUT)))
+        return F.transform(F.split(cut, CUT), words)
+
+    def with_runs(reported: Column) -> Column:
+        def of_likely(own: Column) -> Column:
+            likely = F.filter(known, lambda t: F.size(F.array_intersect(own, t["pairs"])) >= t["least"])
+            return F.concat(reported, F.array_distinct(F.flatten(F.transform(likely, lambda t: F.flatten(
+                F.transform(left(t, reported), lambda w: runs(t, w)))))))
+        held = let(words(column), lambda w: F.array_intersect(F.concat(run_pairs(w), w), all_pairs))
+        return let(held, of_likely)
+
+    found = ranked(let(F.flatten(F.transform(units(column), matches)), with_runs))
     none = F.array().cast("array<struct<license:string,dice:double,unit:string>>")
     return docs.withColumn("licenses", F.when(F.arrays_overlap(words(column), cue), found).otherwise(none))

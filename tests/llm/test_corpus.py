@@ -343,3 +343,49 @@ def test_pipeline_stages_on_odd_and_empty_tables(spark, odd, empty):
         corpus_pipeline.mixing_stage(spark, docs, SF).count()
     near = corpus_pipeline.near_duplicate_stage(spark, odd, SF).collect()
     assert sorted(r.doc_id for r in near if r.doc_id is not None) == [1, 2, 3, 4, 5, 6, 8, 9]
+
+
+# --- licence notices within longer lines and paragraphs ------------------------------------------------
+def licences_of(spark, texts):
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return {r.doc_id: [(m.license, round(m.dice, 6)) for m in r.licenses] for r in rows}
+
+
+def test_licences_within_lines_and_wrapped(spark):
+    filler = text_of(3, 60)
+    gpl = licenses.TEMPLATES["GPL-3.0"]
+    header = licenses.TEMPLATES["Apache-2.0-header"]
+    got = licences_of(spark, [
+        "This project is released under the MIT License (see LICENSE).",
+        f"{filler} Released under the MIT License. {filler}",
+        f"{text_of(4, 7)} {gpl} {text_of(5, 7)}",
+        gpl.replace("the GNU", "the\nGNU") + f"\n{filler}",
+        "# " + header.replace("\n", "\n# ") + f"\n{filler}",
+        "Released under the MIT License.\n" + filler,
+        f"{filler} Released under the MIT License.\nLicensed under CC BY-NC 4.0.\n{filler} released under the MIT license {filler}",
+        f"{filler} under the license {filler} the MIT {filler}"])
+    assert got[0] == got[1] == [("MIT", 1.0)] and got[2] == got[3] == [("GPL-3.0", 1.0)]
+    assert ("Apache-2.0-header", 1.0) in got[4] and got[5] == [("MIT", 1.0)] and got[7] == []
+    assert got[6] == [("CC-BY-NC-4.0", 1.0), ("MIT", 1.0)]
+
+
+def test_best_runs_match_brute_force(spark):
+    r, known = random.Random(8), {k: licenses.TEMPLATES[k] for k in ("Apache-2.0", "CC-BY-4.0", "GPL-3.0", "MIT")}
+    texts = []
+    for _ in range(60):
+        w = licenses.template_words(r.choice(sorted(known.values())))
+        for _ in range(r.randrange(4)):
+            w.insert(r.randrange(len(w)), r.choice(WORDS + ["the", "license"])) if r.random() < 0.5 else w.pop(r.randrange(len(w)))
+        texts.append(" ".join(text_of(r.random(), 5).split() + w + text_of(r.random(), 5).split()))
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates=known).collect()
+    for row in rows:
+        w, best = licenses.template_words(row.text), {}
+        for name, body in known.items():
+            own = set(licenses.template_pairs(licenses.template_words(body)))
+            for a, b in itertools.combinations(range(len(w) + 1), 2):
+                run = set(licenses.template_pairs(w[a:b])) if b - a > 1 else set()
+                best[name] = max(best.get(name, 0), 2 * len(run & own) / (len(run) + len(own)))
+        got = {}
+        for m in row.licenses:
+            got[m.license] = max(got.get(m.license, 0), m.dice)
+        assert got == pytest.approx({k: v for k, v in best.items() if v >= 0.8})
