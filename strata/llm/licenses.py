@@ -4,7 +4,9 @@ A text is cut into units: every line, every paragraph, and the whole.  A unit an
 compared by 2 |A and B| / (|A| + |B|) over their distinct adjacent word pairs.  A coefficient of t
 bounds |A| by t/(2-t) |B| from below and (2-t)/t |B| from above, which prunes the templates that
 a unit is compared with at all; and it needs that share of the template's pairs, so each template
-has a few long words of which a matching text must hold one, and a text without any is done.
+has a few long words of which a matching text must hold one.  A text without any, and too short to
+hold enough pairs of a long template, is done; else only templates are looked at of which the
+whole text holds enough pairs.
 
 A notice may also be part of a line, or wrapped over lines of a longer paragraph.  In what the
 reported units leave (for a template: those of itself and of templates that hold it), runs of
@@ -26,6 +28,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Mapping
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +42,9 @@ CUT = "\uFFFF"  # no character
 
 COMMON = frozenset(STOP_WORDS) | frozenset("under any use work free public general version following above".split())
 
-# Public licence notices and texts; fixed values.
+LONG = 300  # templates of more pairs have too many long words to look for these first
+
+# Public licence notices, and opening paragraphs of licences; fixed values.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except
@@ -66,7 +71,7 @@ details.""",
     "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
 granted, provided that the above copyright notice and this permission notice appear in all copies.""",
     "MIT": "Released under the MIT License.",
-    "MIT-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+    "MIT-grant": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
 to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to
 whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this
@@ -75,6 +80,9 @@ permission notice shall be included in all copies or substantial portions of the
 not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+# Whole licence texts, without title and copyright lines where these vary.
+TEMPLATES |= {f.name.removesuffix(".txt"): f.read_text("utf-8")
+              for f in sorted((resources.files(__package__) / "license_texts").iterdir(), key=lambda f: f.name)}
 
 
 def template_words(text: str) -> list[str]:
@@ -97,6 +105,11 @@ def cue_words(words: list[str], percent: int) -> set[str]:
     return chosen
 
 
+def listed(values: list[str]) -> Column:
+    """A constant array; none of ``values`` holds a line break."""
+    return F.split(F.lit("\n".join(values)), "\n")
+
+
 def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), SEPARATORS), "")
 
@@ -117,24 +130,28 @@ def units(text: Column) -> Column:
 
 def scan(docs: DataFrame, text: str = "text", percent: int = PERCENT, templates: Mapping[str, str] = TEMPLATES) -> DataFrame:
     """``docs`` plus ``licenses``: an array of ``license, dice, unit`` (the unit's text), best first."""
-    rows, cues = [], set()
+    rows, cues, long = [], set(), []
     words_of = {name: template_words(body) for name, body in sorted(templates.items())}
     pairs_of = {name: template_pairs(own) for name, own in words_of.items()}
     for name, p in pairs_of.items():
-        cues |= cue_words(words_of[name], percent)
         least = -(-len(p) * percent // (200 - percent))  # shared pairs that a match has at least
+        if len(p) > LONG:
+            long.append(least)
+        else:
+            cues |= cue_words(words_of[name], percent)
         held_by = [m for m, q in pairs_of.items() if len(set(p) & set(q)) >= least]
-        rows.append(F.struct(F.lit(name).alias("license"), F.lit(len(p)).alias("n"), F.array(*map(F.lit, p)).alias("pairs"),
+        rows.append(F.struct(F.lit(name).alias("license"), F.lit(len(p)).alias("n"), listed(p).alias("pairs"),
                              F.lit(least).alias("least"), F.lit(2 * (len(p) * (200 - percent) // percent)).alias("most"),
-                             F.lit(len(words_of[name]) < 2).alias("single"), F.array(*map(F.lit, held_by)).alias("held_by")))
-    known, cue = F.array(*rows), F.array(*map(F.lit, sorted(cues)))
-    all_pairs = F.array(*map(F.lit, sorted({x for p in pairs_of.values() for x in p})))
+                             F.lit(len(words_of[name]) < 2).alias("single"), listed(held_by).alias("held_by")))
+    known, cue = F.array(*rows), listed(sorted(cues))
+    all_pairs = listed(sorted({x for p in pairs_of.values() for x in p}))
+    singles = any(len(own) < 2 for own in words_of.values())
     column = F.coalesce(F.col(f"`{text}`"), F.lit(""))
 
-    def matches(unit: Column) -> Column:
+    def matches(unit: Column, likely: Column) -> Column:
         def against(own: Column) -> Column:
             n = F.size(own)
-            near = F.filter(known, lambda t: ((200 - percent) * n >= percent * t["n"]) & (percent * n <= (200 - percent) * t["n"]))
+            near = F.filter(likely, lambda t: ((200 - percent) * n >= percent * t["n"]) & (percent * n <= (200 - percent) * t["n"]))
             scored = F.transform(near, lambda t: F.struct(
                 (2.0 * F.size(F.array_intersect(own, t["pairs"])) / (n + t["n"])).alias("dice"), t["license"].alias("license"),
                 unit.alias("unit")))
@@ -187,14 +204,21 @@ def scan(docs: DataFrame, text: str = "text", percent: int = PERCENT, templates:
         cut = F.aggregate(longest, column, lambda text, m: F.replace(text, m["unit"], F.lit(CUT)))
         return F.transform(F.split(cut, CUT), words)
 
-    def with_runs(reported: Column) -> Column:
-        def of_likely(own: Column) -> Column:
-            likely = F.filter(known, lambda t: F.size(F.array_intersect(own, t["pairs"])) >= t["least"])
-            return F.concat(reported, F.array_distinct(F.flatten(F.transform(likely, lambda t: F.flatten(
-                F.transform(left(t, reported), lambda w: runs(t, w)))))))
-        held = let(words(column), lambda w: F.array_intersect(F.concat(run_pairs(w), w), all_pairs))
-        return let(held, of_likely)
+    def with_runs(reported: Column, likely: Column) -> Column:
+        return F.concat(reported, F.array_distinct(F.flatten(F.transform(likely, lambda t: F.flatten(
+            F.transform(left(t, reported), lambda w: runs(t, w)))))))
 
-    found = ranked(let(F.flatten(F.transform(units(column), matches)), with_runs))
     none = F.array().cast("array<struct<license:string,dice:double,unit:string>>")
-    return docs.withColumn("licenses", F.when(F.arrays_overlap(words(column), cue), found).otherwise(none))
+
+    def of_likely(likely: Column) -> Column:
+        found = let(F.flatten(F.transform(units(column), lambda u: matches(u, likely))), lambda reported: with_runs(reported, likely))
+        return F.when(F.size(likely) > 0, ranked(found)).otherwise(none)
+
+    def of_words(w: Column) -> Column:
+        def holding(own: Column) -> Column:
+            return F.filter(known, lambda t: F.size(F.array_intersect(own, t["pairs"])) >= t["least"])
+        held = F.array_intersect(F.concat(run_pairs(w), w) if singles else run_pairs(w), all_pairs)
+        enough = F.size(w) > min(long) if long else F.lit(False)
+        return F.when(F.arrays_overlap(w, cue) | enough, let(let(held, holding), of_likely)).otherwise(none)
+
+    return docs.withColumn("licenses", let(words(column), of_words))

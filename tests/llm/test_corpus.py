@@ -389,3 +389,19 @@ def test_best_runs_match_brute_force(spark):
         for m in row.licenses:
             got[m.license] = max(got.get(m.license, 0), m.dice)
         assert got == pytest.approx({k: v for k, v in best.items() if v >= 0.8})
+
+
+WHOLE = ["Apache-2.0-text", "BSD-2-Clause-text", "BSD-3-Clause-text", "CC0-1.0-text", "GPL-3.0-text", "ISC-text", "MIT-text",
+         "MPL-2.0-text", "Unlicense-text"]
+
+
+def test_whole_licence_texts_alone_before_code_and_in_comments(spark):
+    code = "\nint main(void) {\n  return 0;\n}\n" * 40
+    bodies = [licenses.TEMPLATES[k] for k in WHOLE]
+    commented = ["// " + b.rstrip().replace("\n", "\n// ") + code for b in bodies]
+    disclaimers = ["THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS", "THE SOFTWARE IS PROVIDED"]
+    assert all(any(d in " ".join(licenses.TEMPLATES[k].split()) for d in disclaimers) for k in WHOLE if k.startswith(("BSD", "MIT", "ISC")))
+    got = licences_of(spark, bodies + [f"Copyright 2020 A. Person\n\n{b}\n{code}" for b in bodies] + commented)
+    for i, best in got.items():
+        # 1.0 as far as the code is not part of the best unit
+        assert max(dice for name, dice in best if name == WHOLE[i % len(WHOLE)]) >= 0.9, (i, best)
