@@ -48,14 +48,15 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    found = written(minhash.near_duplicates(docs, shingle=SHINGLE), "near")
-    gone = found.where(~F.col("kept")).select("doc_id")
-    stay = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.where("kept").groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
+    keyed = docs.select(F.when(F.col("doc_id").isNotNull(), key()).alias("doc_id"), "text")
+    found = written(minhash.near_duplicates(keyed, shingle=SHINGLE), "near").withColumnRenamed("doc_id", "node")
+    gone = found.where(~F.col("kept")).select("node").distinct()
+    stay = docs.join(gone, key() == F.col("node"), "left_anti").select(*docs.columns)
+    repeated = found.where("kept AND node IS NOT NULL").groupBy("node").count().where("count > 1").select("node")
     if repeated.isEmpty():
         return stay
-    once = stay.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return stay.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    once = stay.join(repeated, key() == F.col("node"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return stay.join(repeated, key() == F.col("node"), "left_anti").unionByName(once).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

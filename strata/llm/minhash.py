@@ -18,9 +18,9 @@ With 40 bands of 6, a pair at similarity 0.8 shares no band with probability 5e-
 of 240 bytes reject a pair at 0.8 with probability under 1e-7.
 
 Defined results: a text without words, or null, has an empty set and is linked with nothing; a
-text shorter than a shingle is one shingle; rows that repeat an id are one node (linked if any
-of its texts is), and each row is returned; a null id is never linked.  Only the two named
-columns are read.
+text shorter than a shingle is one shingle; rows that repeat an id are in one component (linked if
+any of its texts is; texts are compared one by one), and each row is returned; a null id is never
+linked.  Only the two named columns are read.
 """
 
 from __future__ import annotations
@@ -118,10 +118,22 @@ def set_maker(shingle: int):
         ids: dict[bytes, int] = {}
         for batch in batches:
             sets = [shingle_hashes(w, shingle, ids).tobytes() for w in _texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "set"])
+            keys = [xxhash.xxh3_128_digest(z) for z in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sets, pa.binary())],
+                                             ["doc_id", "set_key", "set"])
     return make
 
 
+def sets_of(nodes: DataFrame, docs: DataFrame, shingle: int, several: bool) -> DataFrame:
+    """The full sets of ``nodes`` (``doc_id``; with the text's ``set_key`` if ids have ``several`` texts)."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    needed = nodes.select(F.col("doc_id.doc_id") if several else F.col("doc_id")).distinct()
+    sets = docs.join(needed.hint("merge"), "doc_id", "left_semi").mapInArrow(
+        set_maker(shingle), f"doc_id {kind}, set_key binary, set binary")
+    node = F.struct("doc_id", "set_key").alias("doc_id") if several else F.col("doc_id")
+    return written(sets.select(node, "set"), "sets")
+
+
 def agreeing(least: float):
     """Pairs whose signatures agree in a share ``least`` of their bytes."""
     def keep(batches):
@@ -189,7 +201,7 @@ def comparing(percent: int):
             dense = np.zeros((len(sets), CHUNK), np.float32)
             dense[row[part], column[part] - at] = 1
             both += dense @ dense.T
-        c = np.unique(np.array(rows["c"].to_pylist()), return_inverse=True)[1]
+        c = np.unique([str(v) for v in rows["c"].to_pylist()], return_inverse=True)[1]  # ids may be structs
         block, across = np.array(rows["block"].to_pylist()), rows["i"][0].as_py() != rows["j"][0].as_py()
         ok = (c[:, None] != c) & (100 * both >= percent * (size[:, None] + size - both))
         ok &= (block[:, None] != block) if across else True
@@ -199,7 +211,7 @@ def comparing(percent: int):
     return compare
 
 
-def _remaining(members: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _remaining(members: DataFrame, docs: DataFrame, shingle: int, percent: int, several: bool) -> DataFrame:
     """Links among the members that neither end of their bucket was tested for, across
     components.  A bucket is cut into blocks of bounded size; each pair of blocks is compared in
     one go, so that what is passed on are members and links, never pairs."""
@@ -207,9 +219,7 @@ def _remaining(members: DataFrame, docs: DataFrame, shingle: int, percent: int)
     inner = members.where((F.col("n") > 3) & (F.col("doc_id") != F.col("first")) & (F.col("doc_id") != F.col("last")))
     mixed = inner.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
     inner = written(inner.join(mixed.hint("merge"), "key").select("key", "doc_id", "c"), "inner")
-    needed = inner.select("doc_id").distinct()
-    sets = docs.join(needed.hint("merge"), "doc_id", "left_semi").mapInArrow(set_maker(shingle), f"doc_id {kind}, set binary")
-    rows = inner.join(written(sets, "sets").hint("merge"), "doc_id")
+    rows = inner.join(sets_of(inner, docs, shingle, several).hint("merge"), "doc_id")
     order = Window.partitionBy("key").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
     weight = F.octet_length("set") / 8 + BLOCK_SHINGLES // BLOCK_ROWS
     rows = rows.withColumn("block", F.floor(F.coalesce(F.sum(weight).over(order), F.lit(0)) / BLOCK_SHINGLES).cast("int"))
@@ -219,16 +229,14 @@ def _remaining(members: DataFrame, docs: DataFrame, shingle: int, percent: int)
     return rows.groupBy("key", "i", "j").applyInArrow(comparing(percent), f"x {kind}, y {kind}").distinct()
 
 
-def _linked(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, shingle: int, percent: int, several: bool) -> DataFrame:
     """Those of ``x, y`` that pass the signature and the exact test."""
     kind = sigs.schema["doc_id"].dataType.simpleString()
     x = sigs.withColumnsRenamed({"doc_id": "x", "sig": "sig_x"})
     y = sigs.withColumnsRenamed({"doc_id": "y", "sig": "sig_y"})
     near = written(pairs.hint("merge").join(x.hint("merge"), "x").join(y.hint("merge"), "y").select("x", "y", "sig_x", "sig_y")
                    .mapInArrow(agreeing(SIGNATURE_LEAST), f"x {kind}, y {kind}"), "near")
-    needed = near.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
-    sets = docs.join(needed.hint("merge"), "doc_id", "left_semi").mapInArrow(set_maker(shingle), f"doc_id {kind}, set binary")
-    sets = written(sets, "sets")
+    sets = sets_of(near.select(F.explode(F.array("x", "y")).alias("doc_id")), docs, shingle, several)
     x = sets.withColumnsRenamed({"doc_id": "x", "set": "set_x"})
     y = sets.withColumnsRenamed({"doc_id": "y", "set": "set_y"})
     both = near.join(x.hint("merge"), "x").join(y.hint("merge"), "y").select("x", "y", "set_x", "set_y")
@@ -249,21 +257,33 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     reps = written(known.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"),
                                                 F.min_by(F.struct("sig", "band"), "doc_id").alias("s"))
                    .select("set_key", "doc_id", "s.sig", "s.band"), "reps")
+    texts = known.groupBy("doc_id").agg(F.min("set_key").alias("k0"), F.max("set_key").alias("k1")).where("k0 < k1").select("doc_id")
+    texts = written(known.select("doc_id", "set_key").join(texts.hint("merge"), "doc_id", "left_semi").distinct(), "texts")
+    several = not texts.isEmpty()
+    if several:  # from here on each text is a node of its own
+        reps = reps.withColumn("doc_id", F.struct("doc_id", "set_key"))
 
     buckets = reps.select("doc_id", F.explode("band").alias("key"))
     ends = (buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"),
                                        F.max("doc_id").alias("last")).where(F.col("first") < F.col("last")))
     members = written(buckets.join(ends.hint("merge"), "key"), "members")
-    sigs = reps.groupBy("doc_id").agg(F.first("sig").alias("sig"))
+    sigs = reps.select("doc_id", "sig")
     tested = lambda pairs: _linked(pairs.select(
-        F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), sigs, docs, shingle, percent)
-    same = components(tested(_least_partner(members)).toDF("a", "b"))
-    for step in (lambda m: tested(_end_partners(m)), lambda m: _remaining(m, docs, shingle, percent)):
+        F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), sigs, docs, shingle, percent, several)
+    links = tested(_least_partner(members)).toDF("a", "b")
+    if several:  # the texts of an id are linked
+        at = texts.withColumnRenamed("doc_id", "id").join(reps.select("set_key", F.col("doc_id").alias("b")), "set_key")
+        first = at.groupBy("id").agg(F.min("b").alias("a"))
+        links = links.unionByName(at.join(first, "id").where("a != b").select("a", "b").distinct())
+    same = components(links)
+    for step in (lambda m: tested(_end_partners(m)), lambda m: _remaining(m, docs, shingle, percent, several)):
         known = same.select(F.col("node").alias("a"), F.col("component").alias("b"))
         same = components(step(_open(members, same)).toDF("a", "b").unionByName(known))
 
     classes = (reps.select("set_key", F.col("doc_id").alias("rep")).join(same, F.col("rep") == F.col("node"), "left")
                .select("set_key", F.coalesce("component", "rep").alias("component")))
+    if several:
+        classes = classes.select("set_key", F.col("component.doc_id").alias("component"))
     named = signed.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
     out = named.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

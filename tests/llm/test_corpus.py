@@ -405,3 +405,26 @@ def test_whole_licence_texts_alone_before_code_and_in_comments(spark):
     for i, best in got.items():
         # 1.0 as far as the code is not part of the best unit
         assert max(dice for name, dice in best if name == WHOLE[i % len(WHOLE)]) >= 0.9, (i, best)
+
+
+# --- ids with several texts --------------------------------------------------------------------------
+def changed(text, n):
+    return " ".join(["changed"] * n + text.split()[n:])
+
+
+def test_near_duplicate_stage_tells_texts_of_one_id_apart(spark):
+    a, b, c = (text_of(i) for i in (21, 22, 23))
+    rows = [(1, a), (5, b), (5, changed(a, 3)), (7, c), (7, changed(c, 3)), (8, text_of(24)), (8, text_of(24)), (None, a), (None, a)]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], SCHEMA)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()]
+    assert len(got) == 6 and {(1, a), (5, b), (8, text_of(24))} <= set(got) and got.count((None, a)) == 2
+    assert sum(i == 7 for i, _ in got) == 1 and sum(i == 8 for i, _ in got) == 1
+
+
+def test_near_duplicates_link_an_id_by_any_of_its_texts(spark):
+    base = [text_of(i) for i in range(40, 52)]
+    rows = [(i, t) for i, t in enumerate(base)] + [(100 + j, t) for i, t in enumerate(base) for j in (i // 2, ) for t in (changed(t, 2),)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # ids 100 to 105 have two texts each, and join the originals of both
+    assert {(r.doc_id, r.component_id) for r in got} == {(i, i // 2 * 2) for i in range(12)} | {(100 + j, 2 * j) for j in range(6)}
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got) and len(got) == 24
