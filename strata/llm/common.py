@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]"
@@ -65,9 +65,54 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
 
 
 def bounded(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows (reads no more than that)."""
     return df.limit(rows + 1).count() <= rows
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` made and that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.folder)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def same(pairs: dict[str, str]) -> Column:
+    """Equality of columns, null to null."""
+    out = F.lit(True)
+    for a, b in pairs.items():
+        out = out & F.col(a).eqNullSafe(F.col(b))
+    return out
+
+
+def placed(df: DataFrame, group: list[str], order: list[str], weight: Column | None = None, at: str = "at",
+           total: str = "total") -> DataFrame:
+    """``df`` with ``at``, the sum of ``weight`` (1 a row) over the rows before it in its group,
+    and ``total``, the group's sum.  Nulls come first; a tie in all of ``group`` and ``order``
+    is broken anyhow, so its rows must be alike or have a salt among ``order``.
+
+    Rows are dealt out by ranges of (group, order), so that a group of any size spreads over
+    tasks: running sums are made within each range, and the ranges' sums, a row for each range
+    and group, shift them.  ``df`` is read twice; rows read again must come out the same.
+    """
+    weight = F.lit(1) if weight is None else weight
+    keys = [F.col(c) for c in (*group, *order)]
+    parts = written(df.withColumn("_w", weight.cast("long")).repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()),
+                    "placed")
+    before = (Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(*before)
+    rows = parts.withColumn("_in", F.coalesce(F.sum("_w").over(inside), F.lit(0)))
+    sums = parts.groupBy("_part", *group).agg(F.sum("_w").alias("_sum"))
+    by = Window.partitionBy(*group)
+    shift = sums.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_g_{c}") for c in group],
+                        F.coalesce(F.sum("_sum").over(by.orderBy("_part").rowsBetween(*before)), F.lit(0)).alias("_shift"),
+                        F.sum("_sum").over(by).alias(total))
+    shift = written(shift, "shifts")
+    shift = F.broadcast(shift) if bounded(shift, 100_000) else shift
+    on = (F.col("_part") == F.col("_p")) & same({c: f"_g_{c}" for c in group})
+    return rows.join(shift, on).select(*df.columns, (F.col("_in") + F.col("_shift")).alias(at), total)

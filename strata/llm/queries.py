@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import chat, decontaminate, licenses, line_dedup, minhash, mixing, pii, quality, toxicity, warc
+from strata.llm import chat, decontaminate, licenses, line_dedup, merkle, minhash, mixing, pii, quality, toxicity, warc
 from strata.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -254,3 +254,51 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array_sort(F.array_distinct(F.col("licenses.license")))
     return out.select("doc_id", F.size("licenses").cast("long").alias("n_matches"), best["license"].alias("license"),
                       F.round(best["dice"], 6).alias("dice"), F.array_join(names, ",").alias("licenses"))
+
+
+# --- 11: Merkle manifest ----------------------------------------------------------------------------------
+def _crc32_sql(text: str) -> str:
+    """The unsigned crc32 of an ASCII text, from a table of 256 values made by the polynomial."""
+    return (f"xor(list_reduce([4294967295::UBIGINT] || list_transform(string_split({text}, ''), lambda ch: ascii(ch)::UBIGINT), "
+            "lambda x, y: xor(x >> 8, crc[(xor(x, y) & 255)::BIGINT + 1])), 4294967295::UBIGINT)")
+
+
+_CRC_TABLE = ("(SELECT list(c ORDER BY i) AS crc FROM (SELECT i, list_reduce([i::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: "
+              "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END) AS c FROM range(256) t(i)))")
+
+
+def _leaf_sql(n_chars: str) -> str:
+    values = ["doc_id", "source", "lang", n_chars, "text"]
+    return "sha256(%s)" % " || ".join(f"CASE WHEN {v} IS NULL THEN '-' ELSE strlen(({v})::VARCHAR)::VARCHAR || ':' || ({v})::VARCHAR END" for v in values)
+
+
+_OP11_SQL = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '') AS g, {_leaf_sql('n_chars')} AS leaf,
+    CASE WHEN doc_id IS NOT NULL AND {_crc32_sql("doc_id::VARCHAR")} % 7 = 0 THEN {_leaf_sql('n_chars + 1')} ELSE {_leaf_sql('n_chars')} END AS claimed
+  FROM documents, {_CRC_TABLE}),
+p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS m FROM d),
+n(g, l, i, h, m) AS (SELECT g, 0, i, leaf, m FROM p UNION ALL
+  (SELECT g, l + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (m + 1) // 2 FROM n WHERE m > 1 GROUP BY g, l, i // 2, m)),
+s AS (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS m FROM n WHERE m = 1),
+t(l, i, h, m) AS (SELECT 0, i, h, m FROM s UNION ALL
+  (SELECT l + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (m + 1) // 2 FROM t WHERE m > 1 GROUP BY l, i // 2, m)),
+f(r, g, l, i, m, h, proof) AS (SELECT r, g, 0, i, m, claimed, '' FROM p UNION ALL
+  SELECT f.r, f.g, f.l + 1, f.i // 2, (f.m + 1) // 2,
+    sha256(CASE WHEN n.h IS NULL THEN f.h WHEN f.i % 2 = 1 THEN n.h || f.h ELSE f.h || n.h END), f.proof || coalesce(n.h, '')
+  FROM f LEFT JOIN n ON n.g = f.g AND n.l = f.l AND n.i = f.i + 1 - 2 * (f.i % 2) WHERE f.m > 1),
+u(r, l, i, m, h, proof) AS (SELECT f.r, 0, s.i, s.m, f.h, f.proof FROM f JOIN s USING (g) WHERE f.m = 1 UNION ALL
+  SELECT u.r, u.l + 1, u.i // 2, (u.m + 1) // 2,
+    sha256(CASE WHEN t.h IS NULL THEN u.h WHEN u.i % 2 = 1 THEN t.h || u.h ELSE u.h || t.h END), u.proof || coalesce(t.h, '')
+  FROM u LEFT JOIN t ON t.l = u.l AND t.i = u.i + 1 - 2 * (u.i % 2) WHERE u.m > 1)
+SELECT p.doc_id, p.leaf, s.h AS subroot, top.h AS root, sha256(u.proof) AS proof_sha256, u.h AS folded_root, u.h = top.h AS verified
+FROM p JOIN s USING (g) JOIN u ON u.r = p.r AND u.m = 1, (SELECT h FROM t WHERE m = 1) AS top
+"""
+
+
+@_register("op11_merkle_manifest", _OP11_SQL)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*merkle.FIELDS)
+    altered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    raised = merkle.leaf([F.col(c) + 1 if c == "n_chars" else F.col(c) for c in merkle.FIELDS])
+    claimed = F.when(altered, raised).otherwise(merkle.leaf([F.col(c) for c in merkle.FIELDS]))
+    return merkle.verify(merkle.manifest(docs, claimed=claimed))
