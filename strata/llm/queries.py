@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import chat, decontaminate, licenses, line_dedup, merkle, minhash, mixing, pii, quality, toxicity, warc
+from strata.llm import chat, decontaminate, licenses, line_dedup, merkle, minhash, mixing, pii, quality, repair, toxicity, warc
 from strata.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -302,3 +302,64 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     raised = merkle.leaf([F.col(c) + 1 if c == "n_chars" else F.col(c) for c in merkle.FIELDS])
     claimed = F.when(altered, raised).otherwise(merkle.leaf([F.col(c) for c in merkle.FIELDS]))
     return merkle.verify(merkle.manifest(docs, claimed=claimed))
+
+
+# --- 12: conversation repair --------------------------------------------------------------------------------
+# Cost vectors are lists over the states nothing yet, after system, after user, after assistant.
+def _cheapest_sql(state: int, after: int, v: str) -> str:
+    """The least cost of a row's own edits from ``state``; ``after``: the state of one more row."""
+    keep = {1: f"CASE role WHEN 's' THEN {v}[2] WHEN 'u' THEN {v}[3] END", 2: f"CASE role WHEN 'u' THEN {v}[3] END",
+            3: f"CASE role WHEN 'a' THEN {v}[4] END", 4: f"CASE role WHEN 'u' THEN {v}[3] END"}[state]
+    return (f"least(2 + {v}[{state}], CASE WHEN kind < 2 THEN 5 * kind + least(coalesce({keep}, 1000000), 1 + {v}[{after}]) "
+            f"ELSE 1000000 END)")
+
+
+_STATES = ((1, 3), (2, 3), (3, 4), (4, 3))  # each state, and the state after one more user or assistant row
+_OWN = ", ".join(_cheapest_sql(s, t, "v") for s, t in _STATES)
+_CLOSED = ", ".join(f"least(o[{s}], 5 + o[{t}], 10 + o[{dict(_STATES)[t]}])" for s, t in _STATES)
+_AFTER = "CASE q WHEN 3 THEN 4 ELSE 3 END"
+_KEPT = "CASE WHEN role = 's' AND q = 1 THEN 2 WHEN role = 'u' AND q <> 3 THEN 3 WHEN role = 'a' AND q = 3 THEN 4 END"
+_OP12_SQL = rf"""
+WITH RECURSIVE x AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc32_sql("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS f FROM conversations, {_CRC_TABLE}),
+y AS (SELECT conv_id, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM x),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth, count(*) OVER (PARTITION BY conv_id) AS n FROM y),
+z AS (SELECT conv_id, i, n, turn, role AS name, text, left(role, 1) AS role,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' END AS fault,
+    CASE WHEN fault = 'truncated' THEN 1 WHEN fault IS NULL THEN 0 ELSE 2 END AS kind,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS prior FROM r),
+b(conv_id, i, v) AS (SELECT DISTINCT conv_id, n + 1, [0, 10, 5, 0] FROM z UNION ALL
+  SELECT conv_id, i, [{_CLOSED}] FROM (SELECT z.conv_id, z.i, [{_OWN}] AS o FROM b JOIN z ON z.conv_id IS NOT DISTINCT FROM b.conv_id AND z.i = b.i - 1)),
+t(conv_id, i, q, cost, audit, fixed, n) AS (SELECT DISTINCT conv_id, 1::BIGINT, 1, 0, '', []::VARCHAR[], n FROM z UNION ALL
+  SELECT conv_id, CASE WHEN op = 'I' THEN i ELSE i + 1 END, CASE op WHEN 'D' THEN q WHEN 'K' THEN kept ELSE after END,
+    cost + CASE op WHEN 'D' THEN 2 WHEN 'I' THEN 5 WHEN 'K' THEN 5 * kind ELSE 1 + 5 * kind END, audit || op,
+    CASE op WHEN 'D' THEN fixed WHEN 'K' THEN list_append(fixed, name || ':' || text)
+      ELSE list_append(fixed, CASE after WHEN 3 THEN 'user:' ELSE 'assistant:' END || CASE op WHEN 'R' THEN text ELSE '' END) END, n
+  FROM (SELECT *, CASE WHEN i <= n AND 2 + w[q] = v[q] THEN 'D' WHEN 5 + v[after] = v[q] THEN 'I'
+      WHEN i <= n AND kind < 2 AND 5 * kind + w[kept] = v[q] THEN 'K' ELSE 'R' END AS op
+    FROM (SELECT t.*, b.v, w.v AS w, z.role, z.name, z.text, z.kind, {_AFTER} AS after, {_KEPT} AS kept
+      FROM t JOIN b ON b.conv_id IS NOT DISTINCT FROM t.conv_id AND b.i = t.i
+      LEFT JOIN b w ON w.conv_id IS NOT DISTINCT FROM t.conv_id AND w.i = t.i + 1
+      LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM t.conv_id AND z.i = t.i
+      WHERE t.i <= t.n OR q IN (2, 3)))),
+e AS (SELECT * FROM t WHERE i = n + 1 AND q IN (1, 4)),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+    count(*) FILTER (fault = 'blank')::BIGINT AS blank, count(*) FILTER (fault = 'duplicate')::BIGINT AS duplicate,
+    count(*) FILTER (fault = 'truncated')::BIGINT AS truncated,
+    count(*) FILTER (i > 1 AND prior || role NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal FROM z GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit,
+  sha256(coalesce(array_to_string(fixed, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+@_register("op12_conversation_repair", _OP12_SQL)
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.repair_all(repair.damage(turns), turns)
