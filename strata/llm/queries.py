@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import chat, decontaminate, licenses, line_dedup, merkle, minhash, mixing, pii, quality, repair, toxicity, warc
+from strata.llm import chat, decontaminate, licenses, line_dedup, merkle, minhash, mixing, pii, quality, repair, substrings, toxicity, warc
 from strata.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -363,3 +363,21 @@ LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return repair.repair_all(repair.damage(turns), turns)
+
+
+# --- 13: substring dedup --------------------------------------------------------------------------------------
+_OP13_SQL = rf"""
+WITH w AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, text) AS r, doc_id, {_WORDS} AS ws FROM documents),
+g AS (SELECT r, unnest(range(1, len(ws) - 18)) AS s, ws FROM w WHERE len(ws) >= 20),
+h AS (SELECT r, s, row_number() OVER (PARTITION BY array_to_string(ws[s:s + 19], ' ') ORDER BY r, s) AS nth FROM g),
+p AS (SELECT r, list(DISTINCT q) AS gone FROM (SELECT r, unnest(range(s, s + 20)) AS q FROM h WHERE nth > 1) GROUP BY r),
+k AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept FROM (SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w) o
+  WHERE NOT EXISTS (SELECT 1 FROM (SELECT r, unnest(gone) AS q FROM p) x WHERE x.r = o.r AND x.q = o.i) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN p USING (r) LEFT JOIN k USING (r)
+"""
+
+
+@_register("op13_substring_dedup", _OP13_SQL)
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_words(table(spark, sf_dir, "documents"))
