@@ -73,7 +73,7 @@ def clamp_increment(c, ceil_: int = 4, step: int = 1) -> Column:
 
 def threshold_label(p, threshold: float = 0.5, inclusive: bool = False,
                     positive: str = "Survived", negative: str = "Deceased") -> Column:
-    p = col_(p)
+    p = nan_to_null(col_(p).cast("double"))  # NaN would compare as the greatest number
     cond = (p >= threshold) if inclusive else (p > threshold)
     return F.when(cond, F.lit(positive)).when(p.isNotNull(), F.lit(negative))  # no score, no label
 

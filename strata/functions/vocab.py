@@ -21,6 +21,32 @@ SMOKING_STATUS_LABELS = {0: "Tidak Pernah", 1: "Mantan Perokok", 2: "Perokok Akt
 ALCOHOL_USE_LABELS = {0: "Tidak", 1: "Moderat", 2: "Berat"}
 GENDER_LABELS = {0: "Perempuan", 1: "Laki-laki"}
 
+FEATURE_LABELS = {
+    "Age": "Usia",
+    "TumorSize": "Ukuran Tumor",
+    "ChemotherapySessions": "Sesi Kemoterapi",
+    "RadiationSessions": "Sesi Radiasi",
+    "CancerStage_encoded": "Stadium Kanker",
+    "SmokingStatus_encoded": "Status Merokok",
+    "AlcoholUse_encoded": "Konsumsi Alkohol",
+    "Gender_Male": "Jenis Kelamin (1=Pria)",
+    "Metastasis_Yes": "Metastasis (1=Ya)",
+    "TumorType_encoded": "Jenis Tumor",
+    "SurvivalStatus_Survived": "Status Kelangsungan Hidup",
+    "FollowUpMonths": "Bulan Follow-Up",
+    "Cluster": "Cluster",
+}
+METRIC_LABELS = {
+    "accuracy": "Accuracy (Akurasi)",
+    "precision": "Precision (Presisi)",
+    "recall": "Recall (Sensitivitas)",
+    "f1": "F1-Score",
+    "auc": "AUC-ROC",
+}
+
+# --- fixed values: columns of a stored prediction ------------------------------------
+PREDICTION_COLUMNS = ["Cluster", "Survival_Probability", "Prediction"]
+
 # --- fixed values: binary indicators (column, positive value) -----------------------
 BINARY_INDICATORS = {"Gender": "Male", "Metastasis": "Yes", "SurvivalStatus": "Survived"}
 

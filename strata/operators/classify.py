@@ -2,10 +2,10 @@
 on Spark aggregates, or ``pyspark.ml``), stratified k-fold grid search, predictions,
 ranked coefficients and the one-class repair.
 
-Newton design: one Spark aggregate per iteration returns the gradient and Hessian sums
-(``O(d^2)`` scalars) of EVERY model being fitted - e.g. all grid values x all folds of a
-cross-validation - so a 3x3 grid search costs about as many scans as a single fit.  The
-rows never leave the executors; coefficients travel back into the plan as literals.
+Newton design: one pass per iteration adds up, in blocks of rows, the gradient and the weighted Gram
+matrix of EVERY model being fitted - e.g. all grid values x all folds of a cross-validation -
+so a 3x3 grid search costs about as many scans as a single fit.  The rows never leave the
+executors; what moves is ``O(models * features^2)`` numbers a task.
 """
 
 from __future__ import annotations
@@ -13,21 +13,27 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.functions.expr import clamp_decrement, clamp_increment, recode
-from strata.operators.common import materialize_small
+from strata.functions.expr import clamp_decrement, clamp_increment, nan_to_null, safe_div
+from strata.operators.blocks import Blocks, ship
+from strata.operators.common import broadcast_bounded, materialize_small, missing_cell, number
 from strata.operators.quantiles import kth_smallest
 from strata.operators.reshape import flag_first_m, hash_column
+from strata.session import cut_lineage
+
+ship(__name__)
 
 # --------------------------------------------------------------------------- ML11 / ML12
 
 
 def class_counts(df: DataFrame, target: str) -> dict:
+    """Rows by class, on the driver: for targets of few classes."""
     return {r[target]: r["n"] for r in df.groupBy(target).agg(F.count(F.lit(1)).alias("n")).collect()
             if r[target] is not None}
 
@@ -40,16 +46,21 @@ def balanced_weights(counts: Mapping) -> dict:
 
 
 def with_class_weight(df: DataFrame, target: str, out: str = "weight") -> DataFrame:
-    """ML11: balanced weight column from one count aggregate (a literal map, no join)."""
-    w = balanced_weights(class_counts(df, target))
-    return df.withColumn(out, recode(target, w).cast("double"))
+    """ML11: balanced weight column; the classes' weights stay a table, joined to the rows (broadcast
+    behind a check of its size)."""
+    counts = cut_lineage(df.where(~missing_cell(df, target)).groupBy(F.col(target).alias("_class")).agg(F.count(F.lit(1)).alias("_n")))
+    total = counts.agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("k")).first()
+    weights = counts.select("_class", safe_div(F.lit(total["n"]), F.col("_n") * F.lit(total["k"])).alias(out))
+    return df.drop(out).join(broadcast_bounded(weights), F.col(target) == F.col("_class"), "left").drop("_class")
 
 
 def majority_baseline(df: DataFrame, target: str, out: str = "prediction") -> tuple[object, DataFrame]:
     """ML12: the most frequent class (ties -> smallest) as a constant prediction."""
-    counts = class_counts(df, target)
-    best = sorted(counts.items(), key=lambda kv: (-kv[1], kv[0]))[0][0]
-    return best, df.withColumn(out, F.lit(best))
+    counts = df.where(~missing_cell(df, target)).groupBy(target).agg(F.count(F.lit(1)).alias("_n"))
+    best = counts.orderBy(F.desc("_n"), target).first()
+    if best is None:
+        raise ValueError("no row has a class")
+    return best[target], df.withColumn(out, F.lit(best[target]))
 
 
 # --------------------------------------------------------------------------- linear predictor
@@ -80,8 +91,9 @@ class LogisticModel:
 
     def transform(self, df: DataFrame, prob: str = "probability", pred: str = "prediction",
                   threshold: float = 0.5) -> DataFrame:
-        """ML14: probability of class 1 and the class (``p > threshold``) as a projection."""
-        return df.withColumn(prob, self.probability()).withColumn(pred, (F.col(prob) > threshold).cast("int"))
+        """ML14: probability of class 1 and the class (``p > threshold``) as a projection; a row with a
+        missing feature has neither."""
+        return df.withColumn(prob, nan_to_null(self.probability())).withColumn(pred, (F.col(prob) > threshold).cast("int"))
 
     def params(self) -> dict:
         return {"features": self.features, "coef": self.coef, "intercept": self.intercept, "C": self.C}
@@ -90,76 +102,96 @@ class LogisticModel:
 # --------------------------------------------------------------------------- ML9 Newton
 
 
+class NotConverged(RuntimeError):
+    """A fit that its passes left unconverged."""
+
+
 @dataclass
 class _Spec:
     C: float
-    row_weight: Column  # weight of a row in this model's loss (0 excludes it)
+    class_weight: Mapping[float, float] | None = None
+    without_fold: int | None = None  # rows of this fold have no part in the fit
+
+
+def _weights(spec: _Spec, y: np.ndarray, w: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    if spec.class_weight is not None:
+        w = w * np.select([y == c for c in spec.class_weight], list(spec.class_weight.values()), 0.0)
+    return w if spec.without_fold is None else np.where(fold == spec.without_fold, 0.0, w)
 
 
-def _newton_many(df: DataFrame, features: Sequence[str], target: str, specs: Sequence[_Spec],
-                 penalize_intercept: bool, max_iter: int, tol: float) -> list[tuple[np.ndarray, int]]:
-    """Fit len(specs) penalised logistic models with one aggregate per iteration."""
-    d = len(features) + 1  # intercept last
-    betas = [np.zeros(d) for _ in specs]
-    active = [True] * len(specs)
-    iters = [0] * len(specs)
-    reg = np.eye(d)
+def _training_blocks(df: DataFrame, features: Sequence[str], target: str, weight: Column | None = None, fold: Column | None = None) -> Blocks:
+    """Features, target, weight and fold of the rows in which none is missing."""
+    extra = {"_y": number(target), "_w": F.lit(1.0) if weight is None else weight.cast("double"), "_f": F.lit(-1.0) if fold is None else fold.cast("double")}
+    rows = df.select(*[number(f).alias(f"_x{i}") for i, f in enumerate(features)], *[c.alias(n) for n, c in extra.items()]).dropna()
+    return Blocks(rows, rows.columns)
+
+
+def _newton_many(blocks: Blocks, n_features: int, specs: Sequence[_Spec], penalize_intercept: bool, max_iter: int,
+                 tol: float) -> list[tuple[np.ndarray, int, bool]]:
+    """Fit len(specs) penalised logistic models together: per pass each task adds up, for every model that
+    still moves, loss, gradient and weighted Gram matrix of its blocks.  A step that raises a model's
+    objective is halved.  Returns coefficients (intercept last), passes and convergence."""
+    d = n_features + 1
+    size = 1 + d + d * d
+    reg = np.ones(d)
     if not penalize_intercept:
-        reg[-1, -1] = 0.0
-    xs = [F.col(f).cast("double") for f in features] + [F.lit(1.0)]
-    y = F.col(target).cast("double")
-    tri = [(i, j) for i in range(d) for j in range(i, d)]
+        reg[-1] = 0.0
+    betas, steps = [np.zeros(d) for _ in specs], [np.zeros(d) for _ in specs]
+    best, iters, done = [math.inf] * len(specs), [0] * len(specs), [False] * len(specs)
+    weigh = _weights
     for _ in range(max_iter):
-        aggs = []
-        live = [m for m in range(len(specs)) if active[m]]
+        live = [m for m in range(len(specs)) if not done[m]]
         if not live:
             break
-        for m in live:
-            b = betas[m]
-            z = F.lit(float(b[-1]))
-            for f, c in zip(xs[:-1], b[:-1]):
-                z = z + f * F.lit(float(c))
-            p = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
-            s = specs[m].row_weight
-            r = s * (p - y)
-            h = s * p * (F.lit(1.0) - p)
-            aggs += [F.sum(r * xs[i]).alias(f"g{m}_{i}") for i in range(d)]
-            aggs += [F.sum(h * xs[i] * xs[j]).alias(f"h{m}_{i}_{j}") for i, j in tri]
-        row = df.agg(*aggs).first()
-        for m in live:
-            C = specs[m].C
-            g = np.array([row[f"g{m}_{i}"] or 0.0 for i in range(d)]) * C + reg @ betas[m]
-            H = np.zeros((d, d))
-            for i, j in tri:
-                H[i, j] = H[j, i] = (row[f"h{m}_{i}_{j}"] or 0.0) * C
-            H += reg
-            step = np.linalg.solve(H, g)
-            betas[m] = betas[m] - step
+        now = [(specs[m], betas[m]) for m in live]
+
+        def make(x: np.ndarray) -> np.ndarray:
+            y, w, fold = x[:, d - 1], x[:, d], x[:, d + 1]
+            x1 = np.column_stack([x[:, :d - 1], np.ones(len(x))])
+            out = []
+            for spec, beta in now:
+                s = weigh(spec, y, w, fold)
+                z = x1 @ beta
+                p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+                h = s * p * (1 - p)
+                out += [[(s * (np.logaddexp(0, z) - y * z)).sum()], x1.T @ (s * (p - y)), ((x1 * h[:, None]).T @ x1).ravel()]
+            return np.concatenate(out)
+
+        sums = blocks.sum(make, size * len(live)).reshape(len(live), size)
+        for m, row in zip(live, sums, strict=True):
+            C, beta = specs[m].C, betas[m]
             iters[m] += 1
-            if np.max(np.abs(step)) < tol:
-                active[m] = False
-    return [(betas[m], iters[m]) for m in range(len(specs))]
+            value = C * row[0] + (reg * beta * beta).sum() / 2
+            if value > best[m] + 1e-9 * abs(best[m]):
+                steps[m] = steps[m] / 2
+                betas[m] = beta + steps[m]  # back half the way
+                continue
+            best[m] = value
+            steps[m] = np.linalg.solve(C * row[1 + d:].reshape(d, d) + np.diag(reg), C * row[1:1 + d] + reg * beta)
+            betas[m] = beta - steps[m]
+            done[m] = bool(np.max(np.abs(steps[m])) < tol)
+    return list(zip(betas, iters, done, strict=True))
+
+
+def _converged(iters: int, done: bool, strict: bool) -> dict:
+    if strict and not done:
+        raise NotConverged(f"no convergence after {iters} passes")
+    return {"converged": done}
 
 
 def logistic_newton(df: DataFrame, features: Sequence[str], target: str, C: float = 1.0,
                     weight_col: str | None = None, penalize_intercept: bool = True,
-                    max_iter: int = 50, tol: float = 1e-10) -> LogisticModel:
+                    max_iter: int = 2000, tol: float = 1e-10, strict: bool = True) -> LogisticModel:
     """ML9: minimises ``1/2 |beta|^2 + C * sum_i w_i * logloss_i`` exactly (Newton).  With
-    ``penalize_intercept`` the intercept is in the penalty too (liblinear's objective)."""
-    data = df.select(*[F.col(f).cast("double").alias(f) for f in features],
-                     F.col(target).cast("double").alias(target),
-                     (F.col(weight_col).cast("double") if weight_col else F.lit(1.0)).alias("_w"))
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        [(beta, it)] = _newton_many(data, features, target, [_Spec(C, F.col("_w"))],
-                                    penalize_intercept, max_iter, tol)
-    finally:
-        data.unpersist()
-    return LogisticModel(list(features), [float(x) for x in beta[:-1]], float(beta[-1]), C, it)
+    ``penalize_intercept`` the intercept is in the penalty too (liblinear's objective).  Rows with a missing
+    feature, target or weight have no part.  Without convergence it raises, or says so in ``info`` if not ``strict``."""
+    with _training_blocks(df, features, target, F.col(weight_col) if weight_col else None) as blocks:
+        [(beta, it, done)] = _newton_many(blocks, len(features), [_Spec(C)], penalize_intercept, max_iter, tol)
+    return LogisticModel(list(features), [float(x) for x in beta[:-1]], float(beta[-1]), C, it, _converged(it, done, strict))
 
 
 def logistic_ml(df: DataFrame, features: Sequence[str], target: str, C: float = 1.0,
-                weight_col: str | None = None, max_iter: int = 100) -> LogisticModel:
+                weight_col: str | None = None, max_iter: int = 5000, strict: bool = True) -> LogisticModel:
     """ML9 / ML10 through ``pyspark.ml``: ``regParam = 1 / (C * sum w)`` gives the same
     objective with an unpenalised intercept (exact for the lbfgs reference fit)."""
     from pyspark.ml.classification import LogisticRegression
@@ -173,8 +205,8 @@ def logistic_ml(df: DataFrame, features: Sequence[str], target: str, C: float =
     if weight_col:
         lr = lr.setWeightCol(weight_col)
     m = lr.fit(va.transform(df.withColumn(target, F.col(target).cast("double"))))
-    return LogisticModel(list(features), [float(x) for x in m.coefficients], float(m.intercept), C,
-                         m.summary.totalIterations)
+    it = m.summary.totalIterations
+    return LogisticModel(list(features), [float(x) for x in m.coefficients], float(m.intercept), C, it, _converged(it, it < max_iter, strict))
 
 
 # --------------------------------------------------------------------------- ML13 grid search
@@ -220,63 +252,47 @@ def _weighted_f1_from_counts(tp1, fp1, fn1, tp0, fp0, fn0) -> float:
 
 def grid_search_logistic(df: DataFrame, features: Sequence[str], target: str, key: str,
                          grid: Sequence[float] = (0.1, 1.0, 10.0), k: int = 3, balanced: bool = True,
-                         seed: int = 42, penalize_intercept: bool = True, max_iter: int = 50,
-                         tol: float = 1e-10, method: str = "xxhash64") -> tuple[LogisticModel, DataFrame]:
+                         seed: int = 42, penalize_intercept: bool = True, max_iter: int = 2000,
+                         tol: float = 1e-10, method: str = "xxhash64", strict: bool = True) -> tuple[LogisticModel, DataFrame]:
     """ML13: stratified k-fold CV over ``C``, scored by weighted F1; ties keep the first
-    candidate; the best ``C`` is refitted on all rows.  All grid x fold fits share one
-    aggregate per Newton iteration, and all scores one aggregate."""
-    folded = stratified_folds(df, target, key, k, seed, method)
-    data = folded.select(*[F.col(f).cast("double").alias(f) for f in features],
-                         F.col(target).cast("double").alias(target), "fold").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        cnt = {(r["fold"], r[target]): r["n"] for r in
-               data.groupBy("fold", target).agg(F.count(F.lit(1)).alias("n")).collect()}
-        specs, keys = [], []
-        for C in grid:
-            for f in range(k):
-                if balanced:
-                    tr = {}
-                    for (ff, c), n in cnt.items():
-                        if ff != f:
-                            tr[c] = tr.get(c, 0) + n
-                    w = balanced_weights(tr)
-                    wcol = recode(target, w).cast("double")
-                else:
-                    wcol = F.lit(1.0)
-                specs.append(_Spec(C, F.when(F.col("fold") != f, wcol).otherwise(F.lit(0.0))))
-                keys.append((C, f))
-        fits = _newton_many(data, features, target, specs, penalize_intercept, max_iter, tol)
-        # score every (C, fold) model on its held-out fold in one aggregate
-        aggs = []
-        y = F.col(target)
-        for m, ((C, f), (beta, _)) in enumerate(zip(keys, fits)):
-            z = linear_predictor(features, beta[:-1], beta[-1])
-            pred = (sigmoid(z) > 0.5).cast("double")
-            held = F.col("fold") == f
-            for nm, cond in (("tp1", (y == 1) & (pred == 1)), ("fp1", (y == 0) & (pred == 1)),
-                             ("fn1", (y == 1) & (pred == 0)), ("tp0", (y == 0) & (pred == 0))):
-                aggs.append(F.count_if(held & cond).alias(f"{nm}_{m}"))
-        r = data.agg(*aggs).first()
-        rows = []
-        for m, (C, f) in enumerate(keys):
-            tp1, fp1, fn1, tp0 = r[f"tp1_{m}"], r[f"fp1_{m}"], r[f"fn1_{m}"], r[f"tp0_{m}"]
-            rows.append((float(C), f, _weighted_f1_from_counts(tp1, fp1, fn1, tp0, fn1, fp1)))
-        spark = df.sparkSession
-        scores = spark.createDataFrame(rows, "C double, fold int, f1_weighted double")
+    candidate; the best ``C`` is refitted on all rows.  All grid x fold fits share each pass
+    of Newton's method, and all scores one pass.  Rows with a missing feature or target have no part."""
+    n = len(features)
+    known = df.where(~reduce(or_, [number(c).isNull() for c in (*features, target)]))
+    folded = stratified_folds(known, target, key, k, seed, method)
+    with _training_blocks(folded, features, target, fold=F.col("fold")) as blocks:
+        def counts(x: np.ndarray) -> np.ndarray:  # rows by fold and class
+            return np.array([[(x[:, n + 2] == f) & (x[:, n] == c) for c in (0, 1)] for f in range(k)]).sum(axis=2).ravel().astype(float)
+
+        cnt = blocks.sum(counts, 2 * k).reshape(k, 2)
+
+        def weights(rows: np.ndarray) -> dict | None:
+            found = {float(c): v for c, v in enumerate(rows) if v}
+            return balanced_weights(found) if balanced else None
+
+        specs = [_Spec(C, weights(cnt.sum(axis=0) - cnt[f]), f) for C in grid for f in range(k)]
+        fits = _newton_many(blocks, n, specs, penalize_intercept, max_iter, tol)
+        for _, it, done in fits:
+            _converged(it, done, strict)
+        held = [(spec.without_fold, beta) for spec, (beta, _, _) in zip(specs, fits, strict=True)]
+
+        def outcomes(x: np.ndarray) -> np.ndarray:  # tp1, fp1, fn1, tp0 of each fit on the fold that it left out
+            out = []
+            for f, beta in held:
+                own = x[x[:, n + 2] == f]
+                y, p = own[:, n] == 1, own[:, :n] @ beta[:-1] + beta[-1] > 0
+                out += [(y & p).sum(), (~y & p).sum(), (y & ~p).sum(), (~y & ~p).sum()]
+            return np.array(out, float)
+
+        found = blocks.sum(outcomes, 4 * len(specs)).reshape(-1, 4)
+        rows = [(float(spec.C), spec.without_fold, float(_weighted_f1_from_counts(tp1, fp1, fn1, tp0, fn1, fp1)))
+                for spec, (tp1, fp1, fn1, tp0) in zip(specs, found, strict=True)]
         mean = {C: np.mean([s for c, _, s in rows if c == C]) for C in grid}
         best = max(grid, key=lambda c: (mean[c], -list(grid).index(c)))
-        if balanced:
-            w = balanced_weights({c: sum(n for (ff, cc), n in cnt.items() if cc == c)
-                                  for c in {cc for (_, cc) in cnt}})
-            wcol = recode(target, w).cast("double")
-        else:
-            wcol = F.lit(1.0)
-        [(beta, it)] = _newton_many(data, features, target, [_Spec(best, wcol)], penalize_intercept, max_iter, tol)
-    finally:
-        data.unpersist()
-    model = LogisticModel(list(features), [float(x) for x in beta[:-1]], float(beta[-1]), float(best), it,
-                          {"cv_mean_f1": {float(c): float(v) for c, v in mean.items()}})
-    return model, scores
+        [(beta, it, done)] = _newton_many(blocks, n, [_Spec(best, weights(cnt.sum(axis=0)))], penalize_intercept, max_iter, tol)
+    scores = df.sparkSession.createDataFrame(rows, "C double, fold int, f1_weighted double")
+    info = {**_converged(it, done, strict), "cv_mean_f1": {float(c): float(v) for c, v in mean.items()}}
+    return LogisticModel(list(features), [float(x) for x in beta[:-1]], float(beta[-1]), float(best), it, info), scores
 
 
 # --------------------------------------------------------------------------- ML15 coefficients

@@ -1,5 +1,5 @@
 """Clustering: deterministic Lloyd k-means, nearest-centre assignment, best-of-restarts
-and k sweeps through ``pyspark.ml``, squared-Euclidean silhouette, cluster profiles,
+and k sweeps with all models fitted together, squared-Euclidean silhouette, cluster profiles,
 canonical cluster naming and agreement.
 
 Every pass is a projection (assignment: the k centres are literals in the expression)
@@ -18,9 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.functions.expr import recode, safe_div
+from strata.operators.blocks import Blocks, ship
+from strata.operators.common import number
 from strata.operators.profile import agreement_pct, group_means
 from strata.operators.reshape import melt
 
+ship(__name__)
+
 
 def sq_dist(features: Sequence[str], centre: Sequence[float]) -> Column:
     d = None
@@ -33,11 +37,11 @@ def sq_dist(features: Sequence[str], centre: Sequence[float]) -> Column:
 
 def nearest_centre(features: Sequence[str], centres: Sequence[Sequence[float]]) -> Column:
     """ML2: index of the nearest centre (ties -> lowest index) as one expression; NULL if
-    any feature is."""
+    any feature is missing (NULL or NaN)."""
     pairs = [F.struct(sq_dist(features, c).alias("d"), F.lit(j).alias("j")) for j, c in enumerate(centres)]
     known = F.lit(True)
     for f in features:
-        known = known & F.col(f).isNotNull()
+        known = known & number(f).isNotNull()
     return F.when(known, F.array_min(F.array(*pairs))["j"])
 
 
@@ -47,6 +51,7 @@ class KMeansModel:
     centres: list[list[float]]
     iterations: int = 0
     cost: float | None = None
+    converged: bool | None = None
 
     def transform(self, df: DataFrame, out: str = "cluster") -> DataFrame:
         return df.withColumn(out, nearest_centre(self.features, self.centres))
@@ -94,26 +99,140 @@ def kmeans_ml(df: DataFrame, features: Sequence[str], k: int, seed: int = 42, ma
                        m.summary.numIter, float(m.summary.trainingCost))
 
 
+HASH_PRIME = 2147483647  # of the seeding's hash; keys below 2^31 keep every product within 63 bits
+
+
+def seeding_hash(key, salt):
+    """A hash in [0, HASH_PRIME) of integers, alike for numpy arrays and SQL."""
+    h = (key % HASH_PRIME * 48271 + salt * 69621) % HASH_PRIME
+    h = (h * h + salt + 12345) % HASH_PRIME
+    return (h * h + h) % HASH_PRIME
+
+
+def _squared(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1), 0)
+
+
+def _seeds(blocks: Blocks, d: int, models: Sequence[tuple[int, int]], seed: int) -> list[np.ndarray]:
+    """k-means++ for all models at once, a pass for each next centre: a weighted reservoir, in which the
+    row with the least -ln(u) / (squared distance to its nearest centre so far) is drawn."""
+    centres: list[np.ndarray] = [np.empty((0, d)) for _ in models]
+    for j in range(max(k for k, _ in models)):
+        open_ = [m for m, (k, _) in enumerate(models) if j < k]
+        salts = [seed + (models[m][0] * 1000 + models[m][1]) * 100 + j for m in open_]
+        drawn = blocks.least(_drawer([centres[m] for m in open_], salts, d), len(open_), d)
+        for m, row in zip(open_, drawn, strict=True):
+            centres[m] = np.vstack([centres[m], row])
+    return centres
+
+
+def _drawer(centres: list[np.ndarray], salts: list[int], d: int):
+    hashed, prime, squared = seeding_hash, HASH_PRIME, _squared
+
+    def draw(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key, rows = x[:, d].astype(np.int64), x[:, :d]
+        best, values = [], []
+        for c, salt in zip(centres, salts, strict=True):
+            u = (hashed(key, salt) + 0.5) / prime
+            weight = squared(rows, c).min(axis=1) if len(c) else np.ones(len(rows))
+            with np.errstate(divide="ignore"):
+                value = np.where(weight > 0, -np.log(u) / weight, np.inf)
+            i = int(value.argmin())
+            best.append(rows[i]), values.append(value[i])
+        return np.array(values), np.array(best)
+    return draw
+
+
+def _stepper(centres: list[np.ndarray]):
+    """Per model and cluster: number, sum vector and cost of the rows nearest to its centre."""
+    squared = _squared
+
+    def step(x: np.ndarray) -> np.ndarray:
+        d = centres[0].shape[1]
+        x = x[:, :d]
+        dist = squared(x, np.vstack(centres))
+        out, at = [], 0
+        for c in centres:
+            own = dist[:, at:at + len(c)]
+            at += len(c)
+            label = own.argmin(axis=1)
+            member = np.zeros((len(c), len(x)))
+            member[label, np.arange(len(x))] = 1
+            out.append(np.column_stack([member.sum(axis=1), member @ own.min(axis=1), member @ x]).ravel())
+        return np.concatenate(out)
+    return step
+
+
+def _split(sums: np.ndarray, centres: list[np.ndarray]) -> list[np.ndarray]:
+    d = centres[0].shape[1]
+    return np.split(sums.reshape(-1, d + 2), np.cumsum([len(c) for c in centres])[:-1])
+
+
+@dataclass
+class Restart:
+    k: int
+    restart: int
+    centres: np.ndarray
+    iterations: int = 0
+    converged: bool = False
+    cost: float = 0.0
+    sizes: np.ndarray | None = None
+
+
+def kmeans_all(blocks: Blocks, d: int, models: Sequence[tuple[int, int]], seed: int = 42, max_iter: int = 300,
+               tol: float = 1e-4) -> list[Restart]:
+    """ML1 for all ``(k, restart)`` at once: every pass over the rows moves the centres of all models that
+    have not yet converged, in one aggregate of (number, cost, sum vector) by model and cluster.
+
+    A model has converged once its centres move by no more than ``tol`` times the mean variance of
+    the features (sum of squares); an empty cluster keeps its centre.  Costs belong to the last
+    centres.  A model that ``max_iter`` passes leave unconverged says so."""
+    moments = blocks.sum(lambda x: np.concatenate([[len(x)], x[:, :d].sum(axis=0), (x[:, :d] ** 2).sum(axis=0)]), 1 + 2 * d)
+    n = moments[0]
+    if not n:
+        raise ValueError("no rows without missing values")
+    variance = float((moments[1 + d:] / n - (moments[1:1 + d] / n) ** 2).mean())
+    fits = [Restart(k, r, c) for (k, r), c in zip(models, _seeds(blocks, d, models, seed), strict=True)]
+    for it in range(1, max_iter + 1):
+        moving = [f for f in fits if not f.converged]
+        if not moving:
+            break
+        now = [f.centres for f in moving]
+        for f, s in zip(moving, _split(blocks.sum(_stepper(now), sum(map(len, now)) * (d + 2)), now), strict=True):
+            new = np.where(s[:, :1] > 0, s[:, 2:] / np.maximum(s[:, :1], 1), f.centres)
+            f.converged = bool(((new - f.centres) ** 2).sum() <= tol * variance)
+            f.centres, f.iterations = new, it
+    last = [f.centres for f in fits]
+    for f, s in zip(fits, _split(blocks.sum(_stepper(last), sum(map(len, last)) * (d + 2)), last), strict=True):
+        f.cost, f.sizes = float(s[:, 1].sum()), s[:, 0].astype(int)
+    return fits
+
+
+def _blocks(df: DataFrame, features: Sequence[str], key: str | None) -> Blocks:
+    """Rows without a missing feature, and the key that the seeding hashes (the features' own hash if
+    there is none; rows of equal keys are drawn alike)."""
+    known = df.select(*[number(f).alias(f) for f in features], (F.xxhash64(*features) if key is None else F.col(key).cast("long")).alias("_key"))
+    known = known.where(F.col("_key").isNotNull()).dropna(subset=list(features))
+    return Blocks(known, [*features, F.pmod("_key", F.lit(HASH_PRIME))])
+
+
+def _least(fits: Sequence[Restart], k: int) -> Restart:
+    return min((f for f in fits if f.k == k), key=lambda f: (f.cost, f.restart))
+
+
 def kmeans_best_of(df: DataFrame, features: Sequence[str], k: int, n_init: int = 10, seed: int = 42,
-                   max_iter: int = 300) -> KMeansModel:
-    """ML1: ``n_init`` restarts (seeds seed..seed+n_init-1), keep the lowest cost."""
-    data = df.select(*features).dropna().persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        best = None
-        for s in range(seed, seed + n_init):
-            m = kmeans_ml(data, features, k, s, max_iter)
-            if best is None or m.cost < best.cost:
-                best = m
-    finally:
-        data.unpersist()
-    return canonical_order(best)
+                   max_iter: int = 300, key: str | None = None) -> KMeansModel:
+    """ML1: ``n_init`` restarts, all fitted together; the one of least cost."""
+    with _blocks(df, features, key) as blocks:
+        best = _least(kmeans_all(blocks, len(features), [(k, r) for r in range(n_init)], seed, max_iter), k)
+    return canonical_order(KMeansModel(list(features), best.centres.tolist(), best.iterations, best.cost, best.converged))
 
 
 def canonical_order(model: KMeansModel) -> KMeansModel:
     """ML7: cluster ids are arbitrary per fit; renumber by centre (first feature, then the
     next ...) so names attached to ids are stable."""
     order = sorted(range(len(model.centres)), key=lambda j: tuple(model.centres[j]))
-    return KMeansModel(model.features, [model.centres[j] for j in order], model.iterations, model.cost)
+    return KMeansModel(model.features, [model.centres[j] for j in order], model.iterations, model.cost, model.converged)
 
 
 def silhouette_sq(df: DataFrame, features: Sequence[str], cluster: str) -> float | None:
@@ -159,20 +278,101 @@ def silhouette_sq_frame(df: DataFrame, features: Sequence[str], cluster: str) ->
     return base.agg(F.avg(s).alias("silhouette"))
 
 
+def silhouette_euclidean(df: DataFrame, features: Sequence[str], cluster: str, sample: int = 20_000, seed: int = 42) -> DataFrame:
+    """ML5: the mean Euclidean silhouette ``(silhouette, standard_error, n_scored, n)``.
+
+    Distances are added up in blocks: every block of rows meets the scored points, and passes on,
+    for each point and cluster, the sum of its distances; no pair leaves a block.  All rows are
+    scored if there are at most ``sample`` (the standard error is 0), else the ``sample`` rows of least
+    hash, each against all rows; the standard error is then that of their mean.  Rows with a missing
+    feature or cluster have no part; fewer than two clusters have no silhouette."""
+    feats, d = list(features), len(features)
+    rows = df.select(F.col(cluster).alias("_c"), *[number(f).alias(f"x{i}") for i, f in enumerate(feats)]).dropna()
+    out = "silhouette double, standard_error double, n_scored long, n long"
+    clusters = rows.groupBy("_c").agg(F.count(F.lit(1)).alias("n")).orderBy("_c").collect()
+    place = {r["_c"]: i for i, r in enumerate(clusters)}
+    sizes = np.array([r["n"] for r in clusters], float)
+    n, k = int(sizes.sum()), len(clusters)
+    if k < 2:
+        return df.sparkSession.createDataFrame([(None, None, 0, n)], out)
+    placed = rows.select(*[f"x{i}" for i in range(d)], recode("_c", place).cast("double").alias("_k"))
+    order = F.xxhash64(F.lit(seed), *placed.columns)
+    scored = placed if n <= sample else placed.orderBy(order, *placed.columns).limit(sample)
+    points = np.array(scored.toPandas(), float)
+    own, points = points[:, d].astype(int), points[:, :d]
+    squared = _squared
+
+    def make(x: np.ndarray) -> np.ndarray:
+        member = np.zeros((k, len(x)))
+        member[x[:, d].astype(int), np.arange(len(x))] = 1
+        parts = [member @ np.sqrt(squared(x[:, :d], points[i:i + 1024])) for i in range(0, len(points), 1024)]
+        return np.concatenate(parts, axis=1).ravel()
+
+    with Blocks(placed, placed.columns, keep=False) as blocks:
+        sums = blocks.sum(make, k * len(points)).reshape(k, -1)
+    at = np.arange(len(points))
+    a = sums[own, at] / np.maximum(sizes[own] - 1, 1)
+    mean = sums / sizes[:, None]
+    mean[own, at] = np.inf
+    b = mean.min(axis=0)
+    top = np.maximum(a, b)
+    s = np.where((sizes[own] > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1), 0.0)
+    error = 0.0 if n <= sample else float(s.std(ddof=1) / np.sqrt(len(s)))
+    return df.sparkSession.createDataFrame([(float(s.mean()), error, len(s), n)], out)
+
+
+def _silhouettes(blocks: Blocks, fits: Sequence[Restart]) -> list[float | None]:
+    """Mean squared-Euclidean silhouettes of several models in two passes: the moments of all clusters,
+    then all rows against them."""
+    centres = [f.centres for f in fits]
+    d, squared, edges = centres[0].shape[1], _squared, np.cumsum([0, *map(len, centres)])
+
+    def labels(x: np.ndarray) -> list[np.ndarray]:
+        dist = squared(x, np.vstack(centres))
+        return [dist[:, a:b].argmin(axis=1) for a, b in zip(edges, edges[1:])]
+
+    def moments(x: np.ndarray) -> np.ndarray:
+        x = x[:, :d]
+        out = []
+        for label, c in zip(labels(x), centres, strict=True):
+            member = np.zeros((len(c), len(x)))
+            member[label, np.arange(len(x))] = 1
+            out.append(np.column_stack([member.sum(axis=1), member @ (x * x).sum(axis=1), member @ x]).ravel())
+        return np.concatenate(out)
+
+    stats = _split(blocks.sum(moments, edges[-1] * (d + 2)), centres)
+
+    def scores(x: np.ndarray) -> np.ndarray:
+        x = x[:, :d]
+        out = []
+        for label, s in zip(labels(x), stats, strict=True):
+            n = s[:, 0]
+            full = np.maximum(n, 1)
+            mean = (x * x).sum(axis=1)[:, None] - 2 * x @ (s[:, 2:] / full[:, None]).T + s[:, 1] / full
+            mean[:, n == 0] = np.inf
+            rows = np.arange(len(x))
+            own = n[label]
+            a = mean[rows, label] * own / np.maximum(own - 1, 1)
+            mean[rows, label] = np.inf
+            b = mean.min(axis=1)
+            top = np.maximum(a, b)
+            one = np.isfinite(b) & (own > 1) & (top > 0)
+            out += [np.where(one, (b - a) / np.where(one, top, 1), 0).sum(), len(x)]
+        return np.array(out)
+
+    found = blocks.sum(scores, 2 * len(fits)).reshape(-1, 2)
+    return [float(t / n) if (s[:, 0] > 0).sum() > 1 else None for (t, n), s in zip(found, stats, strict=True)]
+
+
 def k_sweep(df: DataFrame, features: Sequence[str], ks: Sequence[int] = range(2, 11), n_init: int = 10,
-            seed: int = 42) -> DataFrame:
-    """ML4: for each k the best-of-restarts fit; returns ``(k, cost, silhouette_sq)``.
-    The caller chooses k (the sweep does not)."""
-    data = df.select(*features).dropna().persist(StorageLevel.MEMORY_AND_DISK)
-    rows = []
-    try:
-        for k in ks:
-            m = kmeans_best_of(data, features, k, n_init, seed)
-            s = silhouette_sq(m.transform(data, "_cl"), features, "_cl")
-            rows.append((int(k), float(m.cost), None if s is None else float(s)))
-    finally:
-        data.unpersist()
-    return df.sparkSession.createDataFrame(rows, "k int, cost double, silhouette_sq double")
+            seed: int = 42, max_iter: int = 300, key: str | None = None) -> DataFrame:
+    """ML4: for each k the best of ``n_init`` restarts, all fitted together; returns ``(k, cost,
+    silhouette_sq, converged)``.  The caller chooses k (the sweep does not)."""
+    with _blocks(df, features, key) as blocks:
+        fits = kmeans_all(blocks, len(features), [(k, r) for k in ks for r in range(n_init)], seed, max_iter)
+        best = [_least(fits, k) for k in ks]
+        rows = [(int(f.k), f.cost, s, f.converged) for f, s in zip(best, _silhouettes(blocks, best), strict=True)]
+    return df.sparkSession.createDataFrame(rows, "k int, cost double, silhouette_sq double, converged boolean")
 
 
 def cluster_profile(df: DataFrame, cluster: str, features: Sequence[str], long: bool = True) -> DataFrame:

@@ -49,6 +49,11 @@ def number(c: str) -> Column:
     return nan_to_null(F.col(c).cast("double"))
 
 
+def finite(c: Column) -> Column:
+    """A double, or NULL for an infinity (and for NaN)."""
+    return F.when(F.abs(c) < float("inf"), c)
+
+
 def is_float_column(df: DataFrame, c: str) -> bool:
     return isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))
 
@@ -94,25 +99,30 @@ def drop_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.where(cond) if cond is not None else df
 
 
-def any_null_exprs(cols: Sequence[str]) -> list[Column]:
-    return [(F.count_if(F.col(c).isNull()) > 0).alias(f"{c}_has_null") for c in cols]
+def missing_cell(df: DataFrame, c: str) -> Column:
+    """NULL, or NaN in a column of floats."""
+    return F.col(c).isNull() | F.isnan(c) if is_float_column(df, c) else F.col(c).isNull()
+
+
+def any_null_exprs(df: DataFrame, cols: Sequence[str]) -> list[Column]:
+    return [(F.count_if(missing_cell(df, c)) > 0).alias(f"{c}_has_null") for c in cols]
 
 
 def any_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """FI4: one row of ``<col>_has_null`` booleans, one pass."""
-    return df.agg(*any_null_exprs(cols))
+    return df.agg(*any_null_exprs(df, cols))
 
 
-def quality_exprs(features: Sequence[str], target: str) -> list[Column]:
-    nulls = [F.count_if(F.col(c).isNull()) for c in features]
+def quality_exprs(df: DataFrame, features: Sequence[str], target: str) -> list[Column]:
+    nulls = [F.count_if(missing_cell(df, c)) for c in features]
     return [sum(nulls[1:], nulls[0]).cast("long").alias("n_null_features"),
-            F.count_if(F.col(target).isNull()).cast("long").alias("n_null_target"),
-            F.count_distinct(F.col(target)).alias("n_classes")]
+            F.count_if(missing_cell(df, target)).cast("long").alias("n_null_target"),
+            F.count_distinct(F.when(~missing_cell(df, target), F.col(target))).alias("n_classes")]
 
 
 def quality_violations(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """FI6: one aggregate row of violation counts: nulls in X, nulls in y, classes of y."""
-    return df.agg(*quality_exprs(features, target))
+    return df.agg(*quality_exprs(df, features, target))
 
 
 def assert_quality(df: DataFrame, features: Sequence[str], target: str) -> None:
@@ -121,8 +131,3 @@ def assert_quality(df: DataFrame, features: Sequence[str], target: str) -> None:
         raise ValueError(f"missing values remain: X={r['n_null_features']} y={r['n_null_target']}")
     if r["n_classes"] < 2:
         raise ValueError("target has fewer than two classes")
-
-
-def coalesce_median(c: str, median_value, default) -> Column:
-    """FI5: the median when the column has one, else a constant."""
-    return F.lit(default if median_value is None else median_value)

@@ -10,10 +10,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.operators.common import broadcast_bounded, drop_null_keys, materialize_small, number
+from strata.operators.blocks import Blocks
+from strata.operators.common import broadcast_bounded, drop_null_keys, finite, materialize_small, number
 from strata.operators.quantiles import quantiles
 
 # --------------------------------------------------------------------------- bin layout
@@ -35,13 +37,13 @@ def auto_bin_count(n: int, lo: float, hi: float, q25: float | None, q75: float |
 
 
 def bin_layout(df: DataFrame, column: str, bins: int | str = "auto") -> dict:
-    """``{n, lo, hi, bins}`` from one moments pass (+ exact quartiles for 'auto')."""
-    x = number(column)
+    """``{n, lo, hi, bins}`` from one moments pass (+ exact quartiles for 'auto'), of the finite values."""
+    x = finite(number(column))
     st = df.agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"),
                 F.stddev_samp(x).alias("sd")).first()
     n, lo, hi = st["n"], st["lo"], st["hi"]
     if bins == "auto":
-        q = {r["prob"]: r["value"] for r in quantiles(df, [column], [0.25, 0.75]).collect()}
+        q = {r["prob"]: r["value"] for r in quantiles(df.select(x.alias(column)), [column], [0.25, 0.75]).collect()}
         nb = auto_bin_count(n, lo, hi, q.get(0.25), q.get(0.75))
     else:
         nb = int(bins)
@@ -52,8 +54,8 @@ def bin_layout(df: DataFrame, column: str, bins: int | str = "auto") -> dict:
 
 def _bin_index(column: str, lo: float, hi: float, nb: int):
     """numpy ``histogram`` rule: bins ``[e_i, e_{i+1})``, the last closed, with the
-    edge correction against ``e_i = lo + i * (hi - lo) / nb``."""
-    x = F.col(column).cast("double")
+    edge correction against ``e_i = lo + i * (hi - lo) / nb``; infinite values fall into the end bins."""
+    x = F.greatest(F.lit(lo), F.least(F.lit(hi), F.col(column).cast("double")))
     step = (hi - lo) / nb
     idx = F.least(F.lit(nb - 1), F.floor((x - F.lit(lo)) * F.lit(nb / (hi - lo))).cast("int"))
     edge = lambda i: F.when(i >= nb, F.lit(hi)).otherwise(i.cast("double") * F.lit(step) + F.lit(lo))
@@ -79,13 +81,16 @@ def _edges(spark, lo: float, hi: float, nb: int) -> DataFrame:
 
 def histogram(df: DataFrame, column: str, bins: int | str = "auto", by: str | None = None) -> DataFrame:
     """Counts per bin ``(bin, bin_lo, bin_hi, [by], count)``, empty bins included (with
-    ``by``: every bin for every group that has rows).  Bins are global (shared by groups)."""
+    ``by``: every bin for every group that has rows).  Bins are global (shared by groups); edges come
+    from the finite values, and infinite ones count in the end bins.  Without a finite value there
+    are no bins."""
     lay = bin_layout(df, column, bins)
     spark = df.sparkSession
+    keys = [by] if by else []
     if lay["n"] == 0:
-        return spark.createDataFrame([], "bin int, bin_lo double, bin_hi double, count long")
+        group = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
+        return spark.createDataFrame([], f"bin int, bin_lo double, bin_hi double, {group}count long")
     lo, hi, nb = lay["lo"], lay["hi"], lay["bins"]
-    keys = [by] if by else []
     base = drop_null_keys(df.where(number(column).isNotNull()), keys)
     counts = (base.select(*keys, _bin_index(column, lo, hi, nb).alias("bin"))
               .groupBy("bin", *keys).agg(F.count(F.lit(1)).alias("count")))
@@ -101,9 +106,11 @@ def histogram(df: DataFrame, column: str, bins: int | str = "auto", by: str | No
 
 def density_curve(df: DataFrame, column: str, gridsize: int = 200, cut: float = 3.0) -> DataFrame:
     """Gaussian kernel density, Scott bandwidth ``sd * n^(-1/5)``, on ``gridsize`` points
-    from ``min - cut*bw`` to ``max + cut*bw``.  Exact: one aggregate holding ``gridsize``
-    running sums per task (no row explosion, no grid x rows join)."""
+    from ``min - cut*bw`` to ``max + cut*bw``.  Exact: every task adds up the kernels of its
+    blocks of rows on the grid; one array of ``gridsize`` sums a task moves.  Infinite values have no place
+    on the curve: it is that of the finite ones."""
     x = number(column)
+    x = finite(x)
     st = df.agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"),
                 F.stddev_samp(x).alias("sd")).first()
     spark = df.sparkSession
@@ -116,13 +123,16 @@ def density_curve(df: DataFrame, column: str, gridsize: int = 200, cut: float =
     pts = [g0 + i * step for i in range(gridsize)]
     pts[-1] = g1
     coef = 1.0 / (n * bw * math.sqrt(2.0 * math.pi))
-    # each row meets every grid point through a generator feeding a partial aggregate:
-    # per task at most `gridsize` running sums, the shuffle carries gridsize rows per task
-    grid = F.array(*[F.lit(p) for p in pts])
-    g = df.where(x.isNotNull()).select(x.alias("_x"), F.posexplode(grid).alias("point", "x"))
-    k = F.exp(-0.5 * F.pow((F.col("x") - F.col("_x")) / F.lit(bw), 2))
-    return (g.groupBy("point", "x").agg(F.sum(k).alias("_s"))
-            .select(F.col("point").cast("int").alias("point"), "x", (F.col("_s") * F.lit(coef)).alias("density")))
+    grid = np.array(pts)
+
+    def make(values: np.ndarray) -> np.ndarray:
+        v = values[np.isfinite(values[:, 0]), 0]
+        return np.exp(-0.5 * ((grid[None, :] - v[:, None]) / bw) ** 2).sum(axis=0)
+
+    with Blocks(df, [x], keep=False) as blocks:
+        sums = blocks.sum(make, gridsize)
+    rows = [(i, p, float(k * coef)) for i, (p, k) in enumerate(zip(pts, sums, strict=True))]
+    return spark.createDataFrame(rows, "point int, x double, density double")
 
 
 # --------------------------------------------------------------------------- AG16 box

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.functions.expr import recode
+from strata.functions.expr import recode, row_hash
 from strata.operators import distribution, missing, reshape
 from strata.operators.common import drop_null_keys
 from strata.operators.profile import group_rate
@@ -27,10 +27,13 @@ def _prepare(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
 
 def scatter(df: DataFrame, x: str, y: str, by: str = "cluster", fraction: float | None = None,
             key: str | None = None, seed: int = 42) -> DataFrame:
-    """EX1: the ``(x, y, by)`` points; with ``fraction`` a repeatable keyed hash sample
-    (the sampling operator, for plots of very large tables)."""
+    """EX1: the ``(x, y, by)`` points; with ``fraction`` a repeatable hash sample (the sampling
+    operator, for plots of very large tables), by ``key`` or else by the point itself."""
     d = _prepare(df, x, y, by)
-    if fraction is not None:
+    if fraction is not None and key is None:
+        chosen = F.pmod(row_hash([x, y, by], seed), F.lit(1_000_000)) < F.lit(int(round(fraction * 1_000_000)))
+        d = d.where(chosen)
+    elif fraction is not None:
         d = reshape.sample_approx(d, key, fraction, seed)
     return d.select(x, y, by)
 

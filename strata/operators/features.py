@@ -68,6 +68,14 @@ class PCAModel:
             out[f"{prefix}{j + 1}"] = s
         return df.withColumns(out)
 
+    def params(self) -> dict:
+        return {"features": list(self.features), "means": [float(m) for m in self.means],
+                "components": [[float(w) for w in c] for c in self.components], "explained_variance": [float(v) for v in self.explained_variance]}
+
+    @classmethod
+    def from_params(cls, p: dict) -> PCAModel:
+        return cls(p["features"], p["means"], np.array(p["components"]), p["explained_variance"])
+
     def loadings(self, spark) -> DataFrame:
         rows = [(j + 1, f, float(w), float(self.explained_variance[j]))
                 for j, comp in enumerate(self.components) for f, w in zip(self.features, comp)]

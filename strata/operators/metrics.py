@@ -3,39 +3,43 @@ F1, ROC-AUC (ties count half) and the ROC curve.
 
 Counts come from one aggregate.  AUC / ROC first reduce the rows to one row per distinct
 score (map-side combine), then need running totals in score order.  A global running sum
-would put every distinct score in one task, so ``running_totals`` cuts the score axis at
-exact order statistics into buckets of bounded size: bucket totals (a few rows) get a
-small prefix sum, and each bucket a bounded window.
+would put every distinct score in one task, so ``running_totals`` deals the rows out by
+ranges of the score: each range gets a window of its own, and the ranges' totals, a row
+each, shift them.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions.expr import safe_div
-from strata.operators.common import broadcast_bounded, materialize_small, number
-from strata.operators.quantiles import kth_smallest
+from strata.operators.common import broadcast_bounded, number
+from strata.session import cut_lineage
 
-BUCKET_ROWS = 500_000
+GRID_CLASSES = 200  # a confusion matrix of more classes has no cells for pairs that don't occur
 
 
 # --------------------------------------------------------------------------- ME5 / ME1-ME3
 
 
 def confusion(df: DataFrame, actual: str, predicted: str, labels: Sequence | None = None) -> DataFrame:
-    """ME5: completed ``(actual, predicted, count)`` grid over the sorted classes: the given
-    ``labels`` and every class that occurs, so that no row is left out (NULLs count nowhere)."""
-    counts = df.groupBy(F.col(actual).alias("actual"), F.col(predicted).alias("predicted")) \
-        .agg(F.count(F.lit(1)).alias("count"))
-    spark = df.sparkSession
-    seen = counts.select(F.explode(F.array("actual", "predicted")).alias("c")).where("c IS NOT NULL").distinct()
-    lab = sorted({*(labels or ()), *(r["c"] for r in seen.collect())})
+    """ME5: ``(actual, predicted, count)`` over the given ``labels`` and every class that occurs, so that
+    no row is left out (NULLs count nowhere).  Up to ``GRID_CLASSES`` classes cells without rows are
+    there too, with count 0; beyond, only the cells that have rows."""
+    counts = cut_lineage(df.groupBy(F.col(actual).alias("actual"), F.col(predicted).alias("predicted")).agg(F.count(F.lit(1)).alias("count")))
     t = df.schema[actual].dataType.simpleString()
-    grid = spark.createDataFrame([(a, p) for a in lab for p in lab], f"actual {t}, predicted {t}")
+    seen = counts.select(F.explode(F.array("actual", "predicted")).alias("c")).where("c IS NOT NULL")
+    if labels:
+        seen = seen.unionByName(df.sparkSession.createDataFrame([(c,) for c in labels], f"c {t}"))
+    seen = cut_lineage(seen.distinct())
+    counts = counts.where("actual IS NOT NULL AND predicted IS NOT NULL")
+    if seen.limit(GRID_CLASSES + 1).count() > GRID_CLASSES:
+        return counts.orderBy("actual", "predicted")
+    classes = F.array(*[F.lit(r["c"]).cast(t) for r in seen.orderBy("c").collect()])
+    grid = seen.select(F.col("c").alias("actual"), F.explode(classes).alias("predicted"))
     return grid.join(counts, ["actual", "predicted"], "left").fillna(0, ["count"]).orderBy("actual", "predicted")
 
 
@@ -75,33 +79,22 @@ def weighted_f1(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 # --------------------------------------------------------------------------- running totals
 
 
-def running_totals(d: DataFrame, order: str, cols: Sequence[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Add ``cum_<c>`` = sum of ``c`` over rows with ``order`` <= this row's (``order``
-    unique).  Bounded work per task at any row count (see module doc)."""
-    n = d.count()
-    if n == 0:
-        return d.select("*", *[F.lit(0).cast("long").alias(f"cum_{c}") for c in cols])
-    nb = max(1, math.ceil(n / bucket_rows))
-    if nb == 1:
-        w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        return d.select("*", *[F.sum(c).over(w).alias(f"cum_{c}") for c in cols])
-    data = d.select(F.col(order).cast("double").alias("_v"))
-    st = data.agg(F.min("_v").alias("lo"), F.max("_v").alias("hi")).first()
-    spark = d.sparkSession
-    tg = [(j, int(j * n / nb) - 1, n, st["lo"], st["hi"]) for j in range(1, nb)]
-    tgt = spark.createDataFrame(tg, "tid int, k long, n long, lo double, hi double")
-    cuts = sorted(r["kth"] for r in kth_smallest(data, tgt).collect())
-    bucket = F.lit(0)
-    for c in cuts:
-        bucket = bucket + F.when(F.col(order).cast("double") > F.lit(c), 1).otherwise(0)
-    b = d.withColumn("_b", bucket.cast("int"))
-    tot = b.groupBy("_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
-    wb = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # nb rows only
-    off = materialize_small(tot.select("_b", *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0)).alias(f"_o_{c}")
-                                              for c in cols]))
-    w = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    j = b.join(broadcast_bounded(off), "_b")
-    return j.select(*d.columns, *[(F.sum(c).over(w) + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in cols])
+def running_totals(d: DataFrame, order: str, cols: Sequence[str], ranges: int | None = None, following: Sequence[str] = ()) -> DataFrame:
+    """Add ``cum_<c>``, the sum of ``c`` over rows with ``order`` <= this row's (``order`` unique), and
+    ``next_<c>``, the value of the next row, for ``following`` (NULL for the last).  No task holds
+    more than a range of the rows; ``ranges`` sets their number."""
+    dealt = d.repartitionByRange(ranges, order) if ranges else d.repartitionByRange(order)
+    parts = cut_lineage(dealt.withColumn("_p", F.spark_partition_id()))
+    ends = parts.groupBy("_p").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols], *[F.min_by(c, order).alias(f"_f_{c}") for c in following])
+    over = Window.orderBy("_p")  # a row for each range
+    shifts = ends.select("_p", *[F.coalesce(F.sum(f"_t_{c}").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"_o_{c}") for c in cols],
+                         *[F.lead(f"_f_{c}").over(over).alias(f"_n_{c}") for c in following])
+    w = Window.partitionBy("_p").orderBy(order)
+    within = parts.join(broadcast_bounded(cut_lineage(shifts)), "_p")
+    last = F.lead(F.lit(1)).over(w).isNull()
+    return within.select(
+        *d.columns, *[(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in cols],
+        *[F.when(last, F.col(f"_n_{c}")).otherwise(F.lead(c).over(w)).alias(f"next_{c}") for c in following])
 
 
 def score_counts(df: DataFrame, actual: str, score: str, positive=1) -> DataFrame:
@@ -114,36 +107,27 @@ def score_counts(df: DataFrame, actual: str, score: str, positive=1) -> DataFram
 # --------------------------------------------------------------------------- ME4 / ME6
 
 
-def roc_auc(df: DataFrame, actual: str, score: str, positive=1) -> DataFrame:
+def roc_auc(df: DataFrame, actual: str, score: str, positive=1, ranges: int | None = None) -> DataFrame:
     """ME4: ``sum_s pos(s) * (neg_below(s) + neg(s) / 2) / (P * N)`` over distinct scores
     (the exact Mann-Whitney form, ties count half).  NULL when a class is absent."""
-    sc = running_totals(score_counts(df, actual, score, positive), "score", ["neg"])
+    sc = running_totals(score_counts(df, actual, score, positive), "score", ["neg"], ranges)
     term = F.col("pos").cast("double") * ((F.col("cum_neg") - F.col("neg")).cast("double")
                                           + F.col("neg").cast("double") / F.lit(2.0))
     return sc.agg(safe_div(F.sum(term), F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias("auc"))
 
 
-def roc_curve(df: DataFrame, actual: str, score: str, positive=1, drop_intermediate: bool = True) -> DataFrame:
+def roc_curve(df: DataFrame, actual: str, score: str, positive=1, drop_intermediate: bool = True,
+              ranges: int | None = None) -> DataFrame:
     """ME6: ``(fpr, tpr, threshold)`` by descending threshold, starting at (0, 0) with a
     NULL threshold; with ``drop_intermediate`` collinear interior points are removed
     (a point stays when the second difference of fps or tps is non-zero)."""
-    sc = score_counts(df, actual, score, positive).withColumns({"_neg_order": -F.col("score"), "_one": F.lit(1)})
-    cum = running_totals(sc, "_neg_order", ["pos", "neg", "_one"])
-    tot = df.where(number(score).isNotNull()).agg(
-        F.count_if(F.col(actual) == positive).alias("P"), F.count_if(F.col(actual) != positive).alias("N")).first()
-    spark = df.sparkSession
-    # point i along the curve: 0 is the (0, 0) start, then one per distinct score, descending
-    rank = cum.select(F.col("score").alias("threshold"), F.col("cum_pos").alias("tps"),
-                      F.col("cum_neg").alias("fps"), F.col("cum__one").alias("i"))
-    start = spark.createDataFrame([(None, 0, 0, 0)], "threshold double, tps long, fps long, i long")
-    rank = start.unionByName(rank)
+    sc = cut_lineage(score_counts(df, actual, score, positive).withColumns({"_neg_order": -F.col("score"), "_one": F.lit(1)}))
+    tot = sc.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
+    cum = running_totals(sc, "_neg_order", ["pos", "neg", "_one"], ranges, following=["pos", "neg"])
     if drop_intermediate:
-        nxt = rank.select((F.col("i") - 1).alias("i"), F.col("tps").alias("tn1"), F.col("fps").alias("fn1"))
-        prv = rank.select((F.col("i") + 1).alias("i"), F.col("tps").alias("tp1"), F.col("fps").alias("fp1"))
-        r = rank.join(nxt, "i", "left").join(prv, "i", "left")
-        keep = (F.col("tp1").isNull() | F.col("tn1").isNull() |
-                ((F.col("fp1") - 2 * F.col("fps") + F.col("fn1")) != 0) |
-                ((F.col("tp1") - 2 * F.col("tps") + F.col("tn1")) != 0))
-        rank = r.where(keep).select("threshold", "tps", "fps", "i")
-    return rank.select("i", "threshold", safe_div("fps", F.lit(tot["N"])).alias("fpr"),
-                       safe_div("tps", F.lit(tot["P"])).alias("tpr"))
+        # a point is collinear if the step to it equals the step from it; the last has none
+        cum = cum.where("next_pos IS NULL OR next_pos <> pos OR next_neg <> neg")
+    points = cum.select(F.col("cum__one").cast("long").alias("i"), F.col("score").alias("threshold"), F.col("cum_neg").alias("fps"), F.col("cum_pos").alias("tps"))
+    start = df.sparkSession.createDataFrame([(0, None, 0, 0)], "i long, threshold double, fps long, tps long")
+    return start.unionByName(points).select("i", "threshold", safe_div("fps", F.lit(tot["N"])).alias("fpr"),
+                                            safe_div("tps", F.lit(tot["P"])).alias("tpr"))

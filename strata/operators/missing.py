@@ -73,8 +73,9 @@ def _apply(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
             continue
         src = F.nanvl(F.col(c), F.lit(None).cast("double")) if is_float_column(df, c) else F.col(c)
         kind = df.schema[c].dataType
-        if isinstance(kind, T.IntegralType) and isinstance(v, float) and not v.is_integer():
-            kind = T.DoubleType()  # a mean or median between integers keeps its fraction
+        if isinstance(v, float) and (isinstance(kind, T.IntegralType) and not v.is_integer()
+                                     or isinstance(kind, T.DecimalType) and round(v, kind.scale) != v):
+            kind = T.DoubleType()  # a mean or median between the type's values keeps its fraction
         exprs[c] = F.coalesce(src.cast(kind), F.lit(v).cast(kind))
     return df.withColumns(exprs) if exprs else df
 

@@ -8,12 +8,15 @@ long form only after aggregation, on a handful of rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.functions.expr import safe_div
+from strata.operators.blocks import Blocks
 from strata.operators.common import drop_null_keys, is_float_column, number
 from strata.operators.quantiles import quantiles
 
@@ -153,33 +156,33 @@ def crosstab_long(df: DataFrame, row: str, col: str) -> DataFrame:
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """AG11: Pearson correlation of every ordered pair, pairwise-complete, in one
-    aggregate.  ``covar_pop / (sd_x * sd_y)`` with both sd over the rows where both are
-    present; a constant column gives NULL (``F.corr`` raises under ANSI)."""
+    """AG11: Pearson correlation of every ordered pair, pairwise-complete: two passes of blocks of rows, the
+    first for a value of each column to count from, the second for the matrix products of values, squares
+    and presence.  A column that is constant over a pair's rows (a variance below 1e-13 of its mean
+    square, from the first value) gives NULL."""
     cols = list(columns)
-    aggs = []
-    pairs = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            if j < i:
-                continue
-            x, y = number(a), number(b)
-            both = x.isNotNull() & y.isNotNull()
-            xa, ya = F.when(both, x), F.when(both, y)
-            aggs.append(safe_div(F.covar_pop(xa, ya), F.stddev_pop(xa) * F.stddev_pop(ya)).alias(f"_r{i}_{j}"))
-            pairs.append((i, j))
-    wide = df.agg(*aggs)
-    structs = []
-    for i, j in pairs:
-        r = F.col(f"_r{i}_{j}")
-        structs.append(F.struct(F.lit(cols[i]).alias("col_x"), F.lit(cols[j]).alias("col_y"), r.alias("corr")))
-        if i != j:
-            structs.append(F.struct(F.lit(cols[j]).alias("col_x"), F.lit(cols[i]).alias("col_y"), r.alias("corr")))
-    return wide.select(F.explode(F.array(*structs)).alias("_r")).select("_r.*")
+    n = len(cols)
+    least = df.agg(*[F.min(number(c)).alias(f"c{i}") for i, c in enumerate(cols)]).first()
+    origin = np.array([0.0 if v is None or not math.isfinite(v) else v for v in least])
+
+    def make(x: np.ndarray) -> np.ndarray:
+        m = (~np.isnan(x)).astype(float)
+        x = np.nan_to_num(x - origin, nan=0.0, posinf=np.inf, neginf=-np.inf)
+        with np.errstate(invalid="ignore", over="ignore"):
+            return np.concatenate([(m.T @ m).ravel(), (x.T @ m).ravel(), ((x * x).T @ m).ravel(), (x.T @ x).ravel()])
+
+    with Blocks(df, [number(c) for c in cols], keep=False) as blocks:
+        count, total, square, product = blocks.sum(make, 4 * n * n).reshape(4, n, n)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mean = total / count
+        var = square / count - mean * mean  # of the row's column, over the rows where the other is present
+        var = np.where(var <= 1e-13 * square / count, np.nan, var)
+        corr = (product / count - mean * mean.T) / np.sqrt(var * var.T)
+    rows = [(cols[i], cols[j], float(corr[i, j]) if math.isfinite(corr[i, j]) else None) for i in range(n) for j in range(n)]
+    return df.sparkSession.createDataFrame(rows, "col_x string, col_y string, corr double")
 
 
 def labelled_share(counts: DataFrame, count_col: str = "count", name: str = "share") -> DataFrame:
-    """AG15: share of each category; the window has no partition but runs over the
-    already-aggregated category rows only."""
-    w = Window.partitionBy()
-    return counts.withColumn(name, F.col(count_col) / F.sum(count_col).over(w))
+    """AG15: share of each category, of a total that is added up first (one number)."""
+    total = counts.agg(F.sum(count_col)).first()[0]
+    return counts.withColumn(name, safe_div(count_col, F.lit(total)))

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.functions.expr import arith_hash, row_hash
-from strata.operators.common import materialize_small, number
+from strata.operators.blocks import ship
+from strata.operators.common import finite, materialize_small, number
 from strata.operators.quantiles import kth_value
 
+ship(__name__)
+
 # --------------------------------------------------------------------------- RS1 melt
 
 
@@ -28,8 +33,9 @@ def melt(df: DataFrame, ids: Sequence[str], values: Sequence[str], var_name: str
 def equal_width_edges(df: DataFrame, column: str, bins: int = 10) -> tuple[float, float, float] | None:
     """``(lo, width, first_edge)`` of ``bins`` right-closed equal-width bins over
     ``[min, max]``; the lowest edge is widened by 0.1 % of the range so the minimum falls
-    in bin 1.  A constant column is widened by 0.1 % of its value on both sides."""
-    x = number(column)
+    in bin 1.  A constant column is widened by 0.1 % of its value on both sides.  The range is that of
+    the finite values; infinite ones fall into the end bins."""
+    x = finite(number(column))
     r = df.agg(F.min(x).alias("mn"), F.max(x).alias("mx")).first()
     mn, mx = r["mn"], r["mx"]
     if mn is None:
@@ -43,9 +49,11 @@ def equal_width_edges(df: DataFrame, column: str, bins: int = 10) -> tuple[float
 
 
 def bin_expr(column: str, lo: float, width: float, bins: int) -> Column:
-    """Bin number 1..bins of right-closed bins ``(lo + (i-1) w, lo + i w]``; no bin for NaN."""
+    """Bin number 1..bins of right-closed bins ``(lo + (i-1) w, lo + i w]``; no bin for NaN, the end bins
+    for all beyond the edges."""
     x = number(column)
-    b = F.greatest(F.lit(1), F.least(F.lit(bins), F.ceil((x - F.lit(lo)) / F.lit(width)).cast("int")))
+    place = F.greatest(F.lit(0.0), F.least(F.lit(float(bins)), (x - F.lit(lo)) / F.lit(width)))
+    b = F.greatest(F.lit(1), F.least(F.lit(bins), F.ceil(place).cast("int")))
     return F.when(x.isNotNull(), b)
 
 
@@ -67,17 +75,28 @@ def bin_edge_columns(out: str, lo: float, w: float, first: float) -> dict[str, C
             f"{out}_hi": F.lit(lo) + F.col(out) * F.lit(w)}
 
 
+def few_distinct(df: DataFrame, column: str, most: int) -> list[float] | None:
+    """AG7: the sorted values of a numeric column, or None if there are more than ``most``.  Each task
+    stops collecting at ``most`` + 1 values, so that no more than those are ever shuffled."""
+    def some(batches):
+        seen: set[float] = set()
+        for batch in batches:
+            if len(seen) <= most:
+                seen.update(itertools.islice((v for v in batch.column(0).unique().to_pylist() if v not in seen), most + 1))
+        yield pa.RecordBatch.from_arrays([pa.array(itertools.islice(seen, most + 1), pa.float64())], ["v"])
+
+    x = number(column)
+    found = df.select(x.alias("v")).where(F.col("v").isNotNull()).mapInArrow(some, "v double").distinct().limit(most + 1).collect()
+    return None if len(found) > most else sorted(r["v"] for r in found)
+
+
 def adaptive_key(df: DataFrame, column: str, bins: int = 10, max_distinct: int = 10
                  ) -> tuple[DataFrame, str, tuple[float, float, float] | None]:
     """RS3: bin a numeric column with more than ``max_distinct`` values, else use it raw.
-    Returns ``(df, key_column, edges or None)``; one aggregate decides and sizes the bins."""
-    if isinstance(df.schema[column].dataType, T.NumericType):
-        x = number(column)
-        r = df.agg(F.count_distinct(x).alias("nd"), F.min(x).alias("mn"), F.max(x).alias("mx")).first()
-        if r["nd"] > max_distinct:
-            mn, mx = r["mn"], r["mx"]
-            w = (mx - mn) / bins
-            edges = (mn, w, mn - (mx - mn) * 0.001)
+    Returns ``(df, key_column, edges or None)``."""
+    if isinstance(df.schema[column].dataType, T.NumericType) and few_distinct(df, column, max_distinct) is None:
+        edges = equal_width_edges(df, column, bins)
+        if edges is not None:
             key = f"{column}_binned"
             return bin_equal_width(df, column, bins, key, edges), key, edges
     return df, column, None
@@ -196,7 +215,3 @@ def class_balance(df: DataFrame, split_flag: str, target: str) -> DataFrame:
     """ME7: class counts per split."""
     return (df.groupBy(F.when(F.col(split_flag), "test").otherwise("train").alias("split"), target)
             .agg(F.count(F.lit(1)).alias("count")))
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    return materialize_small(df)

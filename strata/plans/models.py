@@ -180,18 +180,61 @@ def cluster_descriptions(spark, sf_dir):
     return a.groupBy("description").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("kmeans_best_of_restarts")
+def _sweep_sql(ks: str, tail: str) -> str:
+    """All restarts of all k in SQL: the same seeding hash, weighted reservoir, Lloyd passes and stopping
+    rule; ``best`` has the restart of least cost for each k."""
+    p = cluster.HASH_PRIME
+    return f"""
+WITH RECURSIVE e AS (SELECT vec_id AS id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings),
+m AS (SELECT k, r FROM (SELECT unnest({ks}) AS k) a, range(10) b(r)),
+limits AS (SELECT 1e-4 * avg(v) AS tol FROM (SELECT var_pop(v) AS v FROM (SELECT unnest(x) AS v, unnest(range(len(x))) AS i FROM e) GROUP BY i)),
+s(k, r, j, cs) AS (SELECT k, r, 0::BIGINT, []::DOUBLE[][] FROM m UNION ALL
+  SELECT k, r, j + 1, list_append(any_value(cs), arg_min(x, key)) FROM (
+    SELECT *, CASE WHEN w > 0 THEN -ln((((h2 * h2 + h2) % {p}) + 0.5) / {p}) / w ELSE 'inf'::DOUBLE END AS key FROM (
+      SELECT *, (h1 * h1 + salt + 12345) % {p} AS h2 FROM (
+        SELECT *, ((id % {p}) * 48271 + salt * 69621) % {p} AS h1 FROM (
+          SELECT s.*, e.id, e.x, 42 + (s.k * 1000 + s.r) * 100 + s.j AS salt,
+            CASE WHEN s.j = 0 THEN 1 ELSE list_min(list_transform(s.cs, lambda c: list_distance(e.x, c) ** 2)) END AS w
+          FROM s, e WHERE s.j < s.k)))) GROUP BY k, r, j),
+l(k, r, it, cs, done) AS (SELECT k, r, 0::BIGINT, cs, false FROM s WHERE j = k UNION ALL
+  SELECT k, r, it + 1, new, list_sum(list_transform(range(1, k + 1), lambda i: list_distance(new[i], cs[i]) ** 2)) <= tol FROM (
+    SELECT k, r, it, any_value(cs) AS cs, any_value(tol) AS tol, list(coalesce(mean, cs[c]) ORDER BY c) AS new FROM (
+      SELECT k, r, it, c, any_value(cs) AS cs, any_value(tol) AS tol, list(v ORDER BY i) FILTER (v IS NOT NULL) AS mean FROM (
+        SELECT k, r, it, c, i, any_value(cs) AS cs, any_value(tol) AS tol, avg(v) AS v FROM (
+          SELECT k, r, it, cs, tol, list_position(ds, list_min(ds))::BIGINT AS c, unnest(x) AS v, unnest(range(len(x))) AS i FROM (
+            SELECT l.*, tol, e.x, list_transform(l.cs, lambda c: list_distance(e.x, c)) AS ds FROM l, e, limits WHERE NOT l.done AND l.it < 300)
+          UNION ALL SELECT l.k, l.r, l.it, l.cs, tol, unnest(range(1, l.k + 1)), NULL, -1 FROM l, limits WHERE NOT l.done AND l.it < 300)
+        GROUP BY k, r, it, c, i) GROUP BY k, r, it, c) GROUP BY k, r, it)),
+f AS (SELECT * FROM l QUALIFY it = max(it) OVER (PARTITION BY k, r)),
+costs AS (SELECT k, r, any_value(cs) AS cs, any_value(done) AS done, sum(list_min(list_transform(f.cs, lambda c: list_distance(e.x, c) ** 2))) AS cost
+  FROM f, e GROUP BY k, r),
+best AS (SELECT * FROM costs QUALIFY row_number() OVER (PARTITION BY k ORDER BY cost, r) = 1),
+a AS (SELECT best.k, e.id, e.x, list_position(list_transform(cs, lambda c: list_distance(e.x, c)),
+    list_min(list_transform(cs, lambda c: list_distance(e.x, c)))) AS c, cs FROM best, e)
+{tail}"""
+
+
+@register("kmeans_best_of_restarts", _sweep_sql("[3]", """
+SELECT (SELECT count(*) FROM (SELECT unnest(a.cs) AS o) WHERE o < a.cs[c])::INT AS cluster, count(*) AS n FROM a GROUP BY k, c, cs"""))
 def kmeans_best_of_restarts(spark, sf_dir):
-    """ML1: k=3, 10 restarts (seeds 42..51), lowest cost kept; cluster sizes (rows-only)."""
+    """ML1: k=3, 10 restarts, lowest cost kept; cluster sizes."""
     e = _embeddings(spark, sf_dir)
-    m = cluster.kmeans_best_of(e, EMB, 3, n_init=10, seed=42)
+    m = cluster.kmeans_best_of(e, EMB, 3, n_init=10, seed=42, key="vec_id")
     return m.transform(e, "cluster").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("k_sweep")
+@register("k_sweep", _sweep_sql("range(2, 11)", """,
+v AS (SELECT k, c, i, sum(v) AS v FROM (SELECT k, c, unnest(x) AS v, unnest(range(len(x))) AS i FROM a) GROUP BY k, c, i),
+g AS (SELECT k, c, n, q, sums FROM (SELECT k, c, list(v ORDER BY i) AS sums FROM v GROUP BY k, c)
+  JOIN (SELECT k, c, count(*) AS n, sum(list_dot_product(x, x)) AS q FROM a GROUP BY k, c) USING (k, c)),
+d AS (SELECT a.k, a.id, a.c AS own, g.c, g.n, list_dot_product(x, x) - 2 * list_dot_product(x, sums) / n + q / n AS dist FROM a JOIN g USING (k)),
+z AS (SELECT k, id, max(CASE WHEN c = own THEN n END) AS n, max(CASE WHEN c = own THEN dist * n / nullif(n - 1, 0) END) AS a,
+    min(CASE WHEN c <> own THEN dist END) AS b FROM d GROUP BY k, id)
+SELECT k::INT AS k, round(any_value(cost), 6) AS cost, round(avg(CASE WHEN n <= 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette_sq,
+  any_value(done) AS converged FROM z JOIN best USING (k) GROUP BY k"""))
 def k_sweep(spark, sf_dir):
     """ML4: k = 2..10, best of 10 restarts each, cost and squared-Euclidean silhouette."""
-    return rounded(cluster.k_sweep(_embeddings(spark, sf_dir), EMB))
+    return rounded(cluster.k_sweep(_embeddings(spark, sf_dir), EMB, key="vec_id"))
 
 
 # ---------------------------------------------------------------- ML5 squared silhouette

@@ -85,8 +85,8 @@ FROM {ORDERS_N_SQL}""")
 def quality_checks(spark, sf_dir):
     """FI4 + FI6: violation counts and any-null flags, one aggregate over one scan."""
     o = orders_with_nulls(spark, sf_dir)
-    return o.agg(*common.quality_exprs(["o_totalprice", "o_custkey"], "o_orderstatus"),
-                 *common.any_null_exprs(["o_totalprice", "o_orderpriority", "o_custkey"]))
+    return o.agg(*common.quality_exprs(o, ["o_totalprice", "o_custkey"], "o_orderstatus"),
+                 *common.any_null_exprs(o, ["o_totalprice", "o_orderpriority", "o_custkey"]))
 
 
 # ---------------------------------------------------------------- PF4 describe

@@ -9,6 +9,9 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strata.functions.vocab import PREDICTION_COLUMNS
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists",
@@ -38,5 +41,6 @@ def load_params(spark: SparkSession, path: str) -> dict:
 def write_prediction(scored: DataFrame, path: str, cluster_col: str = "cluster",
                      prob_col: str = "probability", label_col: str = "prediction",
                      fmt: str = "csv") -> str:
-    """The prediction sink: ``(cluster, probability, prediction)`` per record."""
-    return write_table(scored.select(cluster_col, prob_col, label_col), path, fmt=fmt, mode="overwrite")
+    """SK3, the prediction sink: ``(Cluster, Survival_Probability, Prediction)`` per record."""
+    named = zip((cluster_col, prob_col, label_col), PREDICTION_COLUMNS, strict=True)
+    return write_table(scored.select(*[F.col(c).alias(n) for c, n in named]), path, fmt=fmt, mode="overwrite")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from strata.operators.common import number
 from strata.operators.score import Scorer
 from strata.session import checkpoint_dir
 
@@ -54,7 +55,7 @@ def windowed_profile(stream: DataFrame, ts: str, group: str, value: str, window:
         stream = stream.withColumn(ts, F.col(ts).cast("timestamp"))
     return (stream.withWatermark(ts, watermark)
             .groupBy(F.window(ts, window).alias("w"), F.col(group))
-            .agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(value).cast("double")).alias("mean_value"))
+            .agg(F.count(F.lit(1)).alias("n"), F.avg(number(value)).alias("mean_value"))
             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), group, "n",
                     "mean_value"))
 

@@ -26,4 +26,4 @@ def test_params_roundtrip_and_prediction_sink(spark, tmp_path):
     scored = m.transform(rec).withColumn("cluster", rec.p_size * 0)
     write_prediction(scored, str(tmp_path / "pred"), prob_col="probability", label_col="prediction")
     got = spark.read.option("header", True).csv(str(tmp_path / "pred")).collect()
-    assert len(got) == 1 and set(got[0].asDict()) == {"cluster", "probability", "prediction"}
+    assert len(got) == 1 and set(got[0].asDict()) == {"Cluster", "Survival_Probability", "Prediction"}

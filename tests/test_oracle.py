@@ -9,7 +9,6 @@ from strata.sources.readers import TABLES
 from tools.check_oracle import close, rows_of
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"k_sweep", "kmeans_best_of_restarts"}
 
 
 @pytest.fixture(scope="module")
@@ -42,6 +41,6 @@ def test_query_matches_oracle(spark, con, name):
     assert not bad, bad[:3]
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.oracle_sql())))
 def test_rows_only_queries_run(spark, name):
     assert E.queries()[name](spark, SF).count() > 0

@@ -80,25 +80,3 @@ def test_order_statistics_with_infinities_take_few_passes(spark):
 def test_mode_ties_take_the_smaller_number(spark):
     df = spark.createDataFrame([(9, "b"), (10, "a")], "n int, s string")
     assert column_modes(df, ["n", "s"]) == {"n": "9", "s": "a"}
-
-
-def test_k_sweep_and_restarts_are_registered_with_the_whole_job(spark, monkeypatch):
-    """k = 2..10, 10 restarts each, 300 iterations, as in the original analysis."""
-    from strata.operators import cluster
-    from strata.plans import models
-
-    fits = []
-
-    def fit(df, features, k, seed=42, max_iter=300, tol=1e-4):
-        fits.append((k, seed, max_iter))
-        rows = df.select(*features).limit(k).collect()
-        return cluster.KMeansModel(list(features), [list(map(float, r)) for r in rows], 1, float(seed))
-
-    monkeypatch.setattr(cluster, "kmeans_ml", fit)
-    monkeypatch.setattr(cluster, "silhouette_sq", lambda *args: 0.0)  # slow to plan over 64 features
-    swept = models.k_sweep(spark, "/root/testdata/sf0.001").collect()
-    assert [r.k for r in swept] == list(range(2, 11))
-    assert fits == [(k, s, 300) for k in range(2, 11) for s in range(42, 52)]
-    fits.clear()
-    models.kmeans_best_of_restarts(spark, "/root/testdata/sf0.001")
-    assert fits == [(3, s, 300) for s in range(42, 52)]
