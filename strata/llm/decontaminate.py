@@ -17,8 +17,8 @@ of documents that share a passage; no pairs of documents are made.
 
 Defined results: null or empty texts and items have no words, hit nothing and are hit by
 nothing; repeated items count once per item id, repeated documents each get their own row;
-an empty benchmark leaves every document clean; an item without an id is ignored; other
-columns are not read.
+an empty benchmark leaves every document clean; words inside an item without an id are hit, but
+it has no place among ``items``; other columns are not read.
 """
 
 from __future__ import annotations
@@ -46,8 +46,7 @@ def shingles(w: Column, k: int) -> Column:
 
 def windows(items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """One row per different window: ``length, grams`` (its shingles in order), ``items``."""
-    w = items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item"),
-                                                         words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    w = items.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
     cut = w.select("item", F.explode(F.when(F.size("w") <= window, F.array(F.col("w"))).otherwise(
         F.transform(indexes(F.size("w") - (window - 1)), lambda i: F.slice(F.col("w"), i + 1, window)))).alias("v"))
     k = F.least(F.lit(shingle), F.size("v"))
@@ -90,7 +89,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
             .where(F.col("known") == F.size("grams")))
     anchors = (best.groupBy(F.col("best.gram").alias("anchor"))
                .agg(F.collect_list(F.struct(F.col("best.offset").alias("offset"), "length", "grams", "items")).alias("wins")))
-    anchors = F.broadcast(anchors) if bounded(anchors, broadcast_rows // 20) else anchors
+    anchors = F.broadcast(anchors) if bounded(best, broadcast_rows // 20) else anchors  # a window has 13 words at most
 
     proposed = found.join(anchors, F.col("gram") == F.col("anchor"), "left")
     places = F.transform(F.col("wins"), lambda v: F.struct(
