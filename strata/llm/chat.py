@@ -12,8 +12,9 @@ text starts and -1 behind it; token offsets within a conversation are prefix sum
 lengths.  The output stays one row per turn: a conversation of any length is never one value.
 
 Vocabulary: a byte-level BPE rank file, named by ``vocabulary`` (a path, or the name of a file of
-the installed public vocabularies).  Byte-level encoding is reversible for every text; texts over
-``PIECE`` characters are encoded in pieces of that length, which bounds the encoder's work.
+the installed public vocabularies).  Byte-level encoding is reversible for every text.  Texts over
+``PIECE`` characters are encoded in pieces, which bounds the encoder's work; a piece ends where the
+vocabulary's own cutting ends a match, so that the ids are those of the whole text.
 
 Defined results: a null text or role is an empty one; turns are ordered by turn (null first), then
 role, then text, so repeated rows and equal turn numbers give every run the same order; a null
@@ -62,6 +63,7 @@ class Codec:
         import os
 
         import public_tokenizers
+        import regex
         import tiktoken
 
         path = vocabulary if os.path.exists(vocabulary) else public_tokenizers.path(vocabulary)
@@ -69,15 +71,21 @@ class Codec:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("chat", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.first = max(ranks.values()) + 1
+        self.cutter = regex.compile(public_tokenizers.PATTERN)
 
     def mark(self, i: int) -> int:
         return self.first + i
 
     def encode(self, text: str) -> list[int]:
+        if len(text) <= PIECE:
+            return self.bpe.encode_ordinary(text)
         out: list[int] = []
-        for i in range(0, len(text), PIECE):
-            out += self.bpe.encode_ordinary(text[i:i + PIECE])
-        return out
+        start = 0
+        for m in self.cutter.finditer(text):
+            if m.end() - start >= PIECE:
+                out += self.bpe.encode_ordinary(text[start:m.end()])
+                start = m.end()
+        return out + self.bpe.encode_ordinary(text[start:])
 
     def decode(self, ids: np.ndarray) -> str:
         return self.bpe.decode_bytes(ids.tolist()).decode("utf-8")
