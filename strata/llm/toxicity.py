@@ -232,12 +232,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, ch
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, score, predicted`` for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # plain values: a broadcast object would need this library on the executors
+    shared = docs.sparkSession.sparkContext.broadcast((model.table, model.bias, model.prior))
 
     def run(batches):
+        model = Model(*shared.value)
         cache: dict[str, float] = {}
         for batch in batches:
-            s = shared.value.scores(batch.column("text").to_pylist(), cache)
+            s = model.scores(batch.column("text").to_pylist(), cache)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s, pa.float64())], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
