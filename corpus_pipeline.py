@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import decontaminate, line_dedup, minhash, mixing, quality
-from strata.llm.common import table, written
+from strata.llm.common import placed, table, written
 from strata.llm.queries import label_weight
 
 SHINGLE = 5  # words; the similarity is minhash.PERCENT
@@ -68,17 +68,25 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with ``size``, ``source_size``, ``target`` and ``taken``
-    (words, repeats counted).  Copies of a row share what the mix takes of them."""
+    (words, repeats counted).  Rows alike in id, text and source share what the mix takes of them as evenly
+    as whole words allow, so that no word is lost; a row whose share is nothing goes."""
     known = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("label"))
     slim = docs.select(key().alias("key"), "doc_id", "source", mixing.size_of(F.col("text")).alias("size"))
     slim = slim.join(known, "doc_id", "left").select(F.col("key").alias("doc_id"), "source", "size", label_weight().alias("quality"))
-    plan = (mixing.mix(slim).groupBy(F.col("doc_id").alias("key")).agg(
+    plan = written(mixing.mix(slim).groupBy(F.struct(F.col("doc_id").alias("key"), "source").alias("of")).agg(
         F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"),
-        F.floor(F.sum("taken") / F.count(F.lit(1))).cast("long").alias("taken")).where("taken > 0"))
-    rows = docs.select(F.struct("*").alias("row"), key().alias("id"))
+        F.sum("taken").alias("sum"), F.count(F.lit(1)).alias("alike")).where("sum > 0"), "mix-plan")
+    rows = docs.select(F.struct("*").alias("row"), F.struct(key().alias("key"), "source").alias("id"))
+    single, several = plan.where("alike = 1"), plan.where("alike > 1")
     clash = {"size", "source_size", "target", "taken"}
-    return rows.join(plan, F.col("id").eqNullSafe(F.col("key"))).select(
-        *[F.col(f"row.`{c}`") for c in docs.columns if c not in clash], "size", "source_size", "target", "taken")
+    columns = [*[F.col(f"row.`{c}`") for c in docs.columns if c not in clash], "size", "source_size", "target"]
+    out = rows.join(single, F.col("id").eqNullSafe(F.col("of"))).select(*columns, F.col("sum").cast("long").alias("taken"))
+    if several.isEmpty():
+        return out
+    alike = written(rows.join(several, F.col("id").eqNullSafe(F.col("of"))).withColumn("salt", F.rand(13)), "alike-rows")
+    nth = placed(alike, ["id"], ["salt"], at="nth", total="all")
+    share = F.floor(F.col("sum") / F.col("alike")) + (F.col("nth") < F.col("sum") % F.col("alike")).cast("long")
+    return out.unionByName(nth.withColumn("taken", share.cast("long")).where("taken > 0").select(*columns, "taken"))
 
 
 STAGES = [("quality_rules", quality_stage), ("line_dedup", line_stage), ("near_duplicates", near_duplicate_stage),
