@@ -10,12 +10,15 @@ exact confirmation on full shingle sets, and components by alternating stars.
    full sets, and links become components.
 4. A bucket whose members are one component is done.  In the others members are paired with the
    bucket's ends where those are in another component, and confirmed likewise.
-5. In buckets still open after that every remaining pair across components is compared, in
-   blocks of bounded size, so a pair that shares a band is either tested or already connected.
-   No bucket emits its pairs: what is passed on are members and links.
+5. Buckets still open after that are hot: their members share a band, but mostly little else.  These
+   members, and no others, are banded anew by ``FINE_BANDS`` bands of ``FINE_ROWS`` further minima, which
+   parts what is not alike, and step 4 is repeated on the fine buckets.
+6. In fine buckets still open every remaining pair across components is compared, in blocks of
+   bounded size; places in a bucket come from counts by range, not from a window over its sets.
 
-With 40 bands of 6, a pair at similarity 0.8 shares no band with probability 5e-6; signatures
-of 240 bytes reject a pair at 0.8 with probability under 1e-7.
+With 40 bands of 6, a pair at similarity 0.8 shares no band with probability 5e-6, and with 85 of 10
+no fine band with probability 7e-5; signatures of 240 bytes reject a pair at 0.8 with
+probability under 1e-7.
 
 Defined results: a text without words, or null, has an empty set and is linked with nothing; a
 text shorter than a shingle is one shingle; rows that repeat an id are in one component (linked if
@@ -30,16 +33,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.llm.common import ship, written
+from strata.llm.common import placed, ship, written
 from strata.llm.components import components
 
 ship(__name__)
 
 BANDS, ROWS = 40, 6
+FINE_BANDS, FINE_ROWS = 85, 10
 SHINGLE, PERCENT = 4, 80
 SIGNATURE_LEAST = 0.65
 CHUNK = 2048
@@ -72,6 +76,15 @@ def minima(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def bands_of(minima: np.ndarray, bands: int) -> np.ndarray:
+    """A key for each band of the minima."""
+    g, x = minima.reshape(bands, -1), np.arange(bands, dtype=np.uint64)
+    for j in range(g.shape[1]):
+        x = (x ^ g[:, j]) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(31)
+    return x.view(np.int64)
+
+
 def functions_for(n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
     draw = lambda: rng.integers(0, 2 ** 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -89,7 +102,6 @@ def signer(shingle: int, bands: int, rows: int):
     def sign(batches):
         a, b = functions_for(bands * rows)
         ids: dict[bytes, int] = {}
-        salt = np.arange(bands, dtype=np.uint64)
         for batch in batches:
             n, key, sig, band = [], [], [], []
             for words in _texts(batch):
@@ -101,12 +113,7 @@ def signer(shingle: int, bands: int, rows: int):
                 m = minima(h, a, b)
                 key.append(xxhash.xxh3_128_digest(h.tobytes()))
                 sig.append((m >> np.uint64(32)).astype(np.uint8).tobytes())
-                g = m.reshape(bands, rows)
-                x = salt
-                for j in range(rows):
-                    x = (x ^ g[:, j]) * np.uint64(0x9E3779B97F4A7C15)
-                    x ^= x >> np.uint64(31)
-                band.append(x.view(np.int64))
+                band.append(bands_of(m, bands))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary()),
                  pa.array(band, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "sig", "band"])
@@ -211,21 +218,47 @@ def comparing(percent: int):
     return compare
 
 
-def _remaining(members: DataFrame, docs: DataFrame, shingle: int, percent: int, several: bool) -> DataFrame:
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of the fine bands of sets."""
+    a, b = functions_for(FINE_BANDS * FINE_ROWS, seed=8)
+    for batch in batches:
+        keys = [bands_of(minima(np.frombuffer(z.as_buffer(), np.uint64), a, b), FINE_BANDS) for z in batch.column("set")]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "band"])
+
+
+def _fine_sets(members: DataFrame, docs: DataFrame, shingle: int, several: bool) -> DataFrame:
+    """Sets of the members of open buckets that neither end of their bucket was tested for."""
+    inner = members.where((F.col("n") > 3) & (F.col("doc_id") != F.col("first")) & (F.col("doc_id") != F.col("last")))
+    mixed = inner.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
+    nodes = written(inner.join(mixed.hint("merge"), "key").select("doc_id").distinct(), "inner")
+    return sets_of(nodes, docs, shingle, several)
+
+
+def _buckets(banded: DataFrame, name: str) -> DataFrame:
+    """``doc_id, band`` -> the members of buckets of two or more, with the buckets' sizes and ends."""
+    buckets = banded.select("doc_id", F.explode("band").alias("key"))
+    ends = (buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"),
+                                       F.max("doc_id").alias("last")).where(F.col("first") < F.col("last")))
+    return written(buckets.join(ends.hint("merge"), "key"), name)
+
+
+def _remaining(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links among the members that neither end of their bucket was tested for, across
     components.  A bucket is cut into blocks of bounded size; each pair of blocks is compared in
     one go, so that what is passed on are members and links, never pairs."""
     kind = members.schema["doc_id"].dataType.simpleString()
     inner = members.where((F.col("n") > 3) & (F.col("doc_id") != F.col("first")) & (F.col("doc_id") != F.col("last")))
     mixed = inner.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-    inner = written(inner.join(mixed.hint("merge"), "key").select("key", "doc_id", "c"), "inner")
-    rows = inner.join(sets_of(inner, docs, shingle, several).hint("merge"), "doc_id")
-    order = Window.partitionBy("key").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    weight = F.octet_length("set") / 8 + BLOCK_SHINGLES // BLOCK_ROWS
-    rows = rows.withColumn("block", F.floor(F.coalesce(F.sum(weight).over(order), F.lit(0)) / BLOCK_SHINGLES).cast("int"))
-    rows = rows.withColumn("blocks", F.max("block").over(Window.partitionBy("key")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), "blocks")))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "c", "set")
+    sizes = sets.select(F.col("doc_id").alias("_d"), (F.octet_length("set") / 8).cast("long").alias("size"))
+    inner = inner.join(mixed.hint("merge"), "key").join(sizes.hint("merge"), F.col("doc_id") == F.col("_d"))
+    inner = written(inner.select("key", "doc_id", "c", "size"), "inner")
+    if inner.isEmpty():
+        return inner.select(F.col("doc_id").alias("x"), F.col("doc_id").alias("y"))
+    block = lambda c: F.floor(F.col(c) / BLOCK_SHINGLES).cast("int")
+    rows = placed(inner, ["key"], ["doc_id"], F.col("size") + BLOCK_SHINGLES // BLOCK_ROWS).select(
+        "key", "doc_id", "c", block("at").alias("block"), F.explode(F.sequence(F.lit(0), block("total"))).alias("other"))
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "c")
+    rows = rows.join(sets.hint("merge"), "doc_id")
     return rows.groupBy("key", "i", "j").applyInArrow(comparing(percent), f"x {kind}, y {kind}").distinct()
 
 
@@ -263,10 +296,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if several:  # from here on each text is a node of its own
         reps = reps.withColumn("doc_id", F.struct("doc_id", "set_key"))
 
-    buckets = reps.select("doc_id", F.explode("band").alias("key"))
-    ends = (buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"),
-                                       F.max("doc_id").alias("last")).where(F.col("first") < F.col("last")))
-    members = written(buckets.join(ends.hint("merge"), "key"), "members")
+    members = _buckets(reps, "members")
     sigs = reps.select("doc_id", "sig")
     tested = lambda pairs: _linked(pairs.select(
         F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), sigs, docs, shingle, percent, several)
@@ -276,9 +306,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         first = at.groupBy("id").agg(F.min("b").alias("a"))
         links = links.unionByName(at.join(first, "id").where("a != b").select("a", "b").distinct())
     same = components(links)
-    for step in (lambda m: tested(_end_partners(m)), lambda m: _remaining(m, docs, shingle, percent, several)):
+
+    def joined(links: DataFrame) -> DataFrame:
         known = same.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        same = components(step(_open(members, same)).toDF("a", "b").unionByName(known))
+        return components(links.toDF("a", "b").unionByName(known))
+
+    same = joined(tested(_end_partners(_open(members, same))))
+    sets = _fine_sets(_open(members, same), docs, shingle, several)
+    if not sets.isEmpty():
+        kind = sets.schema["doc_id"].dataType.simpleString()
+        fine = _buckets(sets.mapInArrow(_fine, f"doc_id {kind}, band array<long>"), "fine-members")
+        same = joined(tested(_end_partners(_open(fine, same))))
+        same = joined(_remaining(_open(fine, same), sets, percent))
 
     classes = (reps.select("set_key", F.col("doc_id").alias("rep")).join(same, F.col("rep") == F.col("node"), "left")
                .select("set_key", F.coalesce("component", "rep").alias("component")))
