@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.functions import vocab
-from strata.operators import classify, cluster, features, metrics, missing, reshape
+from strata.operators import classify, cluster, features, metrics, missing, profile, reshape
 from strata.operators.encode import encode_table
 from strata.operators.score import Scorer
 
@@ -80,6 +80,8 @@ class ClassifierResult:
     auc: DataFrame
     confusion: DataFrame
     coefficients: DataFrame
+    weighted_f1: DataFrame
+    roc: DataFrame
 
 
 def train_classifier(df: DataFrame, feats: Sequence[str], target: str, key: str, rules: Mapping = vocab.FILL_RULES,
@@ -98,7 +100,41 @@ def train_classifier(df: DataFrame, feats: Sequence[str], target: str, key: str,
     return ClassifierResult(model, scores, metrics.binary_metrics(scored, target, "prediction"),
                             metrics.roc_auc(scored, target, "probability"),
                             metrics.confusion(scored, target, "prediction"),
-                            classify.coefficient_table(df.sparkSession, model))
+                            classify.coefficient_table(df.sparkSession, model),
+                            metrics.weighted_f1(scored, target, "prediction"), metrics.roc_curve(scored, target, "probability"))
+
+
+@dataclass
+class Evaluation:
+    scored: DataFrame
+    agreement: DataFrame
+    profile: DataFrame
+    survival_by_cluster: DataFrame
+    metrics: DataFrame
+    weighted_f1: DataFrame
+    auc: DataFrame
+    confusion: DataFrame
+    roc: DataFrame
+    coefficients: DataFrame
+
+
+def evaluate(df: DataFrame, scorer: Scorer, target: str, stored_cluster: str | None = "Cluster",
+             profile_cols: Sequence[str] = vocab.PROFILE_FEATURES, rules: Mapping = vocab.FILL_RULES) -> Evaluation:
+    """Re-score a table with a (loaded) bundle: rule fill, clusters again and their agreement with the stored
+    ones (100 % if none are), profiles, target rate by cluster, metrics, curve and coefficients.  Rows
+    without a target are scored but have no part in the metrics."""
+    filled = missing.fill_by_rules(df, rules, vocab.MEDIAN_FALLBACKS)
+    stored = "stored_cluster" if stored_cluster in df.columns else None
+    filled = filled.withColumnRenamed(stored_cluster, stored) if stored else filled  # names differ in more than case
+    scored = scorer.transform(filled, keep=filled.columns).withColumn("predicted_class", (F.col("prediction") == scorer.positive).cast("int"))
+    known = scored.where(F.col(target).isNotNull())
+    return Evaluation(
+        scored, cluster.cluster_agreement(scored, stored, "cluster"),
+        cluster.cluster_profile(scored, "cluster", [c for c in profile_cols if c in df.columns]),
+        profile.group_rate(scored, ["cluster"], target, "rate"),
+        metrics.binary_metrics(known, target, "predicted_class"), metrics.weighted_f1(known, target, "predicted_class"),
+        metrics.roc_auc(known, target, "probability"), metrics.confusion(known, target, "predicted_class"),
+        metrics.roc_curve(known, target, "probability"), classify.coefficient_table(df.sparkSession, scorer.logistic))
 
 
 def scorer_bundle(cl: ClusterResult, clf: ClassifierResult, threshold: float = 0.5, inclusive: bool = False

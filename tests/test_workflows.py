@@ -40,3 +40,22 @@ def test_preprocess_cluster_classify_score(spark):
     out = sc.transform(pre, keep=["PatientID"])
     assert set(out.columns) >= {"cluster", "probability", "prediction", "band", "n_risk_factors"}
     assert out.count() == 40
+    again = load_scorer_after_saving(spark, sc)
+    ev = workflows.evaluate(cl.clustered, again, "SurvivalStatus_Survived")
+    assert ev.agreement.first()[0] == 100.0 and ev.scored.count() == 40
+    assert ev.confusion.agg(F.sum("count")).first()[0] == 40 and 0 <= ev.auc.first().auc <= 1
+    assert ev.roc.orderBy("i").first().fpr == 0 and 0 <= ev.weighted_f1.first()[0] <= 1
+    assert {r.cluster for r in ev.survival_by_cluster.collect()} == {r.cluster for r in ev.profile.collect()}
+    assert ev.coefficients.count() == len(vocab.CLUSTER_FEATURES)
+    assert workflows.evaluate(pre, again, "SurvivalStatus_Survived").agreement.first()[0] == 100.0  # no stored clusters
+
+
+def load_scorer_after_saving(spark, scorer):
+    import uuid
+
+    from strata.session import checkpoint_dir
+    from strata.sources.versions import load_scorer, save_scorer
+
+    root = f"{checkpoint_dir(spark)}/scorer-{uuid.uuid4().hex}"
+    save_scorer(spark, scorer, root)
+    return load_scorer(spark, root)
