@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 
 from strata.functions.expr import arith_hash, row_hash
 from strata.operators.blocks import ship
-from strata.operators.common import finite, materialize_small, number
+from strata.operators.common import finite, number
 from strata.operators.quantiles import kth_value
 
 ship(__name__)
@@ -135,6 +136,8 @@ def union_all(*dfs: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- SA keyed sampling
 
+CUT_BUCKETS = 4096  # a power of 2
+RANKED = 200_000  # rows of a bucket that are put in order
 HASH_52 = (1 << 52)  # doubles represent every integer below 2^53 exactly
 
 
@@ -153,24 +156,45 @@ def _tiebreak(df: DataFrame, key: str, seed: int) -> Column:
     return F.pmod(row_hash([key], seed + 1_000_003), F.lit(HASH_52)).cast("double")
 
 
-def _threshold(df: DataFrame, key: str, m: int, seed: int, method: str) -> tuple[float, float] | None:
-    """The m-th smallest (hash, key) pair, m >= 1, found with two exact distributed
-    selections: the m-th hash, then among rows carrying that hash the needed key."""
+def _threshold(df: DataFrame, key: str, m_of: Callable[[int], int], seed: int, method: str) -> tuple[float, float] | None:
+    """The ``m_of(n)``-th smallest (hash, key) pair of ``n`` rows.  One pass counts the rows of every bucket
+    of hashes, which gives n too; only the bucket with the cut is looked at again: counted in finer
+    buckets while it has more than ``RANKED`` rows, then put in order."""
     h = hash_column(key, seed, method).cast("double")
-    data = df.select(h.alias("_v"), _tiebreak(df, key, seed).alias("_key"))
-    st = data.agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).first()
-    if st["n"] == 0 or m <= 0:
-        return None
-    m = min(m, st["n"])
-    t = kth_value(data.select("_v"), m - 1, st["n"], st["lo"], st["hi"])
-    ties = data.where(F.col("_v") <= t).agg(F.count_if(F.col("_v") < t).alias("below"),
-                                            F.count_if(F.col("_v") == t).alias("n"),
-                                            F.min(F.when(F.col("_v") == t, F.col("_key"))).alias("lo"),
-                                            F.max(F.when(F.col("_v") == t, F.col("_key"))).alias("hi")).first()
-    need = m - ties["below"]  # 1..n_ties
-    tie_rows = data.where(F.col("_v") == t).select(F.col("_key").alias("_v"))
-    kt = kth_value(tie_rows, need - 1, ties["n"], ties["lo"], ties["hi"])
-    return t, kt
+    data = df.select(F.when(F.col(key).isNotNull(), h).alias("_v"), _tiebreak(df, key, seed).alias("_key"))
+    lo, width = 0.0, float(2 ** 20 if method == "arith" else HASH_52)  # powers of 2, so that edges are exact
+    m, below = None, 0
+    while True:
+        here = data if m is None else data.where((F.col("_v") >= lo) & (F.col("_v") < lo + width))
+        bucket = F.floor((F.col("_v") - F.lit(lo)) * F.lit(CUT_BUCKETS / width))
+        counts = {r["b"]: r["n"] for r in here.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        without = counts.pop(None, 0)
+        if m is None:
+            m = min(m_of(sum(counts.values()) + without), sum(counts.values()))
+            if m <= 0:
+                return None
+        for j in sorted(counts):
+            if below + counts[j] >= m:
+                break
+            below += counts[j]
+        lo, width = lo + j * (width / CUT_BUCKETS), width / CUT_BUCKETS
+        cut = data.where((F.col("_v") >= lo) & (F.col("_v") < lo + width))
+        if counts[j] <= RANKED:
+            last = cut.orderBy("_v", "_key").offset(m - below - 1).limit(1).first()
+            return last["_v"], last["_key"]
+        if width <= 1:  # one hash alone: the keys decide
+            ends = cut.agg(F.min("_key").alias("lo"), F.max("_key").alias("hi")).first()
+            return lo, kth_value(cut.select(F.col("_key").alias("_v")), m - below - 1, counts[j], ends["lo"], ends["hi"])
+
+
+def _flagged(df: DataFrame, key: str, th: tuple[float, float] | None, seed: int, method: str, flag: str) -> DataFrame:
+    if th is None:
+        return df.withColumn(flag, F.lit(False))
+    t, kt = th
+    h = hash_column(key, seed, method).cast("double")
+    k = _tiebreak(df, key, seed)
+    inside = (h < F.lit(t)) | ((h == F.lit(t)) & (k <= F.lit(kt)))
+    return df.withColumn(flag, F.col(key).isNotNull() & F.coalesce(inside, F.lit(False)))  # a row without a key is never drawn
 
 
 def flag_first_m(df: DataFrame, key: str, m: int, seed: int = 42, method: str = "xxhash64",
@@ -178,21 +202,13 @@ def flag_first_m(df: DataFrame, key: str, m: int, seed: int = 42, method: str =
     """Flag exactly ``m`` rows: those with the smallest (hash(key), key).  ``key`` must be
     unique.  No global sort and no row limit: the threshold is an exact distributed
     order statistic, the flag a projection."""
-    th = _threshold(df, key, m, seed, method)
-    if th is None:
-        return df.withColumn(flag, F.lit(False))
-    t, kt = th
-    h = hash_column(key, seed, method).cast("double")
-    k = _tiebreak(df, key, seed)
-    inside = (h < F.lit(t)) | ((h == F.lit(t)) & (k <= F.lit(kt)))
-    return df.withColumn(flag, F.coalesce(inside, F.lit(False)))  # a row without a key is never drawn
+    return _flagged(df, key, _threshold(df, key, lambda n: m, seed, method), seed, method, flag)
 
 
 def sample_exact(df: DataFrame, key: str, fraction: float, seed: int = 42, method: str = "xxhash64") -> DataFrame:
     """SA1: exactly ``int(fraction * n)`` rows, repeatable, independent of partitioning."""
-    n = df.count()
-    m = int(fraction * n)
-    return flag_first_m(df, key, m, seed, method, "_s").where("_s").drop("_s")
+    th = _threshold(df, key, lambda n: int(fraction * n), seed, method)
+    return _flagged(df, key, th, seed, method, "_s").where("_s").drop("_s")
 
 
 def sample_approx(df: DataFrame, key: str, fraction: float, seed: int = 42, method: str = "xxhash64") -> DataFrame:
@@ -205,10 +221,8 @@ def split_train_test(df: DataFrame, key: str, test_fraction: float = 0.2, seed:
                      method: str = "xxhash64", flag: str = "is_test") -> DataFrame:
     """SA2: ``ceil(test_fraction * n)`` test rows (the scikit-learn count), chosen by hash;
     the flag is a projection, so train and test are two filters of one plan."""
-    import math
-    n = df.count()
-    m = int(math.ceil(test_fraction * n))
-    return flag_first_m(df, key, m, seed, method, flag)
+    th = _threshold(df, key, lambda n: math.ceil(test_fraction * n), seed, method)
+    return _flagged(df, key, th, seed, method, flag)
 
 
 def class_balance(df: DataFrame, split_flag: str, target: str) -> DataFrame:

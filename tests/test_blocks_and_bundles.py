@@ -274,3 +274,21 @@ for name in ("kmeans_best_of_restarts", "grid_search_wide", "corr_matrix", "dens
     out = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
     assert out.returncode == 0, out.stderr[-2000:]
     assert "grid_search_wide 9" in out.stdout
+
+
+# --- exact samples ---------------------------------------------------------------------------------------------------
+@pytest.mark.parametrize("ranked", [200_000, 5])
+def test_exact_samples_by_sorting(spark, monkeypatch, ranked):
+    monkeypatch.setattr(reshape, "RANKED", ranked)
+    monkeypatch.setattr(reshape, "CUT_BUCKETS", 16)
+    df = spark.range(3000).select(F.when(F.col("id") % 100 != 7, F.col("id")).alias("id"))
+    for method in ("arith", "xxhash64"):
+        order = df.where("id IS NOT NULL").select("id", reshape.hash_column("id", 42, method).alias("h")).orderBy("h", "id").collect()
+        got = {r.id for r in reshape.sample_exact(df, "id", 0.2, method=method).collect()}
+        assert got == {r.id for r in order[:600]}
+        split = reshape.split_train_test(df, "id", 0.25, method=method)
+        assert {r.id for r in split.where("is_test").collect()} == {r.id for r in order[:750]} and split.count() == 3000
+    clash = spark.range(1000).select((F.col("id") * 1000003).alias("id"))  # one arithmetic hash
+    assert {r.id for r in reshape.sample_exact(clash, "id", 0.3, method="arith").collect()} == {i * 1000003 for i in range(300)}
+    assert reshape.sample_exact(df, "id", 0.0).count() == 0 and reshape.sample_exact(df.where("id < 0"), "id", 0.5).count() == 0
+    assert reshape.flag_first_m(df, "id", 10 ** 6).where("in_sample").count() == 2970
