@@ -87,18 +87,6 @@ def kmeans_lloyd(df: DataFrame, features: Sequence[str], init: Sequence[Sequence
     return KMeansModel(feats, centres, it, cost)
 
 
-def kmeans_ml(df: DataFrame, features: Sequence[str], k: int, seed: int = 42, max_iter: int = 300,
-              tol: float = 1e-4) -> KMeansModel:
-    """ML1 / ML3 through ``pyspark.ml`` (k-means|| initialisation)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    va = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip")
-    m = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, featuresCol="_features").fit(va.transform(df))
-    return KMeansModel(list(features), [list(map(float, c)) for c in m.clusterCenters()],
-                       m.summary.numIter, float(m.summary.trainingCost))
-
-
 HASH_PRIME = 2147483647  # of the seeding's hash; keys below 2^31 keep every product within 63 bits
 
 

@@ -31,12 +31,6 @@ from strata.operators.common import SMALL_STATE_ROWS, broadcast_bounded, materia
 _V = "_v"
 
 
-def _clean(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    v = F.col(value).cast("double")
-    return (df.select(*by, v.alias(_V))
-            .where(F.col(_V).isNotNull() & ~F.isnan(F.col(_V))))
-
-
 def kth_smallest(data: DataFrame, targets: DataFrame, by: Sequence[str] = (),
                  buckets: int = 4096, finish_below: int = 200_000, max_passes: int = 40) -> DataFrame:
     """Exact k-th smallest (0-based) ``_v`` per group.
