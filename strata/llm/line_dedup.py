@@ -4,18 +4,20 @@ A line's tokens are its distinct ``shingle``-word shingles (all words as one tok
 fewer); a line is removed if an earlier one, by document id and line number, has a Jaccard
 similarity of at least ``percent``, whether or not that one is removed itself.
 
-1. Token frequencies over all lines are counted in ``BUCKETS`` hashed counters, which give one
-   order of all tokens by rarity, of fixed size whatever the vocabulary.
-2. Equal lines are collapsed by an aggregate: all but the first are later matches.  Each first
-   line keeps its prefix, the s - ceil(t s) + 1 rarest of its s tokens: similar lines share one.
-3. Prefix tokens of a single line are dropped, most of them by a table of marks of fixed size
-   before anything but the tokens is shuffled.  Every other token pairs its lines with its
-   first line, one row per line, under length and positional bounds; pairs are verified on
-   their whole sets of shingles, as 64-bit hashes.
-4. Lines without a match so far are joined with all earlier lines of their tokens under the
-   same bounds and verified, so that no match is lost.  No token emits all its pairs.
-
-Prefix tokens are 57-bit hashes; lines are equal if a 128-bit hash of their words is.
+1. Equal lines are collapsed by an aggregate: all but the first are later matches.  In the same
+   pass each line is cut into tokens once, of which the least by hash go on: similar lines share
+   ``SHARED`` of their first s - ceil(t s) + ``SHARED`` tokens in any order of all tokens.
+2. These are counted exactly.  A line with fewer than ``SHARED`` that other lines have too is
+   similar to none and is done; only the others' whole sets are made.
+3. Rarity is the exact number of those lines that have a token.  A line's prefix is the
+   s - ceil(t s) + 1 rarest of its s tokens: similar lines share one.  A phrase that many lines have
+   is their last token, so it is in the prefix only of lines that have hardly any other.
+4. Every prefix token pairs its lines with its first line, one row per line, under length and
+   positional bounds; pairs are verified on their whole sets of 64-bit hashes.
+5. Lines without a match so far are joined with all earlier lines of their tokens under the
+   same bounds and verified, so that no match is lost.
+
+Lines, and the texts of one id, are equal if a 128-bit hash of them is.
 
 Defined results: a null text has no lines and stays null; lines without words are neither
 compared nor removed; repeated rows of one id and text lose the same lines; rows of one id with
@@ -28,153 +30,170 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import NOT_SPACE, bounded, indexes, let, written
+from strata.llm.common import bounded, let, placed, same, written
 
 SHINGLE, PERCENT = 5, 80
-BUCKETS = 1 << 16  # a power of 2
-FILTER_WORDS = 1 << 18  # a power of 2; 64 marks each
-HASH_BITS = 57
-BROADCAST_ROWS = 1_000_000
+SHARED = 3
+BROADCAST_TOKENS = 1_000_000  # rows of one or two longs
+BROADCAST_LINES = 4_000_000  # line numbers, with an id of some 50 bytes for each document
 ID = ["doc_id", "h", "line"]
 
 
-def line_words(line: Column) -> Column:
-    """Lower-cased words of a line; other white space than the blank is rare, so it is only
+def text_key(text: Column) -> Column:
+    """128 bits of a text, as two hashes of different seeds."""
+    return F.struct(F.xxhash64(F.lit(0), text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+
+
+def blanks(text: Column) -> Column:
+    """Other white space than the blank and the line feed made blanks; it is rare, so it is only
     replaced where there is some."""
-    other = reduce(or_, [F.contains(line, F.lit(c)) for c in "\t\v\f\r"])
-    blanks = F.when(other, F.translate(line, "\t\v\f\r", "    ")).otherwise(line)
-    return F.array_remove(F.split(F.lower(blanks), " "), "")
+    other = reduce(or_, [F.contains(text, F.lit(c)) for c in "\t\v\f\r"])
+    return F.when(other, F.translate(text, "\t\v\f\r", "    ")).otherwise(text)
+
+
+def line_words(line: Column) -> Column:
+    return F.array_remove(F.split(line, " "), "")
 
 
 def shingle_hashes(w: Column, k: int) -> Column:
-    return F.when(F.size(w) < k, F.array(F.xxhash64(w))).otherwise(
-        F.transform(indexes(F.size(w) - (k - 1)), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)])))
+    return F.when(F.size(w) < k, F.array(F.xxhash64(w))).otherwise(F.slice(
+        F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + j) for j in range(1, k)])), F.lit(1), F.size(w) - (k - 1)))
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """``doc_id, h, line, words`` of every line with a word; h tells texts of one id apart."""
-    d = docs.select("doc_id", F.hash("text").alias("h"), F.col("text"))
-    rows = d.select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("line", "s")).where(F.col("s").rlike(NOT_SPACE))
-    return rows.select("doc_id", "h", "line", line_words(F.col("s")).alias("words"))
+def tokens(line: Column, shingle: int, body) -> Column:
+    """``body`` of the sorted tokens of a line (in lower case, parted by blanks), repeats included."""
+    return let(line_words(line), lambda w: let(F.sort_array(shingle_hashes(w, shingle)), body))
 
 
-def rarity(lines: DataFrame, shingle: int) -> Column:
-    """An array of the binary logarithms of the bucketed token counts."""
-    w, last = F.col("words"), F.greatest(F.size("words") - shingle, F.lit(0))
-    at = lines.select("words", F.explode(F.sequence(F.lit(0), last)).alias("i"))  # places, so that hashing is compiled
-    hashed = F.xxhash64(*[F.get(w, F.col("i") + j) for j in range(shingle)])
-    tokens = at.select(F.when(F.size(w) < shingle, F.xxhash64(w)).otherwise(hashed).alias("t"))
-    counts = tokens.groupBy(F.col("t").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).count()
-    of = {r["b"]: r["r"] for r in counts.select("b", F.floor(F.log2("count")).cast("int").alias("r")).collect()}
-    return F.split(F.lit(",".join(str(of.get(b, 0)) for b in range(BUCKETS))), ",").cast("array<int>")  # folded to a constant
+def needed(size: Column, percent: int) -> Column:
+    """Tokens that a line of ``size`` shares at least with a similar one."""
+    return F.floor((percent * size + 99) / 100).cast("int")
 
 
 def first_lines(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The first of every group of equal lines: ``doc_id, h, line, size, prefix``."""
-    lines = lines_of(docs)
-    order = rarity(lines, shingle)
-
-    def prefix(tokens: Column) -> Column:
-        # one long per token: its rarity in the high bits, its hash in the low ones
-        ranked = F.sort_array(F.transform(tokens, lambda t: F.shiftleft(
-            F.get(order, t.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), HASH_BITS)
-            .bitwiseOR(t.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))))
-        s = F.size(tokens)
-        keep = s - F.floor((percent * s + 99) / 100).cast("int") + 1
-        return F.struct(s.alias("size"), F.slice(ranked, F.lit(1), keep).alias("prefix"))
-
-    key = F.unhex(F.md5(F.array_join("words", " ")))
-    rows = lines.select(key.alias("key"), *ID, let(
-        let(F.col("words"), lambda w: F.array_distinct(shingle_hashes(w, shingle))), prefix).alias("p"))
-    firsts = rows.groupBy("key").agg(F.min(F.struct(*ID, "p.size", "p.prefix")).alias("f"))
-    return written(firsts.select("f.*"), "first-lines")
-
-
-def _perhaps_repeated(rows: DataFrame) -> DataFrame:
-    """``rows`` less most of those whose token no other row has: repeated tokens are marked in a
-    table of ``FILTER_WORDS`` times 64 bits, whatever the input, and unmarked rows go.  What a
-    chance mark lets through is left to the exact join."""
-    word = F.col("token").bitwiseAND(F.lit(FILTER_WORDS - 1))
-    bit = F.expr(f"shiftleft(1L, cast(shiftright(token, {FILTER_WORDS.bit_length() - 1}) & 63 as int))")
-    repeated = rows.groupBy("token").count().where("count > 1")
-    marks = repeated.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("marks"))
-    marks = rows.sparkSession.range(FILTER_WORDS).toDF("word").join(marks, "word", "left").fillna(0, ["marks"])
-    marks = written(marks, "marks")
-    return rows.withColumn("word", word).join(F.broadcast(marks), "word").where(F.col("marks").bitwiseAND(bit) != 0).drop("word", "marks")
+    """The first of every group of equal lines: ``doc_id, h, line, lid, size, least``, a number and its
+    least tokens by hash."""
+    d = docs.select("doc_id", text_key(F.col("text")).alias("h"), F.lower(blanks(F.col("text"))).alias("text"))
+    lines = d.select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("line", "s")).where(F.trim("s") != "")
+
+    def some(t: Column) -> tuple[Column, Column]:
+        s = F.size(t)
+        return s, F.least(s, s - needed(s, percent) + SHARED)
+
+    def least(t: Column) -> Column:
+        # if the first are all different, repeats further on can only make too many of them; else all are told apart
+        size, n = some(t)
+        whole = let(F.array_distinct(t), lambda d: F.struct(F.size(d).alias("size"), F.slice(d, F.lit(1), some(d)[1]).alias("least")))
+        return let(F.array_distinct(F.slice(t, F.lit(1), n)), lambda d: F.when(
+            F.size(d) == n, F.struct(size.alias("size"), d.alias("least"))).otherwise(whole))
+
+    rows = lines.select(text_key(F.col("s")).alias("key"), *ID, tokens(F.col("s"), shingle, least).alias("p"))
+    firsts = rows.groupBy("key").agg(F.min(F.struct(*ID, "p.size", "p.least")).alias("f"))
+    return written(firsts.select("f.*", F.monotonically_increasing_id().alias("lid")), "first-lines")
+
+
+def similar_maybe(firsts: DataFrame, percent: int) -> DataFrame:
+    """``doc_id, h, line, at`` of the lines that share tokens enough with any others, numbered in order."""
+    rows = firsts.select("lid", F.least(F.lit(SHARED), needed(F.col("size"), percent)).alias("least_shared"), F.explode("least").alias("token"))
+    repeated = written(rows.groupBy("token").count().where("count > 1").select("token"), "repeated-tokens")
+    repeated = F.broadcast(repeated) if bounded(repeated, BROADCAST_TOKENS) else repeated.hint("merge")
+    shared = rows.join(repeated, "token").groupBy("lid", "least_shared").count().where("count >= least_shared")
+    lines = firsts.select("lid", *ID).join(shared.select("lid").hint("merge"), "lid", "left_semi")
+    lines = written(lines.select(F.lit(0).alias("all"), *ID), "similar-maybe")
+    return written(placed(lines, ["all"], ID).select(*ID, "at"), "numbered-lines")
+
+
+def line_sets(docs: DataFrame, lines: DataFrame, shingle: int) -> DataFrame:
+    """``at`` and the sorted tokens ``set`` of the numbered lines."""
+    per_doc = written(lines.groupBy("doc_id", "h").agg(F.collect_list(F.struct("line", "at")).alias("wanted")), "wanted-lines")
+    size = per_doc.agg(F.sum(F.size("wanted") + 16)).first()[0] or 0
+    per_doc = F.broadcast(per_doc) if size <= BROADCAST_LINES else per_doc.hint("shuffle_hash")
+    per_doc = per_doc.withColumnsRenamed({"doc_id": "n_id", "h": "n_h"})
+    d = docs.select("doc_id", text_key(F.col("text")).alias("h"), "text")
+    wanted = let(F.split("text", "\n"), lambda lines: F.transform(
+        "wanted", lambda i: F.struct(i["at"].alias("at"), F.get(lines, i["line"]).alias("s"))))
+    texts = d.join(per_doc, same({"doc_id": "n_id", "h": "n_h"})).select(F.inline(wanted))
+    sets = written(texts.select("at", tokens(F.lower(blanks(F.col("s"))), shingle, F.array_distinct).alias("set")), "line-sets")
+    again = sets.groupBy("at").count().where("count > 1")  # rows that repeat an id and a text give the same sets
+    return sets if again.isEmpty() else written(sets.dropDuplicates(["at"]), "line-sets")
+
+
+def rare_prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """``token, at, size, pos``: the tokens of every line's prefix by rarity that other lines have too,
+    and their places in it."""
+    rows = sets.select("at", F.size("set").alias("size"), F.explode("set").alias("token"))
+    counts = written(rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "token-counts")
+    line = Window.partitionBy("at")  # a line's own tokens
+    common = rows.join(counts.hint("shuffle_hash"), "token").select(
+        "at", "size", "token", F.row_number().over(line.orderBy("n", "token")).alias("i"), (F.col("size") - F.count(F.lit(1)).over(line)).alias("alone"))
+    # tokens of no other line are the rarest, and come first
+    length = F.col("size") - needed(F.col("size"), percent) + 1
+    pos = F.col("alone") + F.col("i") - 1
+    return written(common.where(pos < length).select("token", "at", "size", pos.alias("pos")), "rare-prefixes")
 
 
 def _pairs(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
     """Rows of one token, ``x`` later than ``y``, that lengths and places allow to be similar."""
-    x = x.select("token", *[F.col(c).alias(f"x_{c}") for c in (*ID, "size", "pos")])
-    y = y.select("token", *[F.col(c).alias(f"y_{c}") for c in (*ID, "size", "pos")])
-    later = F.struct(*[f"y_{c}" for c in ID]) < F.struct(*[f"x_{c}" for c in ID])
+    x = x.select("token", *[F.col(c).alias(f"x_{c}") for c in ("at", "size", "pos")])
+    y = y.select("token", *[F.col(c).alias(f"y_{c}") for c in ("at", "size", "pos")])
     small, large = F.least("x_size", "y_size"), F.greatest("x_size", "y_size")
     most = F.least(F.col("x_size") - F.col("x_pos"), F.col("y_size") - F.col("y_pos"))
     fits = (100 * small >= percent * large) & ((100 + percent) * most >= percent * (small + large))
-    return x.join(y, "token").where(later & fits).select(*[f"{s}_{c}" for s in "xy" for c in ID]).distinct()
-
-
-def _similar(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Ids of the later lines of those pairs that are similar by their whole sets of shingles (64-bit hashes)."""
-    pairs = written(pairs, "line-pairs")
-    needed = pairs.select(F.explode(F.array(*[F.struct(*[F.col(f"{s}_{c}").alias(c) for c in ID]) for s in "xy"])).alias("id"))
-    needed = needed.select("id.*").distinct()
-    per_doc = needed.groupBy("doc_id", "h").agg(F.collect_set("line").alias("wanted"))
-    per_doc = F.broadcast(per_doc) if bounded(per_doc, BROADCAST_ROWS) else per_doc
-    d = docs.select("doc_id", F.hash("text").alias("h"), "text").alias("d")
-    per_doc = per_doc.alias("n")
-    same = F.col("d.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("d.h") == F.col("n.h"))
-    wanted = let(F.split("text", "\n"), lambda lines: F.transform(
-        "wanted", lambda i: F.struct(i.alias("line"), F.get(lines, i).alias("s"))))
-    texts = d.join(per_doc, same).select("d.doc_id", "d.h", F.inline(wanted)).dropDuplicates(ID)
-    sets = written(texts.select(*ID, let(line_words(F.col("s")), lambda w: F.array_distinct(shingle_hashes(w, shingle))).alias("set")),
-                   "line-sets")
-    both = pairs
+    return x.join(y.hint("merge"), "token").where((F.col("y_at") < F.col("x_at")) & fits).select("x_at", "y_at").distinct()
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Numbers of the later lines of those pairs that are similar by their whole sets of tokens."""
+    both = written(pairs, "line-pairs")
     for s in "xy":
-        named = sets.select(*[F.col(c).alias(f"{s}__{c}") for c in ID], F.col("set").alias(f"{s}_set"))
-        on = [F.col(f"{s}_{c}").eqNullSafe(F.col(f"{s}__{c}")) for c in ID]
-        both = both.join(named, on).drop(*[f"{s}__{c}" for c in ID])
+        both = both.join(sets.select(F.col("at").alias(f"{s}_at"), F.col("set").alias(f"{s}_set")).hint("merge"), f"{s}_at")
     shared = F.size(F.array_intersect("x_set", "y_set"))
     ok = 100 * shared >= percent * (F.size("x_set") + F.size("y_set") - shared)
-    return written(both.where(ok).select(*[F.col(f"x_{c}").alias(c) for c in ID]).distinct(), "matched")
+    return written(both.where(ok).select(F.col("x_at").alias("at")).distinct(), "matched")
 
 
 def kept_lines(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``doc_id, h, lines``: the numbers of each text's lines with words that stay."""
     docs = docs.select("doc_id", "text")
     firsts = first_lines(docs, shingle, percent)
-    rows = firsts.select(*ID, "size", F.posexplode("prefix").alias("pos", "token"))
-    rows = written(_perhaps_repeated(rows), "prefix-tokens")
-    first = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*ID, "size", "pos")).alias("f")).where("n > 1")
-    shared = written(rows.join(first, "token").select("token", *ID, "size", "pos", "f"), "shared-tokens")
-    leads = shared.select("token", "f.*").distinct()
-    matched = _similar(_pairs(shared, leads, percent), docs, shingle, percent)
-    anti = lambda left, right: left.join(
-        right.select(*[F.col(c).alias(f"m_{c}") for c in ID]), [F.col(c).eqNullSafe(F.col(f"m_{c}")) for c in ID], "left_anti")
-    rest = anti(shared.where(F.struct(*ID) != F.struct(*[f"f.{c}" for c in ID])), matched)
-    others = shared.where(F.struct(*ID) != F.struct(*[f"f.{c}" for c in ID]))
-    matched = matched.unionByName(_similar(_pairs(rest, others, percent), docs, shingle, percent)).distinct()
-    return anti(firsts.select(*ID), matched).groupBy("doc_id", "h").agg(F.collect_set("line").alias("lines"))
+    lines = similar_maybe(firsts, percent)
+    sets = line_sets(docs, lines, shingle)
+    rows = rare_prefixes(sets, percent)
+    first = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("at", "size", "pos")).alias("f")).where("n > 1")
+    shared = written(rows.join(first.hint("merge"), "token").select("token", "at", "size", "pos", "f"), "shared-tokens")
+    matched = _similar(_pairs(shared, shared.select("token", "f.*").distinct(), percent), sets, percent)
+    others = shared.where("at <> f.at")
+    rest = others.join(matched.hint("merge"), "at", "left_anti")
+    matched = matched.unionByName(_similar(_pairs(rest, others, percent), sets, percent)).distinct()
+    gone = lines.join(matched.hint("merge"), "at", "left_semi").select(*[F.col(c).alias(f"m_{c}") for c in ID])
+    stay = firsts.select(*ID).join(gone.hint("merge"), same({c: f"m_{c}" for c in ID}), "left_anti")
+    return stay.groupBy("doc_id", "h").agg(F.collect_list("line").alias("lines"))
 
 
 def dedup(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` with its texts less the removed lines, plus ``n_lines`` (lines with a word) and
     ``n_removed``."""
     kept = kept_lines(docs, shingle, percent).select(F.col("doc_id").alias("k_id"), F.col("h").alias("k_h"), "lines")
-    row = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("d_id"), F.hash("text").alias("d_h"))
-    row = row.join(kept, F.col("d_id").eqNullSafe(F.col("k_id")) & (F.col("d_h") == F.col("k_h")), "left")
+    row = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("d_id"), text_key(F.col("text")).alias("d_h"))
+    row = row.join(kept.hint("shuffle_hash"), F.col("d_id").eqNullSafe(F.col("k_id")) & (F.col("d_h") == F.col("k_h")), "left")
     none = F.array().cast("array<int>")
+    blank = lambda x: F.trim(x, F.lit(" \t\v\f\r")) == ""
 
     def rebuilt(s: Column) -> Column:
-        stay = F.filter(s, lambda x, i: ~x.rlike(NOT_SPACE) | F.array_contains(F.coalesce("lines", none), i))
-        worded = F.size(F.filter(s, lambda x: x.rlike(NOT_SPACE)))
-        return F.struct(F.array_join(stay, "\n").alias("text"), worded.cast("long").alias("n_lines"),
-                        (worded - F.size(F.coalesce("lines", none))).cast("long").alias("n_removed"))
+        worded = F.size(F.filter(s, lambda x: ~blank(x)))
+        return F.struct(s.alias("s"), worded.alias("worded"), (worded - F.size(F.coalesce("lines", none))).alias("gone"))
+
+    def left(s: Column) -> Column:
+        return F.array_join(F.filter(s, lambda x, i: F.array_contains(F.coalesce("lines", none), i) | blank(x)), "\n")
+
+    def result(r: Column) -> Column:
+        text = F.when(r["gone"] == 0, F.col("row.text")).otherwise(left(r["s"]))
+        return F.struct(text.alias("text"), r["worded"].cast("long").alias("n_lines"), r["gone"].cast("long").alias("n_removed"))
 
-    out = row.select("row", let(F.split("row.text", "\n"), rebuilt).alias("r"))
+    out = row.select("row", let(let(F.split("row.text", "\n"), rebuilt), result).alias("r"))
     text = F.when(F.col("row.text").isNotNull(), F.col("r.text"))
     columns = [text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
     counts = [F.when(F.col("row.text").isNull(), 0).otherwise(F.col(f"r.{c}")).cast("long").alias(c) for c in ("n_lines", "n_removed")]

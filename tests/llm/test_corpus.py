@@ -272,10 +272,82 @@ def test_decontamination_shuffles_a_large_benchmark_to_the_same_result(spark):
 def test_line_dedup_shuffles_to_the_same_result(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     a = line_dedup.dedup(docs).orderBy("doc_id").collect()
-    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(line_dedup, "BROADCAST_TOKENS", 0)
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", 0)
     assert a == line_dedup.dedup(docs).orderBy("doc_id").collect()
 
 
+def brute_lines(spark, docs, shingle=5, percent=80):
+    """(doc_id, text, lines with a word, removed) of each row, by all pairs of lines."""
+    texts = spark.createDataFrame([(t,) for _, t in docs], "t string").select("t", line_dedup.text_key(F.col("t")).alias("h"))
+    digest = {r.t: tuple(r.h) for r in texts.collect()}  # the order of texts of one id
+    lines = []
+    for d, t in docs:
+        for i, s in enumerate((t or "").split("\n")):
+            w = re.sub(r"[\t\v\f\r]", " ", s).lower().split(" ")
+            w = [x for x in w if x]
+            if w:
+                grams = {tuple(w[j:j + shingle]) for j in range(len(w) - shingle + 1)} if len(w) >= shingle else {tuple(w)}
+                lines.append(((d is not None, d or 0, digest[t], i), grams))
+    lines = sorted({k: g for k, g in lines}.items())
+    gone = set()
+    for x, (key, g) in enumerate(lines):
+        for _, h in lines[:x]:
+            both = len(g & h)
+            if 100 * both >= percent * (len(g) + len(h) - both):
+                gone.add(key)
+                break
+    out = []
+    for d, t in docs:
+        own = (t or "").split("\n")
+        keys = [(d is not None, d or 0, digest[t], i) for i in range(len(own))]
+        stay = [s for k, s in zip(keys, own) if k not in gone]
+        out.append((d, None if t is None else "\n".join(stay), sum(bool(s.strip(" \t\v\f\r")) for s in own), sum(k in gone for k in keys)))
+    return out
+
+
+def test_line_dedup_equals_brute_force(spark):
+    r = random.Random(4)
+    base = [text_of(f"line{i}", r.randrange(1, 40)) for i in range(25)]
+    docs = []
+    for i in range(60):
+        own = []
+        for _ in range(r.randrange(1, 6)):
+            w = r.choice(base).split()
+            for _ in range(r.randrange(3)):
+                w[r.randrange(len(w))] = r.choice(WORDS)
+            own.append(r.choice([" ", "  ", "\t"]).join(w).upper() if r.random() < .1 else " ".join(w))
+        docs.append((r.randrange(40) if r.random() < .9 else None, "\n".join(own + [" \t"] * r.randrange(2))))
+    docs += docs[:5] + [(1, None), (2, "")]
+    out = line_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", "text", "n_lines", "n_removed").collect()
+    assert sorted(map(tuple, out), key=str) == sorted(brute_lines(spark, docs), key=str)
+
+
+def test_line_dedup_tells_texts_of_one_id_and_one_short_hash_apart(spark):
+    many = spark.range(300_000).select(F.concat(F.lit("text number "), "id").alias("t"))
+    one, two = many.groupBy(F.hash("t").alias("h")).agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select("a", "b").first()
+    docs = [(1, f"{one}"), (5, one), (5, two), (None, one), (None, two)]
+    out = line_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(map(tuple, out.select("doc_id", "text", "n_lines", "n_removed").collect()), key=str) == sorted(brute_lines(spark, docs), key=str)
+
+
+def test_line_dedup_emits_few_pairs_for_a_phrase_of_many_lines(spark, monkeypatch):
+    phrase = "all rights reserved by the owner of this page since then and for all time"
+    docs = [(i, f"{text_of(i, 30)} {phrase}" if i % 2 else f"{phrase} {text_of(i, 25)}") for i in range(10_000)]
+    pairs = []
+    kept = line_dedup.written
+
+    def counting(df, name):
+        out = kept(df, name)
+        if name == "line-pairs":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "written", counting)
+    out = line_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert out.agg(F.sum("n_removed")).first()[0] == 0 and sum(pairs) < 100
+
+
 def test_mix_is_the_same_for_any_bins(spark):
     slim = queries.with_quality(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
     a, b = (mixing.mix(slim, bins=n).orderBy("doc_id").collect() for n in (1, 1024))
