@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import decontaminate, line_dedup, minhash, mixing, quality
-from strata.llm.common import placed, table, written
+from strata.llm.common import discard, placed, table, written
 from strata.llm.queries import label_weight
 
 SHINGLE = 5  # words; the similarity is minhash.PERCENT
@@ -95,7 +95,10 @@ ORACLE_SQL = None  # SQL has no near-duplicate stage; tests hold each stage agai
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, former = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
+        if former is not None:
+            discard(former)  # the next stage's rows are written
+        former = docs
     return docs
