@@ -2,13 +2,12 @@
 
 Fits of many models, wide moments and curves are all a sum, over the rows, of an array that numpy
 makes from a block of them.  Each task adds up its blocks and passes on one array; groups of
-tasks add theirs; the driver adds one array a group.  What moves is the size of the array, never
-of the data.
+tasks add theirs, and groups of groups, until one array is left, which the driver gets.  What moves is
+the size of the array, never of the data.
 """
 
 from __future__ import annotations
 
-import math
 import sys
 from collections.abc import Callable, Sequence
 
@@ -30,7 +29,7 @@ def ship(module: str) -> None:
 ship(__name__)
 
 ROWS = 4096  # of a block
-DIRECT = 32  # so many arrays go to the driver at most before groups of tasks add theirs
+DIRECT = 32  # arrays of a group, which one task adds up
 
 
 class Blocks:
@@ -72,23 +71,22 @@ class Blocks:
                 yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slot", "sums"])
 
         parts = self.data.mapInArrow(partial, "slot int, sums binary")
-        tasks = self.data.rdd.getNumPartitions()
-        if tasks > DIRECT:
-            groups = math.isqrt(tasks)
-
-            def add(table):
-                import pyarrow as pa
-
-                total = np.zeros(size)
-                for sums in table["sums"]:
-                    total += np.frombuffer(sums.as_buffer())
-                return pa.table({"slot": table["slot"][:1], "sums": pa.array([total.tobytes()], pa.binary())})
-
-            parts = parts.groupBy((F.col("slot") % groups).alias("group")).applyInArrow(add, "slot int, sums binary")
-        total = np.zeros(size)
-        for r in parts.orderBy("slot").collect():
-            total += np.frombuffer(r["sums"])
-        return total
+        left, fan = self.data.rdd.getNumPartitions(), DIRECT
+
+        def add(table):
+            import pyarrow as pa
+
+            table = table.sort_by("slot")
+            total = np.zeros(size)
+            for sums in table["sums"]:
+                total += np.frombuffer(sums.as_buffer())
+            return pa.table({"slot": pa.array([table["slot"][0].as_py() // fan], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+        while left > 1:
+            parts = parts.groupBy(F.floor(F.col("slot") / fan).alias("group")).applyInArrow(add, "slot int, sums binary")
+            left = -(-left // fan)
+        found = parts.collect()
+        return np.frombuffer(found[0]["sums"]).copy() if found else np.zeros(size)
 
     def least(self, make: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], n: int, d: int) -> np.ndarray:
         """Of the ``n`` values and rows of ``d`` numbers that ``make`` gives for every block, the row of

@@ -56,6 +56,19 @@ def test_restarts_do_not_depend_on_partitions(spark, monkeypatch):
     assert many[1].silhouette_sq == pytest.approx(cluster.silhouette_sq(frame, cols, "c"))
 
 
+def test_one_array_a_pass_goes_to_the_driver(spark, monkeypatch):
+    frame, collected = type(spark.range(0)), []
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: collected.append(collect(self)) or collected[-1])
+    for fan, tasks in ((32, 1), (32, 9), (32, 40), (2, 9)):  # one level of groups, and several
+        monkeypatch.setattr(blocks_module, "DIRECT", fan)
+        with blocks_module.Blocks(spark.range(0, 200, 1, tasks), ["id"], keep=False) as b:
+            assert b.sum(lambda x: np.array([len(x), x.sum()]), 2).tolist() == [200, 19900]
+    with blocks_module.Blocks(spark.range(0), ["id"], keep=False) as b:
+        assert b.sum(lambda x: np.ones(2), 2).tolist() == [0, 0]
+    assert [len(rows) for rows in collected] == [1, 1, 1, 1, 0]
+
+
 def test_a_cut_fit_says_so_and_odd_rows_are_left_out(spark):
     _, cols, df = points(spark)
     assert not cluster.kmeans_best_of(df, cols, 4, 2, max_iter=1, key="id").converged
