@@ -90,8 +90,9 @@ def first_lines(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
         return let(F.array_distinct(F.slice(t, F.lit(1), n)), lambda d: F.when(
             F.size(d) == n, F.struct(size.alias("size"), d.alias("least"))).otherwise(whole))
 
-    rows = lines.select(text_key(F.col("s")).alias("key"), *ID, tokens(F.col("s"), shingle, least).alias("p"))
-    firsts = rows.groupBy("key").agg(F.min(F.struct(*ID, "p.size", "p.least")).alias("f"))
+    key = text_key(F.col("s"))  # as two longs, which sort faster than a struct
+    rows = lines.select(key["a"].alias("a"), key["b"].alias("b"), *ID, tokens(F.col("s"), shingle, least).alias("p"))
+    firsts = rows.groupBy("a", "b").agg(F.min(F.struct(*ID, "p.size", "p.least")).alias("f"))
     return written(firsts.select("f.*", F.monotonically_increasing_id().alias("lid")), "first-lines")
 
 
@@ -126,12 +127,11 @@ def rare_prefixes(sets: DataFrame, percent: int) -> DataFrame:
     and their places in it."""
     rows = sets.select("at", F.size("set").alias("size"), F.explode("set").alias("token"))
     counts = written(rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "token-counts")
-    line = Window.partitionBy("at")  # a line's own tokens
-    common = rows.join(counts.hint("shuffle_hash"), "token").select(
-        "at", "size", "token", F.row_number().over(line.orderBy("n", "token")).alias("i"), (F.col("size") - F.count(F.lit(1)).over(line)).alias("alone"))
-    # tokens of no other line are the rarest, and come first
+    # a line's own tokens from its commonest on: tokens of no other line are the rarest, and come first
+    back = F.row_number().over(Window.partitionBy("at").orderBy(F.desc("n"), F.desc("token")))
+    common = rows.join(counts.hint("shuffle_hash"), "token").select("at", "size", "token", back.alias("back"))
     length = F.col("size") - needed(F.col("size"), percent) + 1
-    pos = F.col("alone") + F.col("i") - 1
+    pos = F.col("size") - F.col("back")
     return written(common.where(pos < length).select("token", "at", "size", pos.alias("pos")), "rare-prefixes")
 
 
@@ -168,9 +168,10 @@ def kept_lines(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     others = shared.where("at <> f.at")
     rest = others.join(matched.hint("merge"), "at", "left_anti")
     matched = matched.unionByName(_similar(_pairs(rest, others, percent), sets, percent)).distinct()
-    gone = lines.join(matched.hint("merge"), "at", "left_semi").select(*[F.col(c).alias(f"m_{c}") for c in ID])
-    stay = firsts.select(*ID).join(gone.hint("merge"), same({c: f"m_{c}" for c in ID}), "left_anti")
-    return stay.groupBy("doc_id", "h").agg(F.collect_list("line").alias("lines"))
+    gone = lines.join(matched.hint("merge"), "at", "left_semi")
+    both = firsts.select(*ID, F.lit(True).alias("first")).unionByName(gone.select(*ID, F.lit(False).alias("first")))
+    own = lambda first: F.collect_list(F.when(F.col("first") == first, F.col("line")))
+    return both.groupBy("doc_id", "h").agg(F.array_except(own(True), own(False)).alias("lines"))
 
 
 def dedup(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -331,6 +331,14 @@ def test_line_dedup_tells_texts_of_one_id_and_one_short_hash_apart(spark):
     assert sorted(map(tuple, out.select("doc_id", "text", "n_lines", "n_removed").collect()), key=str) == sorted(brute_lines(spark, docs), key=str)
 
 
+def test_line_dedup_takes_matched_lines_out_without_joining_all_lines(spark):
+    near = text_of("near", 30).split()
+    docs = [(1, " ".join(near)), (2, " ".join([*near[:-1], "other"])), (None, "one line of its own"), (3, "one line of its own"), (4, None)]
+    kept = line_dedup.kept_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert "LeftAnti" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.doc_id: r.lines for r in kept.collect()} == {None: [0], 1: [0], 2: []}
+
+
 def test_line_dedup_emits_few_pairs_for_a_phrase_of_many_lines(spark, monkeypatch):
     phrase = "all rights reserved by the owner of this page since then and for all time"
     docs = [(i, f"{text_of(i, 30)} {phrase}" if i % 2 else f"{phrase} {text_of(i, 25)}") for i in range(10_000)]
