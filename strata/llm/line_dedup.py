@@ -58,14 +58,18 @@ def line_words(line: Column) -> Column:
     return F.array_remove(F.split(line, " "), "")
 
 
-def shingle_hashes(w: Column, k: int) -> Column:
-    return F.when(F.size(w) < k, F.array(F.xxhash64(w))).otherwise(F.slice(
-        F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + j) for j in range(1, k)])), F.lit(1), F.size(w) - (k - 1)))
+def word_hashes(line: Column) -> Column:
+    """Hashes of the words of a line (in lower case, parted by blanks)."""
+    return F.transform(line_words(line), lambda x: F.xxhash64(x))
 
 
-def tokens(line: Column, shingle: int, body) -> Column:
-    """``body`` of the sorted tokens of a line (in lower case, parted by blanks), repeats included."""
-    return let(line_words(line), lambda w: let(F.sort_array(shingle_hashes(w, shingle)), body))
+def shingle_hashes(line: Column, shingle: int) -> Column:
+    """The tokens of a line, repeats included: hashes of the hashes of its words, each made once."""
+    def tokens(w: Column) -> Column:
+        hashes = F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + j) for j in range(1, shingle)]))
+        return F.when(F.size(w) < shingle, F.array(F.xxhash64(w))).otherwise(F.slice(hashes, F.lit(1), F.size(w) - (shingle - 1)))
+
+    return let(word_hashes(line), tokens)
 
 
 def needed(size: Column, percent: int) -> Column:
@@ -79,20 +83,17 @@ def first_lines(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     d = docs.select("doc_id", text_key(F.col("text")).alias("h"), F.lower(blanks(F.col("text"))).alias("text"))
     lines = d.select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("line", "s")).where(F.trim("s") != "")
 
-    def some(t: Column) -> tuple[Column, Column]:
-        s = F.size(t)
-        return s, F.least(s, s - needed(s, percent) + SHARED)
-
-    def least(t: Column) -> Column:
-        # if the first are all different, repeats further on can only make too many of them; else all are told apart
-        size, n = some(t)
-        whole = let(F.array_distinct(t), lambda d: F.struct(F.size(d).alias("size"), F.slice(d, F.lit(1), some(d)[1]).alias("least")))
-        return let(F.array_distinct(F.slice(t, F.lit(1), n)), lambda d: F.when(
-            F.size(d) == n, F.struct(size.alias("size"), d.alias("least"))).otherwise(whole))
-
     key = text_key(F.col("s"))  # as two longs, which sort faster than a struct
-    rows = lines.select(key["a"].alias("a"), key["b"].alias("b"), *ID, tokens(F.col("s"), shingle, least).alias("p"))
-    firsts = rows.groupBy("a", "b").agg(F.min(F.struct(*ID, "p.size", "p.least")).alias("f"))
+    given = ["a", "b", *ID]
+    some = lambda size: F.least(size, size - needed(size, percent) + SHARED)
+    # step by step in columns: sorting and telling apart run as compiled code there, within functions of items they do not
+    rows = lines.select(key["a"].alias("a"), key["b"].alias("b"), *ID, F.sort_array(shingle_hashes(F.col("s"), shingle)).alias("t"))
+    rows = rows.select(*given, "t", some(F.size("t")).alias("n"))
+    rows = rows.select(*given, "t", "n", F.array_distinct(F.slice("t", F.lit(1), F.col("n"))).alias("d"))
+    # if the first are all different, repeats further on can only make too many of them; else all are told apart
+    rows = rows.select(*given, F.when(F.size("d") == F.col("n"), F.col("t")).otherwise(F.array_distinct("t")).alias("t"))
+    rows = rows.select(*given, F.size("t").alias("size"), F.slice("t", F.lit(1), some(F.size("t"))).alias("least"))
+    firsts = rows.groupBy("a", "b").agg(F.min(F.struct(*ID, "size", "least")).alias("f"))
     return written(firsts.select("f.*", F.monotonically_increasing_id().alias("lid")), "first-lines")
 
 
@@ -108,7 +109,7 @@ def similar_maybe(firsts: DataFrame, percent: int) -> DataFrame:
 
 
 def line_sets(docs: DataFrame, lines: DataFrame, shingle: int) -> DataFrame:
-    """``at`` and the sorted tokens ``set`` of the numbered lines."""
+    """``at`` and the tokens ``set`` of the numbered lines."""
     per_doc = written(lines.groupBy("doc_id", "h").agg(F.collect_list(F.struct("line", "at")).alias("wanted")), "wanted-lines")
     size = per_doc.agg(F.sum(F.size("wanted") + 16)).first()[0] or 0
     per_doc = F.broadcast(per_doc) if size <= BROADCAST_LINES else per_doc.hint("shuffle_hash")
@@ -117,7 +118,7 @@ def line_sets(docs: DataFrame, lines: DataFrame, shingle: int) -> DataFrame:
     wanted = let(F.split("text", "\n"), lambda lines: F.transform(
         "wanted", lambda i: F.struct(i["at"].alias("at"), F.get(lines, i["line"]).alias("s"))))
     texts = d.join(per_doc, same({"doc_id": "n_id", "h": "n_h"})).select(F.inline(wanted))
-    sets = written(texts.select("at", tokens(F.lower(blanks(F.col("s"))), shingle, F.array_distinct).alias("set")), "line-sets")
+    sets = written(texts.select("at", F.array_distinct(shingle_hashes(F.lower(blanks(F.col("s"))), shingle)).alias("set")), "line-sets")
     again = sets.groupBy("at").count().where("count > 1")  # rows that repeat an id and a text give the same sets
     return sets if again.isEmpty() else written(sets.dropDuplicates(["at"]), "line-sets")
 
@@ -181,7 +182,8 @@ def dedup(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> Da
     row = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("d_id"), text_key(F.col("text")).alias("d_h"))
     row = row.join(kept.hint("shuffle_hash"), F.col("d_id").eqNullSafe(F.col("k_id")) & (F.col("d_h") == F.col("k_h")), "left")
     none = F.array().cast("array<int>")
-    blank = lambda x: F.trim(x, F.lit(" \t\v\f\r")) == ""
+    # most lines begin with a character above the blank, and need no look at the rest
+    blank = lambda x: F.when(F.ltrim(x) >= "!", False).otherwise(F.trim(x, F.lit(" \t\v\f\r")) == "")
 
     def rebuilt(s: Column) -> Column:
         worded = F.size(F.filter(s, lambda x: ~blank(x)))

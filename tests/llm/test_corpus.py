@@ -339,6 +339,16 @@ def test_line_dedup_takes_matched_lines_out_without_joining_all_lines(spark):
     assert {r.doc_id: r.lines for r in kept.collect()} == {None: [0], 1: [0], 2: []}
 
 
+def test_line_dedup_sorts_tokens_in_compiled_code_and_counts_each_once(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "written", lambda df, name: df)
+    docs = [(1, " ".join(["a b c d e f g"] * 9)), (2, "one two"), (3, text_of("x", 30)), (4, "one two three four five six"), (5, None)]
+    firsts = line_dedup.first_lines(spark.createDataFrame(docs, "doc_id long, text string"), 5, 80)
+    inside = r"(sort_array|array_distinct)\([^)]*lambda"  # by functions of items these run without compiled code
+    assert not re.search(inside, firsts._jdf.queryExecution().optimizedPlan().toString())
+    rows = {r.doc_id: (r.size, len(r.least), len(set(r.least))) for r in firsts.collect()}
+    assert rows == {1: (7, 4, 4), 2: (1, 1, 1), 3: (26, 8, 8), 4: (2, 2, 2)}
+
+
 def test_line_dedup_emits_few_pairs_for_a_phrase_of_many_lines(spark, monkeypatch):
     phrase = "all rights reserved by the owner of this page since then and for all time"
     docs = [(i, f"{text_of(i, 30)} {phrase}" if i % 2 else f"{phrase} {text_of(i, 25)}") for i in range(10_000)]
