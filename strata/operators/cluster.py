@@ -1,10 +1,10 @@
 """Clustering: deterministic Lloyd k-means, nearest-centre assignment, best-of-restarts
-and k sweeps with all models fitted together, squared-Euclidean silhouette, cluster profiles,
+and k sweeps with all models fitted together, squared and all-pairs Euclidean silhouettes, cluster profiles,
 canonical cluster naming and agreement.
 
 Every pass is a projection (assignment: the k centres are literals in the expression)
 followed by ONE ``groupBy(cluster)`` aggregate with map-side combine; only ``k x d``
-numbers return to the driver per iteration.
+numbers return to the driver per iteration.  The Euclidean silhouette alone needs all pairs.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from strata.operators.blocks import Blocks, ship
 from strata.operators.common import number
 from strata.operators.profile import agreement_pct, group_means
 from strata.operators.reshape import melt
+from strata.session import cut_lineage
 
 ship(__name__)
 
@@ -266,13 +267,121 @@ def silhouette_sq_frame(df: DataFrame, features: Sequence[str], cluster: str) ->
     return base.agg(F.avg(s).alias("silhouette"))
 
 
-def silhouette_euclidean(df: DataFrame, features: Sequence[str], cluster: str, sample: int = 20_000, seed: int = 42) -> DataFrame:
+TILE = 65_536  # rows of a block, every pair of which is a tile
+LEAST_BLOCKS, LEAST_ROWS = 8, 2048  # fewer blocks only if they had fewer rows than that
+TILE_NUMBERS, PIECE_NUMBERS = 2 ** 22, 2 ** 15  # of a tile's features or sums, and of sums that are added up together
+TILE_TASKS = 10_000
+
+
+def _add_distances(x: np.ndarray, y: np.ndarray, to_x: np.ndarray, to_y: np.ndarray | None = None, high: int = 32, wide: int = 4096) -> None:
+    """Add to ``to_x`` for each column of ``x`` its Euclidean distances to all columns of ``y``, and the other
+    way round to ``to_y``.  Features are subtracted before they are squared: near points far from zero
+    lose no digits.  A part of ``high * wide`` distances stays in the processor's cache."""
+    p, q = x.shape[1], y.shape[1]
+    buffers = np.empty((2, min(high, p), min(wide, q)))
+    for j in range(0, q, wide):
+        for i in range(0, p, high):
+            r, c = min(high, p - i), min(wide, q - j)
+            dist, square = buffers[:, :r, :c]
+            for f, out in zip(range(len(x)), [dist, *[square] * (len(x) - 1)]):
+                np.subtract(x[f, i:i + r, None], y[f, j:j + c], out=out)
+                np.multiply(out, out, out=out)
+                if f:
+                    np.add(dist, square, out=dist)
+            np.sqrt(dist, out=dist)
+            to_x[i:i + r] += dist @ np.ones(c)
+            if to_y is not None:
+                to_y[j:j + c] += np.ones(r) @ dist
+
+
+def _dealt(placed: DataFrame, d: int, k: int, n: int) -> tuple[DataFrame, int]:
+    """``n`` rows of ``d`` features and a cluster's place, dealt out evenly to blocks ``(block, sizes, rows)``: the
+    number of rows of each of the ``k`` clusters, and the features one after another, rows by cluster.
+    Blocks are kept reliably, as a row's sums are known by its place in its block."""
+    most = max(1, min(TILE, TILE_NUMBERS // max(d, k)))
+    count = max(1, -(-n // most), min(LEAST_BLOCKS, -(-n // LEAST_ROWS)))
+
+    def pack(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        parts = [np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(d + 1)]).astype(float) for b in batches]
+        x = np.concatenate([np.empty((0, d + 1)), *parts])
+        if len(x):
+            own = x[:, d].astype(int)
+            sizes = np.bincount(own, minlength=k).astype(np.int64)
+            rows = np.ascontiguousarray(x[np.argsort(own, kind="stable"), :d].T)
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([sizes.tobytes()], pa.binary()),
+                                              pa.array([rows.tobytes()], pa.binary())], ["block", "sizes", "rows"])
+
+    return cut_lineage(placed.repartition(count).mapInArrow(pack, "block long, sizes binary, rows binary")), count
+
+
+def _meeting(blocks: DataFrame, others: int) -> DataFrame:
+    """Every block once for each of the numbers of the ``others``."""
+    return blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))))
+
+
+def _scores(tiles: DataFrame, count: int, mutual: bool, d: int, k: int, sizes: np.ndarray) -> DataFrame:
+    """The silhouettes ``s`` of the rows of the blocks ``a`` (if ``mutual``, of the blocks ``b`` too).
+
+    ``tiles`` has the two blocks that meet in each tile, the one of ``a`` marked ``left``, or one that meets
+    itself.  A tile passes on, for its rows and each cluster, the sum of the distances; a row's sums of all
+    tiles are added up, which gives its silhouette."""
+    piece, add_distances = max(1, min(TILE, PIECE_NUMBERS // k)), _add_distances
+    made, tasks = "block long, start int, other long, sizes binary, sums binary", min(count, TILE_TASKS)
+
+    def tile(table):
+        import pyarrow as pa
+
+        table = table.sort_by([("left", "descending")])
+        a, b = table["a"][0].as_py(), table["b"][0].as_py()
+        itself = mutual and a == b
+        sides = [(np.frombuffer(s.as_buffer(), np.int64), np.frombuffer(r.as_buffer()).reshape(d, -1)) for s, r in zip(table["sizes"], table["rows"])]
+        out = []
+        if len(sides) == 2 or itself:
+            (na, x), (nb, y) = sides[0], sides[-1]
+            to_x, to_y = np.zeros((k, x.shape[1])), np.zeros((k, y.shape[1])) if mutual and not itself else None
+            at_x, at_y = np.cumsum([0, *na]), np.cumsum([0, *nb])
+            for i in np.flatnonzero(na):
+                for j in np.flatnonzero(nb):
+                    p, q = slice(at_x[i], at_x[i + 1]), slice(at_y[j], at_y[j + 1])
+                    add_distances(x[:, p], y[:, q], to_x[j, p], None if to_y is None else to_y[i, q])
+            for block, other, own, sums in [(a, b, na, to_x), *([] if to_y is None else [(b, a, nb, to_y)])]:
+                out += [(block, i, other, own.tobytes(), sums[:, i:i + piece].tobytes()) for i in range(0, sums.shape[1], piece)]
+        columns = list(zip(*out)) or [[]] * 5
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        return pa.table({c: pa.array(v, t) for c, v, t in zip(("block", "start", "other", "sizes", "sums"), columns, types)})
+
+    def score(table):
+        import pyarrow as pa
+
+        table, start = table.sort_by("other"), table["start"][0].as_py()
+        sums = 0
+        for part in table["sums"]:
+            sums = sums + np.frombuffer(part.as_buffer()).reshape(k, -1)
+        at = np.arange(sums.shape[1])
+        own = np.repeat(np.arange(k), np.frombuffer(table["sizes"][0].as_buffer(), np.int64))[start:start + len(at)]
+        a = sums[own, at] / np.maximum(sizes[own] - 1, 1)
+        mean = sums / sizes[:, None]
+        mean[own, at] = np.inf
+        b = mean.min(axis=0)
+        top = np.maximum(a, b)
+        return pa.table({"s": np.where((sizes[own] > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1), 0.0)})
+
+    dealt = tiles.withColumn("task", F.pmod("tile", F.lit(tasks)).cast("int")).repartitionById(tasks, "task")
+    return dealt.groupBy("task", "a", "b").applyInArrow(tile, made).groupBy("block", "start").applyInArrow(score, "s double")
+
+
+def silhouette_euclidean(df: DataFrame, features: Sequence[str], cluster: str, sample: int | None = None, seed: int = 42) -> DataFrame:
     """ML5: the mean Euclidean silhouette ``(silhouette, standard_error, n_scored, n)``.
 
-    Distances are added up in blocks: every block of rows meets the scored points, and passes on,
-    for each point and cluster, the sum of its distances; no pair leaves a block.  All rows are
-    scored if there are at most ``sample`` (the standard error is 0), else the ``sample`` rows of least
-    hash, each against all rows; the standard error is then that of their mean.  Rows with a missing
+    All rows are scored, each against all rows, and the standard error is 0.  The rows are dealt out to
+    blocks, and every two blocks meet in a tile, which adds up the distances both ways; no pair leaves a
+    tile, and one row of numbers goes to the driver.  The time grows with the square of the rows.
+
+    Only a caller that names a ``sample`` and has more rows gets an estimate instead: the ``sample`` rows of
+    least hash, each against all rows, with the standard error of their mean.  Rows with a missing
     feature or cluster have no part; fewer than two clusters have no silhouette."""
     feats, d = list(features), len(features)
     rows = df.select(F.col(cluster).alias("_c"), *[number(f).alias(f"x{i}") for i, f in enumerate(feats)]).dropna()
@@ -284,29 +393,21 @@ def silhouette_euclidean(df: DataFrame, features: Sequence[str], cluster: str, s
     if k < 2:
         return df.sparkSession.createDataFrame([(None, None, 0, n)], out)
     placed = rows.select(*[f"x{i}" for i in range(d)], recode("_c", place).cast("double").alias("_k"))
-    order = F.xxhash64(F.lit(seed), *placed.columns)
-    scored = placed if n <= sample else placed.orderBy(order, *placed.columns).limit(sample)
-    points = np.array(scored.toPandas(), float)
-    own, points = points[:, d].astype(int), points[:, :d]
-    squared = _squared
-
-    def make(x: np.ndarray) -> np.ndarray:
-        member = np.zeros((k, len(x)))
-        member[x[:, d].astype(int), np.arange(len(x))] = 1
-        parts = [member @ np.sqrt(squared(x[:, :d], points[i:i + 1024])) for i in range(0, len(points), 1024)]
-        return np.concatenate(parts, axis=1).ravel()
-
-    with Blocks(placed, placed.columns, keep=False) as blocks:
-        sums = blocks.sum(make, k * len(points)).reshape(k, -1)
-    at = np.arange(len(points))
-    a = sums[own, at] / np.maximum(sizes[own] - 1, 1)
-    mean = sums / sizes[:, None]
-    mean[own, at] = np.inf
-    b = mean.min(axis=0)
-    top = np.maximum(a, b)
-    s = np.where((sizes[own] > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1), 0.0)
-    error = 0.0 if n <= sample else float(s.std(ddof=1) / np.sqrt(len(s)))
-    return df.sparkSession.createDataFrame([(float(s.mean()), error, len(s), n)], out)
+    blocks, count = _dealt(placed, d, k, n)
+    if sample is None or n <= sample:
+        a, b = F.least("block", "other"), F.greatest("block", "other")
+        tiles = _meeting(blocks, count).select(a.alias("a"), b.alias("b"), (F.col("block") == a).alias("left"), "sizes", "rows")
+        tiles = tiles.withColumn("tile", F.shiftright(F.col("b") * (F.col("b") + 1), 1) + F.col("a"))
+        scores, error = _scores(tiles, count * (count + 1) // 2, True, d, k, sizes), F.lit(0.0)
+    else:
+        order = F.xxhash64(F.lit(seed), *placed.columns)
+        drawn, few = _dealt(placed.orderBy(order, *placed.columns).limit(sample), d, k, sample)
+        left = _meeting(drawn, count).select(F.col("block").alias("a"), F.col("other").alias("b"), F.lit(True).alias("left"), "sizes", "rows")
+        right = _meeting(blocks, few).select(F.col("other").alias("a"), F.col("block").alias("b"), F.lit(False).alias("left"), "sizes", "rows")
+        tiles = left.unionByName(right).withColumn("tile", F.col("a") * count + F.col("b"))
+        scores, error = _scores(tiles, few * count, False, d, k, sizes), F.stddev_samp("s") / F.sqrt(F.count("s"))
+    mean = scores.agg(F.avg("s").alias("silhouette"), error.alias("standard_error"), F.count("s").alias("n_scored")).first()
+    return df.sparkSession.createDataFrame([(*mean, n)], out)
 
 
 def _silhouettes(blocks: Blocks, fits: Sequence[Restart]) -> list[float | None]:

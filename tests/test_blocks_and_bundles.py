@@ -103,6 +103,59 @@ def test_euclidean_silhouette_of_a_sample(spark):
     assert cluster.silhouette_euclidean(df.where("c = 0"), cols, "c").first().silhouette is None
 
 
+def mean_silhouette(x, c):
+    """By all pairs, feature by feature; a cluster of one row scores 0."""
+    sizes, s = np.bincount(c), []
+    for i in range(0, len(x), 500):
+        dist = np.sqrt(sum((x[i:i + 500, f, None] - x[:, f]) ** 2 for f in range(x.shape[1])))
+        sums = np.array([dist[:, c == j].sum(axis=1) for j in range(len(sizes))])
+        own, at = c[i:i + 500], np.arange(len(dist))
+        a, mean = sums[own, at] / np.maximum(sizes[own] - 1, 1), sums / sizes[:, None]
+        mean[own, at] = np.inf
+        b = mean.min(axis=0)
+        s.append(np.where(sizes[own] > 1, (b - a) / np.maximum(a, b), 0))
+    return np.concatenate(s).mean()
+
+
+def test_registered_euclidean_silhouette_scores_every_row(spark, tmp_path):
+    n = 20_500
+    r = np.random.default_rng(3)
+    rows = [(i, int(size), float(price)) for i, size, price in zip(range(n), r.integers(1, 51, n), r.integers(90_000, 210_000, n) / 100)]
+    spark.createDataFrame(rows, "p_partkey long, p_size int, p_retailprice double").repartition(3).write.parquet(f"{tmp_path}/part.parquet")
+    got = wide.silhouette_euclidean(spark, str(tmp_path)).first()
+    assert (got.n_scored, got.n, got.standard_error) == (n, n, 0)
+    x = np.array([(size / 10, price / 1000) for _, size, price in rows])
+    assert got.silhouette == pytest.approx(mean_silhouette(x, np.array([size % 3 for _, size, _ in rows])), abs=1e-6)
+
+
+@pytest.mark.parametrize("tile, tasks, piece", [(65_536, 10_000, 2 ** 15), (70, 10_000, 2 ** 15), (70, 4, 50)])
+def test_euclidean_silhouette_does_not_depend_on_blocks(spark, monkeypatch, tile, tasks, piece):
+    for name, value in (("TILE", tile), ("TILE_TASKS", tasks), ("PIECE_NUMBERS", piece)):
+        monkeypatch.setattr(cluster, name, value)
+    x, cols, _ = points(spark, 600, 3)
+    x[100:160] = x[0]  # rows alike
+    c = np.where(np.arange(600) < 450, 0, np.arange(600) % 3)
+    c[599] = 3  # a cluster of its own
+    rows = [(*map(float, p), "abcd"[k]) for p, k in zip(x, c)] + [(1.0, None, 1.0, "a"), (1.0, float("nan"), 1.0, "b"), (1.0, 1.0, 1.0, None)]
+    df = spark.createDataFrame(rows, ", ".join(f"{f} double" for f in cols) + ", c string")
+    for frame in (df, df.repartition(7), df.coalesce(1)):
+        got = cluster.silhouette_euclidean(frame, cols, "c").first()
+        assert got.silhouette == pytest.approx(mean_silhouette(x, c), rel=1e-12) and got.n_scored == got.n == 600
+    some = cluster.silhouette_euclidean(df, cols, "c", sample=200).first()
+    assert some.n_scored == 200 and some.n == 600 and abs(some.silhouette - mean_silhouette(x, c)) < 4 * some.standard_error
+
+
+def test_distances_of_near_points_far_from_zero():
+    r = np.random.default_rng(5)
+    x, y = r.normal(size=(2, 70)), r.normal(size=(2, 9000))
+    for at in (0.0, 2.0 ** 30):
+        near, far = np.round(x * 2 ** 16) / 2 ** 16, np.round(y * 2 ** 16) / 2 ** 16  # exact after the shift
+        to_x, to_y = np.ones(70), np.ones(9000)
+        cluster._add_distances(near + at, far + at, to_x, to_y)
+        dist = np.hypot(near[0][:, None] - far[0], near[1][:, None] - far[1])
+        assert np.allclose(to_x, 1 + dist.sum(axis=1), rtol=1e-12) and np.allclose(to_y, 1 + dist.sum(axis=0), rtol=1e-12)
+
+
 # --- wide fits -----------------------------------------------------------------------------------------
 def test_wide_newton_has_no_gradient_left(spark):
     d = wide._labelled(spark, SF)
