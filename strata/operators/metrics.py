@@ -19,6 +19,7 @@ from strata.functions.expr import safe_div
 from strata.operators.common import broadcast_bounded, number
 from strata.session import cut_lineage
 
+BUCKET_ROWS = None  # rows of a range, about; None leaves the number of ranges to the caller or to Spark
 GRID_CLASSES = 200  # a confusion matrix of more classes has no cells for pairs that don't occur
 
 
@@ -79,10 +80,13 @@ def weighted_f1(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 # --------------------------------------------------------------------------- running totals
 
 
-def running_totals(d: DataFrame, order: str, cols: Sequence[str], ranges: int | None = None, following: Sequence[str] = ()) -> DataFrame:
+def running_totals(d: DataFrame, order: str, cols: Sequence[str], ranges: int | None = None, following: Sequence[str] = (),
+                   bucket_rows: int | None = BUCKET_ROWS) -> DataFrame:
     """Add ``cum_<c>``, the sum of ``c`` over rows with ``order`` <= this row's (``order`` unique), and
     ``next_<c>``, the value of the next row, for ``following`` (NULL for the last).  No task holds
-    more than a range of the rows; ``ranges`` sets their number."""
+    more than a range of the rows; ``ranges`` sets their number, or ``bucket_rows`` the rows of each."""
+    if bucket_rows and not ranges:
+        ranges = max(1, -(-d.count() // bucket_rows))
     dealt = d.repartitionByRange(ranges, order) if ranges else d.repartitionByRange(order)
     parts = cut_lineage(dealt.withColumn("_p", F.spark_partition_id()))
     ends = parts.groupBy("_p").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols], *[F.min_by(c, order).alias(f"_f_{c}") for c in following])
@@ -110,7 +114,7 @@ def score_counts(df: DataFrame, actual: str, score: str, positive=1) -> DataFram
 def roc_auc(df: DataFrame, actual: str, score: str, positive=1, ranges: int | None = None) -> DataFrame:
     """ME4: ``sum_s pos(s) * (neg_below(s) + neg(s) / 2) / (P * N)`` over distinct scores
     (the exact Mann-Whitney form, ties count half).  NULL when a class is absent."""
-    sc = running_totals(score_counts(df, actual, score, positive), "score", ["neg"], ranges)
+    sc = running_totals(score_counts(df, actual, score, positive), "score", ["neg"], ranges, ())
     term = F.col("pos").cast("double") * ((F.col("cum_neg") - F.col("neg")).cast("double")
                                           + F.col("neg").cast("double") / F.lit(2.0))
     return sc.agg(safe_div(F.sum(term), F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias("auc"))
